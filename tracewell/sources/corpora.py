@@ -297,7 +297,7 @@ PY_TEMPLATES = [
     '@router.get("/r<g>/{id}", response_model=list[Resp_<g>])\nasync def get_r<g>(id: int):\n'
     '    return load_<g>(id)\n\n'
     '@router.post("/r<g>")\ndef post_r<g>(body: Body) -> Resp_<g>:\n'
-    '    flow_service.start_<g>(body)\n    return print(body)\n',
+    '    flow_service.start_<g>(body)\n    ts.save_<g>(body)\n    return print(body)\n',
     'def load_<g>(x):\n    rows = db.execute("SELECT a FROM ORD_HDR_<g> o JOIN CUST_DIM ON 1 = 1")\n'
     '    return run_<g>(x)\n\n'
     'def run_<g>(x):\n    if x:\n        table_name = "DYN_TBL_<g>"\n'
@@ -320,11 +320,11 @@ PY_FILE = Corpus(
 # 1 in a variable, 2 some lines further on, 3 is a helper file that is skipped.
 TS_PATHS = ["src/api/a<k>.ts", "src/api/b<k>.tsx", "src/api/c<k>.ts", "src/utils<k>/utils.ts"]
 TS_TEMPLATES = [
-    "export const getItem<k> = async (id) => {\n  return client.get(`${V2_URL}/r<k>/${itemId}`);\n};\n"
-    "export const dropItem<k> = async (id) => {\n  const res = await client.delete(`${V2_URL}/r<k>/x?y=1`);\n  return res;\n};\n",
+    "export const getItem<k> = async (id) => {\n  return client.get(`${V2_URL}/admin/revenue/r<k>/${itemId}`);\n};\n"
+    "export const dropItem<k> = async (id) => {\n  const res = await client.delete(`${V2_URL}/admin/revenue/r<k>/x?y=1`);\n  return res;\n};\n",
     "export const putItem<k> = async (body) => {\n  const url = `${V2_WORKFLOW_URL}/r<k>/actions/${item.userId}`;\n"
     "  return client.put(url, body);\n};\n",
-    "export function sendItem<k>(body) {\n  return tsClient.post(\n    // target\n    \"/api/v2/r<k>\",\n    body);\n}\n",
+    "export function sendItem<k>(body) {\n  return tsClient.post(\n    // target\n    \"/api/v2/admin/revenue/r<k>\",\n    body);\n}\n",
     "export const getNothing = async () => {\n  return client.get(\"/api/v2/none\");\n};\n",
 ]
 TS_FILE = Corpus(

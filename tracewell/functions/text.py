@@ -18,6 +18,7 @@ MARK = "\u0001"
 LITERAL = r"'[^']*+(?:''[^']*+)*+'"
 WORD = r"[A-Za-z_][\w$]*"
 NAME = rf"{WORD}(?:\.{WORD})*"
+NOT_CALL = r"(?![\w$.]|\s*\()"
 
 
 def balanced(depth: int = MAX_DEPTH) -> str:
@@ -114,7 +115,7 @@ def first_index(segs: Column, wanted: list[str], start: Column) -> Column:
 
 def table_struct(kw: Column, txt: Column, ordinal: Column) -> Column:
     """Table reference of one FROM or JOIN piece: name and lower-cased alias."""
-    name = F.regexp_extract(txt, rf"^({NAME})(?!\s*\()", 1)
+    name = F.regexp_extract(txt, rf"^({NAME}){NOT_CALL}", 1)
     alias = F.regexp_extract(txt, rf"(?i)^{NAME} (?:AS )?({WORD})", 1)
     return F.struct(
         ordinal.cast("int").alias("ordinal"),
@@ -131,7 +132,7 @@ def table_refs(segs: Column) -> Column:
         lambda stop: F.filter(
             segs,
             lambda s, i: (start > 0) & (i + 1 >= start) & ((stop == 0) | (i + 1 < stop))
-            & s["kw"].isin("FROM", "JOIN", ",") & s["txt"].rlike(rf"^{NAME}(?!\s*\()"),
+            & s["kw"].isin("FROM", "JOIN", ",") & s["txt"].rlike(rf"^{NAME}{NOT_CALL}"),
         ),
     ))
     return F.transform(inside, lambda s, i: table_struct(s["kw"], s["txt"], i + 1))

@@ -182,7 +182,7 @@ def with_object_columns(items: DataFrame) -> DataFrame:
 
 def ddl_classify(ddl: DataFrame) -> DataFrame:
     """Type, name and query flag of every definition."""
-    return parsed(ddl).select("object_id", "ddl_type", "object_name", "has_query", "is_supported", "unsupported_depth")
+    return parsed(ddl.where("ddl_text is not null")).select("object_id", "ddl_type", "object_name", "has_query", "is_supported", "unsupported_depth")
 
 
 def ddl_object_columns(ddl: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def block_usage(block: Column, subqueries: Column) -> Column:
     def usage(s: Column) -> Column:
         is_merge = F.exists(s, lambda g: g["kw"] == "MERGE INTO")
         table_kw = ["FROM", "JOIN", *TARGET_KINDS]
-        names_table = lambda g: (g["kw"].isin(table_kw) | ((g["kw"] == "USING") & is_merge)) & g["txt"].rlike(rf"^{T.NAME}(?!\()")
+        names_table = lambda g: (g["kw"].isin(table_kw) | ((g["kw"] == "USING") & is_merge)) & g["txt"].rlike(rf"^{T.NAME}{T.NOT_CALL}")
         sources = F.transform(F.filter(s, names_table), lambda g, i: T.table_struct(g["kw"], g["txt"], i + 1))
         return T.let(sources, lambda tables: F.flatten(F.transform(s, lambda g: clause_usage(g, tables, is_merge))))
 

@@ -336,6 +336,60 @@ TS_FILE = Corpus(
     },
 )
 
+# Report rows of user-interface calls; every fourth call has no backend.
+_MATCHED = f"{_K} % 4 <> 3"
+
+
+def _when_matched(template: str) -> str:
+    return f"CASE WHEN {_MATCHED} THEN {text_of(template, k=_K, c='o_custkey')} ELSE '' END"
+
+
+MAPPING = Corpus(
+    "orders",
+    {
+        "frontend_file": text_of("page<k>.ts", k=f"{_K} % 50"),
+        "frontend_function": text_of("call<k>", k=_K),
+        "http_method": case_of(f"{_K} % 5", _METHODS),
+        "frontend_url": text_of("/api/v2/r<c>/{id}", c="o_custkey"),
+        "backend_file": _when_matched("admin/r<c>.py"),
+        "backend_function": _when_matched("fn_<c>"),
+        "backend_route": _when_matched("/api/v2/r<c>/{key}"),
+        "database_tables": f"CASE WHEN {_K} % 4 = 0 THEN 'ORDERS;PART' WHEN {_K} % 4 = 1 THEN 'ORDERS' ELSE '' END",
+        "stored_procedures": f"CASE WHEN {_K} % 8 = 0 THEN 'LOAD_A,LOAD_B' ELSE '' END",
+        "flow_calls": f"CASE WHEN {_K} % 16 = 1 THEN 'start' ELSE '' END",
+        "response_model": _when_matched("Resp_<c>"),
+        "response_fields": _when_matched("id,label"),
+        "nested_fields": "''",
+        "table_column_details": f"CASE WHEN {_K} % 4 = 1 THEN 'ORDERS:[O_ORDERKEY]' ELSE '' END",
+    },
+)
+
+# Names to classify or to clean.
+REPOSITORY = Corpus(
+    "part",
+    {"repository": case_of(
+        "p_partkey % 8",
+        [text_of(t, k="p_partkey") for t in (
+            "shop<k>-frontend", "Shop<k>-API", "tools<k>", "ui-kit<k>", "my<k>-workflow", "my<k>-workflow-backend",
+            "service-<k>-web", "data<k>")])},
+)
+RAW_NAME = Corpus(
+    "part",
+    {
+        "name_id": "p_partkey",
+        "raw_name": case_of("p_partkey % 3", [text_of(t, k="p_partkey") for t in ("CTE_base_<k>", "sales_<k> AS s", "Stock_<k>")]),
+    },
+)
+SQL_TEXT = Corpus(
+    "part",
+    {
+        "text_id": "p_partkey",
+        "text": case_of("p_partkey % 4", [text_of(t, k="p_partkey") for t in (
+            "WITH cte_a AS (SELECT 1 FROM SRC_<k>) SELECT * FROM cte_a JOIN Customers ON 1 = 1",
+            "UPDATE ORD_<k> SET a = 1", "please select a colour from the list", "short")]),
+    },
+)
+
 # The catalog of base-table columns is the tables' own schema.
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 

@@ -52,6 +52,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
 
 
+def elements(name: str) -> Column:
+    """An array column, to be exploded without being computed twice.
+
+    For a bare column the optimizer adds a non-empty test below the generator and pushes it
+    through the projections, which evaluates the whole expression again.
+    """
+    return F.filter(name, lambda x: x.isNotNull())
+
+
+def only_if(condition: Column, value: Column) -> Column:
+    """Generator of one value, or of no row at all.
+
+    A filter on a computed column would be pushed below the projections and compute it again.
+    """
+    return F.explode(F.when(condition, F.array(value)))
+
+
 def strip_comments(text: Column) -> Column:
     """Comments removed, literals kept."""
     return F.regexp_replace(text, rf"({LITERAL})|--[^\r\n]*|/\*(?s:.*?)\*/", "$1 ")

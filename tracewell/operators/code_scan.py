@@ -179,7 +179,7 @@ def functions(files: DataFrame) -> DataFrame:
     headers = F.transform("pieces", lambda p: F.try_element_at(all_matches(p, r"(?m)^class\s+(\w+)"), F.lit(-1)))
     lines = F.transform("pieces", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
     cut = cut.withColumn("headers", headers).withColumn("lines", lines)
-    rows = cut.select("file_id", "path", "headers", "lines", F.posexplode("pieces").alias("ordinal", "piece")).where(
+    rows = cut.select("file_id", "path", "headers", "lines", F.posexplode(T.elements("pieces")).alias("ordinal", "piece")).where(
         F.col("piece").rlike(r"^[ \t]*(?:async[ \t]+)?def\s+\w"))
     indented = F.col("piece").rlike(r"^[ \t]")
     owner = F.try_element_at(F.filter(F.slice("headers", F.lit(1), F.col("ordinal")), lambda h: h.isNotNull()), F.lit(-1))

@@ -72,6 +72,9 @@ def select_score(segs: Column) -> Column:
     ))
 
 
+NESTED_QUERY = r"(?i)\b(?:FROM|JOIN)\s*\(\s*(?:SELECT|WITH)\b"
+
+
 def scoped(ddl: DataFrame) -> DataFrame:
     """Adds ``scopes``: array of (ordinal, kind, name, body, segs) for each supported query."""
     base = parsed(ddl)
@@ -85,7 +88,7 @@ def scoped(ddl: DataFrame) -> DataFrame:
     has_derived = F.col("query").rlike(r"(?i)\b(?:FROM|JOIN)\s*\(\s*SELECT\b")
     flat = F.when(has_derived, F.regexp_replace("query", T.DERIVED_TABLE, "$1 $3")).otherwise(F.col("query"))
     none = F.expr("CAST(array() AS array<struct<kind:string,name:string,body:string>>)")
-    has_with = F.col("flat").rlike(r"(?i)^WITH\b")
+    has_with = F.col("is_supported") & F.col("flat").rlike(r"(?i)^WITH\b")
     return (
         base.withColumn("flat", flat)
         .withColumn("derived_tables", F.when(has_derived, pair(F.col("query"), T.DERIVED_TABLE, 3, 2, "derived")).otherwise(none))
@@ -112,6 +115,7 @@ def scoped(ddl: DataFrame) -> DataFrame:
                 ),
             ),
         )
+        .withColumn("nested_query", F.col("flat").rlike(NESTED_QUERY) | F.exists("derived_tables", lambda d: d["body"].rlike(NESTED_QUERY)))
         .drop("derived_tables", "blocks", "flat")
     )
 
@@ -188,7 +192,7 @@ def ddl_classify(ddl: DataFrame) -> DataFrame:
 def ddl_object_columns(ddl: DataFrame) -> DataFrame:
     """Ordered output columns."""
     cols = with_object_columns(with_items(scoped(ddl)))
-    return cols.select("object_id", F.posexplode("object_columns").alias("pos", "column_name")).select(
+    return cols.select("object_id", F.posexplode(T.elements("object_columns")).alias("pos", "column_name")).select(
         "object_id", (F.col("pos") + 1).cast("int").alias("ordinal"), "column_name"
     )
 
@@ -200,30 +204,28 @@ def ddl_dedup_columns(columns: DataFrame) -> DataFrame:
 
 def ddl_pattern(ddl: DataFrame) -> DataFrame:
     """Analysis pattern by IDENTIFIER use, named subqueries and select-list stars."""
-    scopes = with_items(scoped(ddl)).where("is_supported")
     stars = F.exists("scopes", lambda s: F.exists(s["items"], lambda i: i["kind"] == "star"))
     has_star, has_cte = F.coalesce(stars, F.lit(False)), F.size("ctes") > 0
-    return scopes.select(
-        "object_id",
+    pattern = (
         F.when(F.col("uses_identifier"), "identifier_function")
         .when(has_cte & has_star, "hybrid")
         .when(has_cte, "nested_cte_dominant")
         .when(has_star, "wildcard_dominant")
         .otherwise("hybrid")
-        .alias("sql_pattern"),
     )
+    return with_items(scoped(ddl)).select("object_id", T.only_if(F.col("is_supported"), pattern).alias("sql_pattern"))
 
 
 def ddl_ctes(ddl: DataFrame) -> DataFrame:
     """Named subqueries in order, with their text."""
-    return scoped(ddl).where("is_supported").select("object_id", F.posexplode("ctes").alias("pos", "cte")).select(
+    return scoped(ddl).select("object_id", F.posexplode(T.elements("ctes")).alias("pos", "cte")).select(
         "object_id", (F.col("pos") + 1).cast("int").alias("ordinal"),
         F.col("cte.name").alias("cte_name"), F.col("cte.body").alias("body"),
     )
 
 
 def _scope_rows(df: DataFrame, *extra: str) -> DataFrame:
-    return df.select("object_id", *extra, F.explode("scopes").alias("scope"))
+    return df.select("object_id", *extra, F.explode(T.elements("scopes")).alias("scope"))
 
 
 def ddl_table_refs(ddl: DataFrame) -> DataFrame:
@@ -290,35 +292,35 @@ def ddl_window_refs(ddl: DataFrame) -> DataFrame:
 def ddl_main_select(ddl: DataFrame) -> DataFrame:
     """Score, items, sources and stars of the select that defines the object."""
     main = F.element_at(F.col("scopes"), -1)
-    return with_items(scoped(ddl)).where(F.size("scopes") > 0).select(
-        "object_id",
+    found = F.struct(
         select_score(main["segs"]).cast("int").alias("score"),
         F.size(main["items"]).alias("n_items"),
         F.exists(main["items"], lambda i: i["kind"] == "star").alias("has_wildcard"),
         F.get(T.table_refs(main["segs"]), F.lit(0))["table_name"].alias("from_source"),
     )
+    return with_items(scoped(ddl)).select("object_id", T.only_if(main.isNotNull(), found).alias("m")).select("object_id", "m.*")
 
 
 def ddl_main_scope(ddl: DataFrame) -> DataFrame:
     """The first select outside named subqueries, with the subqueries taken out."""
     main = F.element_at(F.col("scopes"), -1)
-    return with_tables(with_items(scoped(ddl))).where(F.size("scopes") > 0).select(
-        "object_id", F.size("scopes").alias("n_scopes"),
+    found = F.struct(
+        F.size("scopes").alias("n_scopes"),
         F.array_join(F.transform(main["items"], lambda i: i["expr"]), " | ").alias("exprs"),
         F.array_join(F.transform(main["tables"], lambda t: t["table_name"]), ";").alias("tables"),
     )
+    return with_tables(with_items(scoped(ddl))).select("object_id", T.only_if(main.isNotNull(), found).alias("m")).select("object_id", "m.*")
 
 
 def ddl_identifier_fn(ddl: DataFrame) -> DataFrame:
     """Definitions over ``IDENTIFIER('T')``: every column comes from T; no literal is an error."""
-    rows = with_object_columns(with_items(scoped(ddl))).where("uses_identifier and is_supported")
     known = F.col("identifier_table") != ""
+    names = F.when(known, F.array_distinct("object_columns")).otherwise(F.array(F.lit("ERROR")))
+    rows = with_object_columns(with_items(scoped(ddl))).select(
+        "object_id", "identifier_table", F.explode(F.when(F.col("uses_identifier") & F.col("is_supported"), names)).alias("view_column"))
     return rows.select(
-        "object_id", "identifier_table",
-        F.explode(F.when(known, F.array_distinct("object_columns")).otherwise(F.array(F.lit("ERROR")))).alias("view_column"),
-    ).select(
         "object_id", F.upper("view_column").alias("view_column"),
-        F.when(F.col("identifier_table") != "", "DIRECT").otherwise("ERROR").alias("column_type"),
-        F.when(F.col("identifier_table") != "", F.upper("identifier_table")).otherwise("ANALYSIS_ERROR").alias("source_table"),
-        F.when(F.col("identifier_table") != "", F.upper("view_column")).otherwise("ANALYSIS_ERROR").alias("source_column"),
+        F.when(known, "DIRECT").otherwise("ERROR").alias("column_type"),
+        F.when(known, F.upper("identifier_table")).otherwise("ANALYSIS_ERROR").alias("source_table"),
+        F.when(known, F.upper("view_column")).otherwise("ANALYSIS_ERROR").alias("source_column"),
     )

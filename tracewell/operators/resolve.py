@@ -166,12 +166,12 @@ def _column_entry(position: Column, column: Column) -> Column:
 
 def column_sources(ddl: DataFrame) -> DataFrame:
     """One row per (object, output column): method, sources, expression type and depth."""
-    df = resolved(ddl).where("is_supported and not uses_identifier")
+    df = resolved(ddl)
     df = df.withColumn("main_known", F.filter("known", lambda e: e["scope"] == ""))
     df = df.withColumn("object_columns", F.array_distinct("object_columns"))
     rows = F.transform("object_columns", lambda c, i: F.struct(
         (i + 1).cast("int").alias("ordinal"), c.alias("view_column"), _column_entry(i, c).alias("hit")))
-    out = df.withColumn("row", F.explode(rows))
+    out = df.withColumn("row", F.explode(F.when(~F.col("uses_identifier"), rows)))
     return out.select(
         *[c for c in ddl.columns if c != "ddl_text"], "object_name", "row.ordinal", "row.view_column", "row.hit.method",
         "row.hit.sources", "row.hit.expr_type", "row.hit.derived", "row.hit.depth",
@@ -217,7 +217,7 @@ def lineage_fields(df: DataFrame) -> list[Column]:
 
 
 def _scopes(df: DataFrame) -> DataFrame:
-    return df.withColumn("scope", F.explode("scopes"))
+    return df.withColumn("scope", F.explode(T.elements("scopes")))
 
 
 def alias_resolve(ddl: DataFrame) -> DataFrame:
@@ -279,14 +279,14 @@ def cte_dependencies(df: DataFrame) -> DataFrame:
 
 def cte_dependency_order(ddl: DataFrame) -> DataFrame:
     """Layer of every named subquery; members of a cycle come last."""
-    df = cte_dependencies(facts.scoped(ddl).where("is_supported and size(ctes) > 0"))
+    df = cte_dependencies(facts.scoped(ddl))
     layer = "array<struct<name:string,level:int>>"
     names = lambda acc: F.transform(acc, lambda e: e["name"])
     step = lambda acc, _: T.let(names(acc), lambda done: F.concat(acc, F.transform(
         F.filter("deps", lambda d: ~F.array_contains(done, d["name"]) & F.forall(d["needs"], lambda n: F.array_contains(done, n))),
         lambda d: F.struct(d["name"].alias("name"), (F.coalesce(F.array_max(F.transform(
             F.filter(acc, lambda e: F.array_contains(d["needs"], e["name"])), lambda e: e["level"])), F.lit(0)) + 1).alias("level")))))
-    df = df.withColumn("layers", F.reduce(F.sequence(F.lit(1), F.size("deps")), F.expr(f"CAST(array() AS {layer})"), step))
+    df = df.withColumn("layers", F.reduce(F.col("deps"), F.expr(f"CAST(array() AS {layer})"), step))
     top = F.coalesce(F.array_max(F.transform("layers", lambda e: e["level"])), F.lit(0))
     found = lambda n: _first(F.filter("layers", lambda e: e["name"] == n))["level"]
     return df.select("object_id", F.explode(F.transform("deps", lambda d: F.struct(
@@ -308,9 +308,9 @@ def cte_column_details(ddl: DataFrame) -> DataFrame:
 
 def cte_dependent_lookup(ddl: DataFrame) -> DataFrame:
     """For every column of a subquery: the first subquery, in order, it depends on that has the same column."""
-    df = cte_dependencies(scope_facts(ddl).where("is_supported and size(ctes) > 0"))
+    df = cte_dependencies(scope_facts(ddl))
     cols = lambda name: F.transform(_first(F.filter("scopes", lambda s: s["name"] == name))["items"], lambda i: F.lower(i["out_name"]))
-    rows = df.select("*", F.explode("deps").alias("d")).select(
+    rows = df.select("*", F.explode(T.elements("deps")).alias("d")).select(
         "*", F.explode(cols(F.col("d.name"))).alias("column_name"))
     return rows.select("object_id", F.col("d.name").alias("cte_name"), "column_name", _first(F.filter(
         "d.needs", lambda n: F.array_contains(cols(n), F.col("column_name")))).alias("found_in")).where("found_in is not null")
@@ -318,7 +318,7 @@ def cte_dependent_lookup(ddl: DataFrame) -> DataFrame:
 
 def cte_trace_base(ddl: DataFrame) -> DataFrame:
     """Closure of (subquery, column) to base tables; no subquery name is left."""
-    return resolved(ddl).select("object_id", F.explode("known").alias("e")).where("e.scope <> ''").select(
+    return resolved(ddl).select("object_id", F.explode(T.elements("known")).alias("e")).where("e.scope <> ''").select(
         "object_id", F.col("e.scope").alias("cte_name"), F.col("e.column_name").alias("column_name"),
         F.col("e.depth").alias("depth"), F.inline("e.sources").alias("base_table", "base_column"),
     )
@@ -336,14 +336,13 @@ def cte_original_name(ddl: DataFrame) -> DataFrame:
 
 def cte_main(ddl: DataFrame) -> DataFrame:
     """The subquery that stands for the whole view: one that holds most of its columns, else the last."""
-    df = scope_facts(ddl).where("is_supported and size(ctes) > 0")
     wanted = F.transform("object_columns", F.lower)
     holds = lambda s: F.size(F.array_intersect(wanted, F.transform(s["items"], lambda i: F.lower(i["out_name"]))))
     subqueries = F.filter("scopes", lambda s: s["kind"] == "cte")
     majority = _first(F.filter(subqueries, lambda s: holds(s) * 2 > F.size(wanted)))["name"]
-    return df.select(
-        "object_id", F.coalesce(majority, F.element_at(subqueries, -1)["name"]).alias("main_cte"),
-        majority.isNotNull().alias("by_majority"))
+    found = F.struct(
+        F.coalesce(majority, F.try_element_at(subqueries, F.lit(-1))["name"]).alias("main_cte"), majority.isNotNull().alias("by_majority"))
+    return scope_facts(ddl).select("object_id", T.only_if(F.size("ctes") > 0, found).alias("m")).select("object_id", "m.*")
 
 
 def lineage_direct(ddl: DataFrame) -> DataFrame:
@@ -429,8 +428,8 @@ def error_rows(ddl: DataFrame) -> DataFrame:
     """One row per definition that is missing or cannot be analysed."""
     broken = facts.scoped(ddl)
     reason = failure(broken)
-    return broken.select("object_id", F.upper("view_name").alias("view_name"), reason.alias("reason")).where(
-        "reason is not null").select("object_id", *_error_fields())
+    rows = broken.select("object_id", F.upper("view_name").alias("view_name"), T.only_if(reason.isNotNull(), reason).alias("reason"))
+    return rows.select("object_id", *_error_fields())
 
 
 def _error_fields() -> list[Column]:
@@ -442,14 +441,12 @@ def _error_fields() -> list[Column]:
 
 def failure(scopes: DataFrame) -> Column:
     """Why a definition has no lineage, or null: text missing, or outside the supported subset."""
-    nested = F.exists("scopes", lambda s: F.exists(
-        s["segs"], lambda g: g["kw"].isin("FROM", "JOIN") & g["txt"].rlike(r"(?i)^\(\s*(?:SELECT|WITH)\b")))
     no_literal = F.col("uses_identifier") & (F.col("identifier_table") == "")
     return (
         F.when(F.col("ddl_text").isNull(), "DDL_NOT_FOUND")
         .when(~F.col("is_supported"), "ANALYSIS_ERROR")
         .when(no_literal, "ANALYSIS_ERROR")
-        .when(F.coalesce(nested, F.lit(False)), "ANALYSIS_ERROR")
+        .when(F.col("nested_query"), "ANALYSIS_ERROR")
     )
 
 

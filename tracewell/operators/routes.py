@@ -74,7 +74,7 @@ def exported_functions(files: DataFrame) -> DataFrame:
     """
     cut = files.where(F.col("path").rlike(r"\.tsx?$")).withColumn("pieces", F.split("text", EXPORT))
     breaks = F.transform("pieces", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
-    rows = cut.withColumn("breaks", breaks).select("file_id", "path", "breaks", F.posexplode("pieces").alias("n", "piece"))
+    rows = cut.withColumn("breaks", breaks).select("file_id", "path", "breaks", F.posexplode(T.elements("pieces")).alias("n", "piece"))
     start = F.reduce(F.slice("breaks", F.lit(1), F.col("n")), F.lit(0), lambda a, x: a + x) + 1
     rows = rows.select(
         "file_id", "path", start.alias("start_line"),
@@ -192,7 +192,7 @@ def backend_routes(files: DataFrame) -> DataFrame:
     """
     routers = files.where(F.col("path").contains("routers/")).withColumn("pieces", F.split("text", r"(?m)(?=^@router\.)"))
     breaks = F.transform("pieces", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
-    rows = routers.withColumn("breaks", breaks).select("file_id", "path", "breaks", F.posexplode("pieces").alias("n", "piece"))
+    rows = routers.withColumn("breaks", breaks).select("file_id", "path", "breaks", F.posexplode(T.elements("pieces")).alias("n", "piece"))
     rows = rows.where(F.col("piece").rlike(ROUTE_HEAD))
     function = F.regexp_extract("piece", r"(?:^|\n)\s*(?:async\s+)?def\s+(\w+)", 1)
     return rows.select(
@@ -226,7 +226,7 @@ def call_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> Data
     The frontier is joined with the edges once per round and what was seen before is taken
     out. Every round is checkpointed, so plans stay short and a lost executor replays one round.
     """
-    edges = edges.select("caller", "callee")
+    edges = checkpointed(edges.select("caller", "callee"))
     frontier = checkpointed(roots.select(F.col("root"), F.col("root").alias("function_name"), F.lit(0).alias("depth")).distinct())
     seen = frontier
     for depth in range(1, max_depth + 1):
@@ -401,11 +401,12 @@ def response_column_count(files: DataFrame) -> DataFrame:
 
 def backend_report(files: DataFrame) -> DataFrame:
     """Routes with tables, procedures, flow calls, response fields and table columns."""
-    fns = scan.functions(files)
-    direct = scan.call_edges(fns)
+    # Functions, call edges and routes are read many times below; each is made once from the text.
+    fns = checkpointed(scan.functions(files))
+    direct = checkpointed(scan.call_edges(fns))
     services = scan.service_resolve(fns, scan.service_alias(files)).select(
         F.col("name").alias("caller"), F.substring_index("target", ".", -1).alias("callee"))
-    routes = backend_routes(files).withColumn("model", scan.unwrapped_type(F.col("response_model")))
+    routes = checkpointed(backend_routes(files).withColumn("model", scan.unwrapped_type(F.col("response_model"))))
     tables = route_tables(routes, direct.unionByName(services).distinct(), scan.function_tables(fns, scan.model_table_map(files)))
     procs = route_procs(routes, direct, scan.function_procs(fns, direct, scan.service_proc_map(fns)))
     flows = scan.flow_calls(fns, files).groupBy(F.col("name").alias("function_name")).agg(
@@ -424,8 +425,8 @@ def backend_report(files: DataFrame) -> DataFrame:
 
 def mapping_report(ui_files: DataFrame, backend_files: DataFrame) -> DataFrame:
     """The 14-column report: every user-interface call with what lies behind it."""
-    calls = http_call_url(ui_files).withColumn("call_id", F.col("file_id") * 1_000_000 + F.col("line_no"))
-    routes = backend_report(backend_files)
+    calls = checkpointed(http_call_url(ui_files).withColumn("call_id", F.col("file_id") * 1_000_000 + F.col("line_no")))
+    routes = checkpointed(backend_report(backend_files))
     mapped = calls.join(mapping_build(calls, routes).drop("match_type"), "call_id").join(
         routes.drop("method").withColumnRenamed("function_name", "backend_function"), "route_id", "left")
     text = lambda c: F.coalesce(c, F.lit(""))

@@ -236,11 +236,12 @@ def unqualified_resolve(ddl: DataFrame, catalog: DataFrame | None = None) -> Dat
     Candidates are ranked last JOIN first, FROM last. With a catalog, a candidate that owns
     the column beats one that does not; the rank only breaks ties.
     """
-    rows = scope_facts(ddl).select("object_id", F.element_at(F.col("scopes"), -1).alias("scope"))
-    bare = rows.select("object_id", "scope.tables", F.explode("scope.items").alias("item")).select(
-        "object_id", "tables", F.explode("item.refs").alias("r")).where("r.qualifier = ''")
-    ranked = bare.select("object_id", F.col("r.column_name").alias("column_name"), F.posexplode(F.reverse("tables")).alias("rank", "t"))
-    ranked = ranked.select("object_id", "column_name", "rank", F.col("t.table_name").alias("table_name"))
+    bare = T.let(F.element_at(F.col("scopes"), -1), lambda m: F.flatten(F.transform(m["items"], lambda i: F.transform(
+        F.filter(i["refs"], lambda r: r["qualifier"] == ""),
+        lambda r: F.struct(r["column_name"].alias("column_name"), F.reverse(m["tables"]).alias("tables"))))))
+    rows = scope_facts(ddl).select("object_id", F.explode(bare).alias("b")).select(
+        "object_id", "b.column_name", F.posexplode("b.tables").alias("rank", "t"))
+    ranked = rows.select("object_id", "column_name", "rank", F.col("t.table_name").alias("table_name"))
     if catalog is None:
         ranked = ranked.withColumn("owned", F.lit(False))
     else:
@@ -379,8 +380,8 @@ def promote_derived(ddl: DataFrame) -> DataFrame:
 
 def case_insensitive_match(wanted: DataFrame, keys: DataFrame, by: list[str], name: str, key: str) -> DataFrame:
     """Key that equals the wanted name, else the first one that equals it ignoring case."""
-    left = wanted.withColumn("_l", F.lower(name))
-    right = keys.withColumn("_l", F.lower(key)).groupBy(*by, "_l", key).agg(F.lit(1).alias("_one")).drop("_one")
+    left = wanted.select(*by, name).distinct().withColumn("_l", F.lower(name))
+    right = keys.select(*by, key, F.lower(key).alias("_l")).distinct()
     return left.join(right, [*by, "_l"]).groupBy(*by, name).agg(
         F.min_by(key, F.struct(F.col(key) != F.col(name), F.col(key))).alias(key))
 

@@ -305,7 +305,8 @@ def route_match_fuzzy(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
 def subsets(parts: Column, n: Column, least: Column) -> Column:
     """All subsets with at least ``least`` members: array of (size, key)."""
-    masks = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 1), lambda m: F.bit_count(m) >= least)
+    masks = F.filter(
+        F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 1), lambda m: F.bit_count(m).between(least, F.lit(SUBSET_SEGMENTS)))
     member = lambda m, i: F.floor(m / F.pow(F.lit(2), i)).cast("int") % 2 == 1
     return F.transform(masks, lambda m: F.struct(
         F.bit_count(m).alias("o"), F.array_join(F.filter(parts, lambda p, i: member(m, i)), "/").alias("key")))

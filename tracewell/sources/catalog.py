@@ -54,23 +54,19 @@ def discover_views(catalog: DataFrame, database: str | None = None, schemas: lis
 def ddl_lookup(requests: DataFrame, catalog: DataFrame, preferred_schema: str) -> DataFrame:
     """Definition of each requested name.
 
-    A name may be ``db.schema.view``, ``schema.view`` or bare. A qualified name must match
-    its place; among the rest the preferred schema comes first, then the first schema by name.
-    The best match is an aggregate per request, so a name that exists in very many schemas
-    is reduced before the shuffle.
+    A name may be ``db.schema.view``, ``schema.view`` or bare, and must equal that form of a
+    view's name. Of several views the preferred schema comes first, then the first schema by
+    name. Each form is reduced to its best view before the join, so every request meets one
+    row at most, however many schemas hold a view of that name.
     """
-    parts = F.split("requested", r"\.")
-    wanted = requests.select(
-        "requested", F.element_at(parts, -1).alias("view_name"),
-        F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2)).alias("want_schema"),
-        F.when(F.size(parts) > 2, F.get(parts, F.size(parts) - 3)).alias("want_database"),
-    )
-    found = wanted.join(catalog.select("view_name", "schema_name", "database_name", "ddl_text"), "view_name", "left").where(
-        "(want_schema is null or want_schema = schema_name) and (want_database is null or want_database = database_name)")
-    best = found.groupBy("requested").agg(F.min_by(
-        F.struct("schema_name", "database_name", "ddl_text"),
-        F.struct(F.col("schema_name") != preferred_schema, "schema_name", "database_name")).alias("b"))
-    return requests.join(best, "requested", "left").select("requested", "b.schema_name", "b.database_name", "b.ddl_text")
+    forms = F.array("view_name", F.concat_ws(".", "schema_name", "view_name"), F.concat_ws(".", "database_name", "schema_name", "view_name"))
+    place = ["schema_name", "database_name", "view_name"]
+    best = catalog.select(F.explode(forms).alias("requested"), *place).groupBy("requested").agg(
+        F.min(F.struct((F.col("schema_name") != preferred_schema).alias("other"), *place)).alias("b")
+    ).select("requested", *[F.col("b")[c].alias(c) for c in place])
+    wanted = requests.select("requested").distinct().join(best, "requested")
+    texts = wanted.join(catalog.select(*place, "ddl_text"), place).select("requested", "schema_name", "database_name", "ddl_text")
+    return requests.select("requested").join(texts, "requested", "left")
 
 
 # --- source code ---------------------------------------------------------------------
@@ -146,5 +142,4 @@ def repo_classify(repositories: DataFrame, frontend: list[str] | None = None, ba
 
 def base_view_read(base: DataFrame) -> DataFrame:
     """The registry ordered by id, with the total."""
-    total = base.agg(F.count(F.lit(1)).alias("total"))
-    return base.join(total).orderBy("base_primary_id")
+    return base.select("*", base.agg(F.count(F.lit(1)).alias("total")).scalar().alias("total")).orderBy("base_primary_id")

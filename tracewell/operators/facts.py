@@ -10,6 +10,8 @@ main select (kind ``main``, name '').
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,15 @@ def select_score(segs: Column) -> Column:
     ))
 
 
+@cache
+def scopes_column() -> Column:
+    blocks = F.transform("blocks", lambda b, i: F.struct(
+        (i + 1).cast("int").alias("ordinal"), b["kind"].alias("kind"), b["name"].alias("name"), b["body"].alias("body"),
+        F.when(b["kind"] == "main", best_branch(b["body"])).otherwise(T.segments(b["body"])).alias("segs"),
+    ))
+    return F.when(F.col("is_supported") & F.col("has_query"), blocks)
+
+
 NESTED_QUERY = r"(?i)\b(?:FROM|JOIN)\s*\(\s*(?:SELECT|WITH)\b"
 
 
@@ -101,34 +112,25 @@ def scoped(ddl: DataFrame) -> DataFrame:
                 F.array(F.struct(F.lit("main").alias("kind"), F.lit("").alias("name"), F.col("main_text").alias("body"))),
             ),
         )
-        .withColumn(
-            "scopes",
-            F.when(
-                F.col("is_supported") & F.col("has_query"),
-                F.transform(
-                    "blocks",
-                    lambda b, i: F.struct(
-                        (i + 1).cast("int").alias("ordinal"), b["kind"].alias("kind"), b["name"].alias("name"),
-                        b["body"].alias("body"),
-                        F.when(b["kind"] == "main", best_branch(b["body"])).otherwise(T.segments(b["body"])).alias("segs"),
-                    ),
-                ),
-            ),
-        )
+        .withColumn("scopes", scopes_column())
         .withColumn("nested_query", F.col("flat").rlike(NESTED_QUERY) | F.exists("derived_tables", lambda d: d["body"].rlike(NESTED_QUERY)))
         .drop("derived_tables", "blocks", "flat")
     )
 
 
+# The columns below do not depend on the input, so each is built once per process.
+
+
+@cache
+def tables_column() -> Column:
+    sources = lambda s: F.filter(
+        T.table_refs(s["segs"]), lambda t: F.lower(t["table_name"]) != F.lower(F.col("object_name")))
+    return F.transform("scopes", lambda s: s.withField("tables", sources(s)))
+
+
 def with_tables(scopes: DataFrame) -> DataFrame:
     """Adds ``tables`` to every scope; the object itself is not one of its sources."""
-    return scopes.withColumn(
-        "scopes",
-        F.transform("scopes", lambda s: s.withField(
-            "tables",
-            F.filter(T.table_refs(s["segs"]), lambda t: F.lower(t["table_name"]) != F.lower(F.col("object_name"))),
-        )),
-    )
+    return scopes.withColumn("scopes", tables_column())
 
 
 def item_struct(text: Column, position: Column) -> Column:
@@ -141,29 +143,28 @@ def item_struct(text: Column, position: Column) -> Column:
     ))
 
 
+@cache
+def items_column() -> Column:
+    return F.transform("scopes", lambda s: s.withField("items", F.transform(T.select_texts(s["segs"]), item_struct)))
+
+
 def with_items(scopes: DataFrame) -> DataFrame:
     """Adds ``items`` to every scope: output name, expression, kind and star qualifier."""
-    return scopes.withColumn(
-        "scopes",
-        F.transform("scopes", lambda s: s.withField("items", F.transform(T.select_texts(s["segs"]), item_struct))),
-    )
+    return scopes.withColumn("scopes", items_column())
+
+
+@cache
+def refs_column() -> Column:
+    none = F.expr("CAST(array() AS array<struct<qualifier:string,column_name:string>>)")
+    described = lambda i: i.withField(
+        "expr_type", F.when(i["kind"] == "derived", T.expression_type(i["expr"])).otherwise("")
+    ).withField("refs", F.when(i["kind"] == "star", none).otherwise(T.column_refs(i["expr"])))
+    return F.transform("scopes", lambda s: s.withField("items", F.transform(s["items"], described)))
 
 
 def with_refs(scopes: DataFrame) -> DataFrame:
     """Adds root type and column references to every item."""
-    return scopes.withColumn(
-        "scopes",
-        F.transform("scopes", lambda s: s.withField(
-            "items",
-            F.transform(s["items"], lambda i: i.withField(
-                "expr_type", F.when(i["kind"] == "derived", T.expression_type(i["expr"])).otherwise("")
-            ).withField(
-                "refs",
-                F.when(i["kind"] == "star", F.expr("CAST(array() AS array<struct<qualifier:string,column_name:string>>)"))
-                .otherwise(T.column_refs(i["expr"])),
-            )),
-        )),
-    )
+    return scopes.withColumn("scopes", refs_column())
 
 
 def with_object_columns(items: DataFrame) -> DataFrame:

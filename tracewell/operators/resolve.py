@@ -8,6 +8,8 @@ far. No join, no shuffle, no loop over the cluster; only catalog look-ups join.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,23 +119,26 @@ def item_entries(known: Column, scope: Column, scope_names: Column, all_tables:
     return F.when(item["kind"] == "star", star).otherwise(one)
 
 
-def resolved(ddl: DataFrame) -> DataFrame:
-    """Adds ``known``: every output column of every scope with its base sources.
-
-    One pass over the scopes in order is enough for legal SQL. Where a subquery reads a
-    later one, the pass is repeated once per scope; a cycle ends without sources.
-    """
-    df = scope_facts(ddl)
+@cache
+def known_column() -> Column:
     forward = F.exists("scopes", lambda s: F.exists(s["tables"], lambda t: F.exists(
         F.col("scopes"),
         lambda u: (u["name"] == F.lower(t["table_name"])) & (u["ordinal"] > s["ordinal"]) & (u["kind"] != "main"))))
-    passes = F.when(forward, F.size("scopes")).otherwise(1)
     step = lambda known, s: F.concat(
         F.filter(known, lambda e: e["scope"] != s["name"]),
         F.flatten(F.transform(s["items"], lambda i: item_entries(known, s, F.col("scope_names"), F.col("all_tables"), i))),
     )
-    order = F.when(forward, F.flatten(F.array_repeat(F.col("scopes"), passes))).otherwise(F.col("scopes"))
-    return df.withColumn("known", F.reduce(order, _array(ENTRY), step))
+    repeated = F.flatten(F.array_repeat(F.col("scopes"), F.size("scopes")))
+    return F.reduce(F.when(forward, repeated).otherwise(F.col("scopes")), _array(ENTRY), step)
+
+
+def resolved(ddl: DataFrame) -> DataFrame:
+    """Adds ``known``: every output column of every scope with its base sources.
+
+    One pass over the scopes in order is enough for legal SQL. Where a subquery reads a
+    later one, the pass is repeated once per scope; a cycle ends without sources.
+    """
+    return scope_facts(ddl).withColumn("known", known_column())
 
 
 def _column_entry(position: Column, column: Column) -> Column:
@@ -164,14 +169,18 @@ def _column_entry(position: Column, column: Column) -> Column:
     )
 
 
+@cache
+def column_rows() -> Column:
+    return F.transform("object_columns", lambda c, i: F.struct(
+        (i + 1).cast("int").alias("ordinal"), c.alias("view_column"), _column_entry(i, c).alias("hit")))
+
+
 def column_sources(ddl: DataFrame) -> DataFrame:
     """One row per (object, output column): method, sources, expression type and depth."""
     df = resolved(ddl)
     df = df.withColumn("main_known", F.filter("known", lambda e: e["scope"] == ""))
     df = df.withColumn("object_columns", F.array_distinct("object_columns"))
-    rows = F.transform("object_columns", lambda c, i: F.struct(
-        (i + 1).cast("int").alias("ordinal"), c.alias("view_column"), _column_entry(i, c).alias("hit")))
-    out = df.withColumn("row", F.explode(F.when(~F.col("uses_identifier"), rows)))
+    out = df.withColumn("row", F.explode(F.when(~F.col("uses_identifier"), column_rows())))
     return out.select(
         *[c for c in ddl.columns if c != "ddl_text"], "object_name", "row.ordinal", "row.view_column", "row.hit.method",
         "row.hit.sources", "row.hit.expr_type", "row.hit.derived", "row.hit.depth",
@@ -459,7 +468,7 @@ def lineage_all(ddl: DataFrame) -> DataFrame:
     df = resolved(ddl.select("object_id", "view_name", "ddl_text"))
     df = df.withColumn("main_known", F.filter("known", lambda e: e["scope"] == ""))
     df = df.withColumn("object_columns", F.array_distinct("object_columns")).withColumn("reason", failure(df))
-    plain = F.transform("object_columns", lambda c, i: F.struct(c.alias("view_column"), _column_entry(i, c).alias("hit")))
+    plain = F.transform(column_rows(), lambda r: F.struct(r["view_column"].alias("view_column"), r["hit"].alias("hit")))
     identified = F.transform("object_columns", lambda c: F.struct(c.alias("view_column"), F.struct(
         F.lit("identifier").alias("method"),
         F.array(F.struct(F.col("identifier_table").alias("table_name"), c.alias("column_name"))).alias("sources"),

@@ -218,6 +218,7 @@ FRONTEND_CALL = Corpus(
             ],
         ),
     },
+    text=True,
 )
 
 BACKEND_ROUTE = Corpus(
@@ -235,6 +236,7 @@ BACKEND_ROUTE = Corpus(
         ),
         "function_name": "'fn_' || CAST(c_custkey AS STRING)",
     },
+    text=True,
 )
 
 CALL_EDGE = Corpus(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,11 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a fresh temporary folder is made and remembered.
+    Where that is unset, a local session (tests) gets a temporary folder that is removed when
+    the process ends. On a cluster a machine-local folder would be invisible to the other
+    machines, so there the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracewell.shared.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if not master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tracewell-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("tracewell.shared.dir", folder)
     return folder.rstrip("/")
 
@@ -24,6 +32,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written once to the shared folder and read back.
+
+    Cuts the lineage: later uses read the files, whichever executors have been lost.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Lineage cut through reliable storage, so a lost executor does not replay every round."""
     context = df.sparkSession.sparkContext

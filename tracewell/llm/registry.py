@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tracewell.llm import mixing
+from tracewell.llm import decontaminate, mixing, secrets
 
 QUERIES = {
+    "op4_secret_spans": secrets.op4_secret_spans,
+    "op9_benchmark_hits": decontaminate.op9_benchmark_hits,
     "op8_source_mix": mixing.op8_source_mix,
 }
 
 SQL = {
+    "op9_benchmark_hits": decontaminate.OP9_SQL,
     "op8_source_mix": mixing.OP8_SQL,
 }

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tracewell.llm import decontaminate, mixing, secrets
+from tracewell.llm import chat, decontaminate, mixing, secrets
 
 QUERIES = {
     "op4_secret_spans": secrets.op4_secret_spans,
+    "op6_chat_format": chat.op6_chat_format,
     "op9_benchmark_hits": decontaminate.op9_benchmark_hits,
     "op8_source_mix": mixing.op8_source_mix,
 }
 
 SQL = {
+    "op6_chat_format": chat.OP6_SQL,
     "op9_benchmark_hits": decontaminate.OP9_SQL,
     "op8_source_mix": mixing.OP8_SQL,
 }

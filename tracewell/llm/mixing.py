@@ -29,7 +29,7 @@ from tracewell.sources.storage import written
 #: Fixed values of the contract: weights by position of the source, share of all words, most copies.
 WEIGHTS, SHARE, MAX_REPEATS = (3, 1, 2), 1.5, 2
 #: Rows of a block of a source's queue, at most about sixteen times as many.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 SOURCE = ["no_source", "source_key"]
 OUTPUT = ["doc_id", "size", "source_size", "target", "taken"]
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, mixing, secrets
+from tracewell.llm import chat, decontaminate, mixing, secrets, simhash
 
 QUERIES = {
     "op4_secret_spans": secrets.op4_secret_spans,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_simhash_groups": simhash.op7_simhash_groups,
     "op9_benchmark_hits": decontaminate.op9_benchmark_hits,
     "op8_source_mix": mixing.op8_source_mix,
 }

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, mixing, secrets, simhash
+from tracewell.llm import chat, decontaminate, mixing, secrets, simhash, topk
 
 QUERIES = {
     "op4_secret_spans": secrets.op4_secret_spans,
     "op6_chat_format": chat.op6_chat_format,
     "op7_simhash_groups": simhash.op7_simhash_groups,
+    "op10_exact_neighbours": topk.op10_exact_neighbours,
     "op9_benchmark_hits": decontaminate.op9_benchmark_hits,
     "op8_source_mix": mixing.op8_source_mix,
 }
 
 SQL = {
     "op6_chat_format": chat.OP6_SQL,
+    "op10_exact_neighbours": topk.OP10_SQL,
     "op9_benchmark_hits": decontaminate.OP9_SQL,
     "op8_source_mix": mixing.OP8_SQL,
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, mixing, secrets, simhash, topk
+from tracewell.llm import chat, decontaminate, mixing, secrets, simhash, tokens, topk
 
 QUERIES = {
+    "op1_token_counts": tokens.op1_token_counts,
     "op4_secret_spans": secrets.op4_secret_spans,
     "op6_chat_format": chat.op6_chat_format,
     "op7_simhash_groups": simhash.op7_simhash_groups,

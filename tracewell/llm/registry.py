@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, mixing, quality, secrets, simhash, tokens, topk
+from tracewell.llm import chat, decontaminate, mixing, quality, secrets, simhash, tokens, topk, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality_scores": quality.op3_quality_scores,
     "op4_secret_spans": secrets.op4_secret_spans,
     "op6_chat_format": chat.op6_chat_format,

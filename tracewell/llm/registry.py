@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, mixing, quality, secrets, simhash, tokens, topk, toxicity
+from tracewell.llm import chat, decontaminate, mixing, quality, secrets, simhash, substrings, tokens, topk, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality_scores": quality.op3_quality_scores,
     "op4_secret_spans": secrets.op4_secret_spans,
+    "op5_repeated_bytes": substrings.op5_repeated_bytes,
     "op6_chat_format": chat.op6_chat_format,
     "op7_simhash_groups": simhash.op7_simhash_groups,
     "op10_exact_neighbours": topk.op10_exact_neighbours,

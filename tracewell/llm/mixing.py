@@ -17,8 +17,6 @@ from it; an empty table gives no rows; other columns of the input are not looked
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,17 +115,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """The documents that the mix takes, with all their columns and how often each one is taken.
 
     Rows are matched by id, text hash and their number among equal rows, so repeated rows and
-    rows without an id keep their own count.
+    rows without an id keep their own count. Where ``docs`` has a column of the same name, the added
+    one is called ``mix_`` and its name.
     """
-    same = Window.partitionBy("mix_id", "mix_hash").orderBy("mix_id")
-    own = docs.select("*", F.col("doc_id").alias("mix_id"), F.xxhash64("text").alias("mix_hash")).withColumn("mix_row", F.row_number().over(same))
+    same = Window.partitionBy("mix_id", "mix_hash")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("mix_id"), F.xxhash64("text").alias("mix_hash"))
     counts = mix(docs, weights, share, max_repeats).select(
-        F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken")).withColumn(
-        "mix_row", F.row_number().over(same.orderBy("mix_source_size", "mix_taken")))
-    a, b = own.alias("a"), counts.alias("b")
+        F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), "size", "source_size", "target", "taken")
+    a = own.withColumn("mix_row", F.row_number().over(same.orderBy("mix_hash"))).alias("a")
+    b = counts.withColumn("mix_row", F.row_number().over(same.orderBy("source_size", "taken"))).alias("b")
     met = a.join(b, F.col("a.mix_id").eqNullSafe(F.col("b.mix_id")) & (F.col("a.mix_hash") == F.col("b.mix_hash")) & (F.col("a.mix_row") == F.col("b.mix_row")))
-    return met.where(F.col("b.mix_taken") > 0).select(*[F.col(f"a.`{c}`") for c in docs.columns], *[f"b.{c}" for c in ("mix_size", "mix_source_size", "mix_target", "mix_taken")])
+    added = [F.col(c).alias(f"mix_{c}" if c in docs.columns else c) for c in OUTPUT[1:]]
+    return met.where("taken > 0").select(*[F.col("doc")[c].alias(c) for c in docs.columns], *added)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,189 @@
+"""Token counts, toxicity, quality and secrets against plain counterparts, and on odd rows."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from llm_rows import SECRET, documents, odd_rows
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models, pre_tokenizers
+
+from tracewell.llm import quality, secrets, tokens, toxicity
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def library():
+    pieces = tokens.load_pieces(tokens.VOCABULARY)
+    tokenizer = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_tokens_like_the_library(library):
+    counter, rng = tokens.Counter(tokens.load_pieces(tokens.VOCABULARY)), random.Random(1)
+    for _ in range(2000):
+        text = "".join(rng.choice("abcde fghij▁\n\t☃é<0xA>stht漢\U0001F600") for _ in range(rng.randint(0, 60)))
+        assert counter.count(text) == library(text), text
+
+
+def test_tokens_with_fractions_and_ties():
+    pieces = [("<unk>", 0.0), ("▁", -2.5), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("aa", -2.0), ("▁a", -3.5), ("\n", -1.25), ("b\n", -2.25)]
+    tokenizer = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=False))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
+    counter, rng = tokens.Counter(pieces), random.Random(2)
+    for _ in range(2000):
+        text = "".join(rng.choice("aab \n") for _ in range(rng.randint(0, 12)))
+        assert counter.count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
+
+
+def test_tokens_on_odd_rows(spark, library):
+    rows = odd_rows()
+    got = tokens.with_token_counts(documents(spark, rows), to="counted").select("doc_id", "text", "counted").collect()
+    assert len(got) == len(rows)
+    assert all(r.counted == library(r.text or "") for r in got)
+    assert tokens.with_token_counts(documents(spark, rows).limit(0)).count() == 0
+
+
+def test_tokens_of_whole_table(spark, library):
+    got = tokens.op1_token_counts(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id").select("text", "n_tokens").collect()
+    assert len(got) == 1000 and all(r.n_tokens == library(r.text) for r in got)
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/../sf0.1/documents.parquet"), spark.read.parquet(f"{DATA}/../sf0.1/labels.parquet")
+    own = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(docs, labels.where(~own))
+    assert (np.diff(model.thresholds) > 0).all()
+    rows = toxicity.with_severity(docs, model).join(labels.where(own), "doc_id").select("toxic", "reached", "lang").collect()
+    assert all(list(r.reached) == sorted(r.reached, reverse=True) for r in rows)
+    # In this table only the English toxic documents have words that tell them.
+    caught = [r.reached[0] >= 0.5 for r in rows if r.toxic == 1 and r.lang == "en"]
+    assert sum(caught) / len(caught) > 0.9
+    assert sum(r.reached[0] >= 0.5 for r in rows if r.toxic == 0) <= 0.01 * len(rows)
+
+
+def test_toxicity_on_odd_rows(spark):
+    docs = documents(spark, odd_rows())
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (4, 0, 1), (5, 1, 0), (None, 1, 1), (3, None, None), (8, 1, 0), (77, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.with_severity(docs, toxicity.fit(docs, labels)).count() == len(odd_rows())
+    for none in (labels.limit(0), labels.where("toxic = 0")):
+        rows = toxicity.with_severity(docs, toxicity.fit(docs, none)).select("reached").collect()
+        assert all(sum(r.reached) == 0 for r in rows)
+    assert toxicity.with_severity(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+
+
+def test_quality_held_out(spark):
+    rows = quality.op3_quality_scores(spark, f"{DATA}/../sf0.1").join(spark.read.parquet(f"{DATA}/../sf0.1/labels.parquet"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    own = [r for r in rows if r.held_out]
+    good, bad = [r.score for r in own if r.quality == 1], [r.score for r in own if r.quality == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+    assert np.mean([g >= 0.3 for g in good]) > 0.97
+
+
+def test_quality_chunks_cover_the_text():
+    rng = random.Random(3)
+    for n in (0, 1, quality.CHUNK, quality.CHUNK + 1, 2 * quality.CHUNK - quality.OVERLAP, 5000):
+        text = bytes(rng.randrange(256) for _ in range(n))
+        step, chunks = quality.CHUNK - quality.OVERLAP, quality.chunks_of(text)
+        seen = np.full(len(chunks) * quality.CHUNK + n, -1)
+        for i, c in enumerate(chunks):
+            seen[i * step:i * step + quality.CHUNK] = c
+        assert seen[:n].tolist() == list(text)
+        assert n <= quality.CHUNK or len(chunks) * step + quality.OVERLAP >= n
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(5)
+    net = quality.Network.fresh(rng)
+    for name in ("bytes_", "filters", "bias", "weights", "offset"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    documents_ = [rng.integers(0, 257, (n, quality.CHUNK)) for n in (1, 3)]
+    labels, weight = np.array([1.0, 0.0]), np.array([0.7, 1.3])
+
+    def loss():
+        p = [quality.logistic(np.concatenate([(h := net.strongest(c)).max(axis=0), h.mean(axis=0)]) @ net.weights + net.offset)[0] for c in documents_]
+        return -np.mean(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - np.array(p))))
+
+    for part, grad in zip(net.parts(), quality.gradients(net, documents_, labels, weight), strict=True):
+        for at in [tuple(int(rng.integers(0, s)) for s in part.shape) for _ in range(4)]:
+            kept = part[at]
+            part[at] = kept + 1e-6
+            up = loss()
+            part[at] = kept - 1e-6
+            down = loss()
+            part[at] = kept
+            assert abs((up - down) / 2e-6 - grad[at]) < 1e-4
+
+
+def test_quality_on_odd_rows(spark):
+    docs = documents(spark, odd_rows())
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 15)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    scored = quality.with_quality(docs, quality.fit(docs, labels), "p").collect()
+    assert len(scored) == len(odd_rows()) and all(0 <= r.p <= 1 for r in scored)
+    same = {r.text or "": set() for r in scored}
+    for r in scored:
+        same[r.text or ""].add(round(r.p, 6))
+    assert all(len(v) == 1 for v in same.values())
+    assert {r.p for r in quality.with_quality(docs, quality.fit(docs, labels.limit(0)), "p").collect()} == {0.5}
+    assert quality.kept_documents(docs.limit(0), labels).count() == 0
+    assert quality.kept_documents(docs, labels).columns == docs.columns
+
+
+def plain_base(text):
+    found = []
+    for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 8:
+            found.append((m.start(), 0, m.end(), "assign"))
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [(a, b, k) for a, _, b, k in sorted(found)]
+
+
+def test_base_spans():
+    rng = random.Random(4)
+    parts = ["password", "PassWd", "toKen", "api_key", "APIKEY", "secret", "=", ": ", " ", '"', "'", "AKIA", "ABCDEF012345", "deadbeef", "0123456789abcdef", "\n\n", "Kelvin ſecret", "user=", "bob12", "https://x.y/z", "zz", "-"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        spans = secrets.all_spans(text)
+        assert [s for s in spans if s[2] in secrets.KINDS[:3]] == plain_base(text)
+        assert all(0 <= a < b <= len(text) for a, b, _ in spans)
+        assert not plain_base(secrets.redact(text)), text
+
+
+def test_weak_parts_need_company():
+    weak = "Zm9vYmFyMTIzNDU2Nzg5MA"
+    kinds = lambda text: [k for _, _, k in secrets.all_spans(text)]
+    assert kinds(weak) == kinds("user: robert") == kinds("https://api.example.com/v1") == []
+    assert kinds(f"user: robert {weak}") == []
+    assert kinds(f"user: robert {weak} at https://api.example.com/v1") == ["identifier", "secret", "endpoint"]
+    assert kinds(f"user: robert {weak}\n\nat https://api.example.com/v1") == []
+    assert kinds(f"user: robert {weak} {'. ' * 200} https://api.example.com/v1") == []
+    assert kinds("user: robert password: hunter2hunter2") == ["identifier", "assign"]
+
+
+def test_secrets_on_odd_rows(spark):
+    docs = documents(spark, odd_rows())
+    rows = secrets.with_secrets(docs, "spans").collect()
+    assert len(rows) == len(odd_rows())
+    assert [[s.kind for s in r.spans] for r in rows if r.doc_id == 9] == [["assign", "access"]]
+    clean = secrets.redacted(docs)
+    assert clean.columns == docs.columns
+    texts = {r.doc_id: r for r in clean.collect() if r.doc_id is not None}
+    assert SECRET.split('"')[1] not in texts[9].text and texts[9].n_chars == len(texts[9].text) and texts[4].text is None and texts[5].text == ""
+    assert secrets.redacted(docs.limit(0)).count() == 0
+
+
+def test_secret_query(spark):
+    rows = secrets.op4_secret_spans(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id").collect()
+    assert len(rows) == 1000
+    import hashlib
+    for r in rows:
+        base = plain_base(r.text)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, _, k in base) for kind in secrets.KINDS[:3])
+        assert set(f"{k}:{a}:{b}" for a, b, k in base) <= set(r.spans.split(",")) or not base

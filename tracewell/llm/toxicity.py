@@ -2,7 +2,8 @@
 
 Features are whole lower-cased words and the first 4, 5 and 6 characters of longer ones. Of those
 seen in the training sample the ``FEATURES`` that tell toxic from other documents best are used, where
-their log-likelihood gain reaches ``LEAST_GAIN``, each as present or not and by its rate. One weight per feature serves all ordered thresholds:
+their log-likelihood gain reaches ``LEAST_GAIN`` and they are at least ``LEAST_ODDS`` times as frequent in
+toxic documents, each as present or not and by its rate. One weight per feature serves all ordered thresholds:
 P(grade >= k) = logistic(weights . features - threshold k). The severity is the expected grade, the
 sum of these probabilities; a document is called toxic if P(grade >= 1) is one half or more.
 
@@ -36,7 +37,7 @@ from tracewell.llm.base import table
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
 FEATURES, LEAST_DOCS, LEAST_GAIN, TRAIN_DOCS = 500, 5, 12.0, 4000
-GRADES, EVIDENCE = 3, 20.0
+LEAST_ODDS, GRADES, EVIDENCE = 4.0, 3, 20.0
 STEPS, RATE, DECAY = 600, 0.05, 1e-5
 REMEMBERED = 1_000_000
 
@@ -132,7 +133,7 @@ def telling_features(sample: DataFrame) -> list[tuple[str, float]]:
     p0, p1 = (F.col("n0") + 0.5) / (totals.get(0, 0) + 1), (F.col("n1") + 0.5) / (totals.get(1, 0) + 1)
     gain = F.col("n0") * F.log(p0 / (p0 + p1)) + F.col("n1") * F.log(p1 / (p0 + p1)) + (F.col("n0") + F.col("n1")) * F.lit(float(np.log(2)))
     best = counted.where(F.col("n0") + F.col("n1") >= LEAST_DOCS).select("feature", (p1 / p0).alias("odds"), gain.alias("gain"))
-    return [(r["feature"], r["odds"]) for r in best.where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()]
+    return [(r["feature"], r["odds"]) for r in best.where((F.col("gain") >= LEAST_GAIN) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Severity | None:
@@ -160,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Sev
     evidence = {i for i, (_, odds) in enumerate(found) if odds >= EVIDENCE}
     rates = np.array([sum(n for i, n in c.items() if i in evidence) / max(w, 1) for c, w in zip(counts, words, strict=True)])
     cuts = np.quantile(rates[toxic == 1], np.arange(1, GRADES) / GRADES)
-    grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, rates, side="right"), 0)
+    grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, rates, side="left"), 0)
     class_weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     model.weights, model.thresholds = train(counts, words, grades, class_weight, len(found))
     return model

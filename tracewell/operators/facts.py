@@ -5,7 +5,7 @@ row; its scopes, table references and select items are arrays inside that row, s
 step up to the final explode is a narrow map. Nothing here shuffles.
 
 A *scope* is one query block: each named subquery, each derived table in FROM, and the
-main select (kind ``main``, name '').
+main select (kind ``main``, name ''). The selects of a set operation are branches of one scope.
 """
 
 from __future__ import annotations
@@ -47,20 +47,32 @@ def declared_columns(declared: Column) -> Column:
     return F.transform(items, lambda i: F.regexp_extract(i, r'^"?([\w$]+)"?', 1))
 
 
-def best_branch(text: Column) -> Column:
-    """Segments of the best select of a query: more items, a star, FROM and WHERE score higher.
+SET_OPERATOR = rf"(?i)\b(?:{'|'.join(T.SET_OPERATORS)})\b"
+NO_BRANCHES = "CAST(array() AS array<struct<segs:array<struct<kw:string,txt:string>>>>)"
 
-    The branches of a set operation are candidates; the first one with the top score wins.
+
+def select_parts(kind: Column, text: Column) -> Column:
+    """Struct of ``segs``, the segments of the select that names the columns, and ``branches``, those of the
+    other selects of a set operation.
+
+    In a subquery the first select gives the names, in the main query the best one: more items, a
+    star, FROM and WHERE score higher, and the first one with the top score wins.
     """
     pattern = "|".join(T.SET_OPERATORS)
     marked = F.regexp_replace(text, rf"(?i)({T.GROUP})|(\b(?:{pattern})\b)", f"$1{T.MARK}$2{T.MARK}")
     plain = F.replace(marked, F.lit(T.MARK * 2), F.lit(""))
-    branches = F.split(plain, rf"(?i){T.MARK}(?:{pattern}){T.MARK}")
-    scored = F.transform(branches, lambda b, i: T.let(T.segments(b), lambda segs: F.struct(
-        select_score(segs).alias("score"), (-i).alias("order"), segs.alias("segs"))))
-    return F.when(
-        text.rlike(rf"(?i)\b(?:{pattern})\b"), F.array_max(scored)["segs"]
-    ).otherwise(T.segments(text))
+    texts = F.split(plain, rf"(?i){T.MARK}(?:{pattern}){T.MARK}(?:\s*(?:ALL|DISTINCT)\b)?")
+    scored = F.transform(texts, lambda b, i: T.let(T.segments(b), lambda segs: F.struct(
+        F.when(kind == "main", select_score(segs)).otherwise(0).alias("score"), (-i).alias("order"), segs.alias("segs"))))
+    several = T.let(scored, lambda parts: T.let(F.array_max(parts), lambda lead: F.struct(
+        lead["segs"].alias("segs"),
+        F.transform(F.filter(parts, lambda p: p["order"] != lead["order"]), lambda p: F.struct(p["segs"].alias("segs"))).alias("branches"))))
+    return F.when(text.rlike(SET_OPERATOR), several).otherwise(F.struct(T.segments(text).alias("segs"), F.expr(NO_BRANCHES).alias("branches")))
+
+
+def in_branches(scope: Column, field: str, value) -> Column:
+    """The scope with ``value`` of itself, and of each of its branches, in ``field``."""
+    return scope.withField(field, value(scope)).withField("branches", F.transform(scope["branches"], lambda b: b.withField(field, value(b))))
 
 
 def select_score(segs: Column) -> Column:
@@ -76,10 +88,10 @@ def select_score(segs: Column) -> Column:
 
 @cache
 def scopes_column() -> Column:
-    blocks = F.transform("blocks", lambda b, i: F.struct(
+    blocks = F.transform("blocks", lambda b, i: T.let(select_parts(b["kind"], b["body"]), lambda parts: F.struct(
         (i + 1).cast("int").alias("ordinal"), b["kind"].alias("kind"), b["name"].alias("name"), b["body"].alias("body"),
-        F.when(b["kind"] == "main", best_branch(b["body"])).otherwise(T.segments(b["body"])).alias("segs"),
-    ))
+        parts["segs"].alias("segs"), parts["branches"].alias("branches"),
+    )))
     return F.when(F.col("is_supported") & F.col("has_query"), blocks)
 
 
@@ -87,7 +99,7 @@ NESTED_QUERY = r"(?i)\b(?:FROM|JOIN)\s*\(\s*(?:SELECT|WITH)\b"
 
 
 def scoped(ddl: DataFrame) -> DataFrame:
-    """Adds ``scopes``: array of (ordinal, kind, name, body, segs) for each supported query."""
+    """Adds ``scopes``: array of (ordinal, kind, name, body, segs, branches) for each supported query."""
     base = parsed(ddl)
     pair = lambda text, pattern, a, b, kind: F.transform(
         F.arrays_zip(
@@ -125,7 +137,7 @@ def scoped(ddl: DataFrame) -> DataFrame:
 def tables_column() -> Column:
     sources = lambda s: F.filter(
         T.table_refs(s["segs"]), lambda t: F.lower(t["table_name"]) != F.lower(F.col("object_name")))
-    return F.transform("scopes", lambda s: s.withField("tables", sources(s)))
+    return F.transform("scopes", lambda s: in_branches(s, "tables", sources))
 
 
 def with_tables(scopes: DataFrame) -> DataFrame:
@@ -145,7 +157,7 @@ def item_struct(text: Column, position: Column) -> Column:
 
 @cache
 def items_column() -> Column:
-    return F.transform("scopes", lambda s: s.withField("items", F.transform(T.select_texts(s["segs"]), item_struct)))
+    return F.transform("scopes", lambda s: in_branches(s, "items", lambda b: F.transform(T.select_texts(b["segs"]), item_struct)))
 
 
 def with_items(scopes: DataFrame) -> DataFrame:
@@ -159,7 +171,7 @@ def refs_column() -> Column:
     described = lambda i: i.withField(
         "expr_type", F.when(i["kind"] == "derived", T.expression_type(i["expr"])).otherwise("")
     ).withField("refs", F.when(i["kind"] == "star", none).otherwise(T.column_refs(i["expr"])))
-    return F.transform("scopes", lambda s: s.withField("items", F.transform(s["items"], described)))
+    return F.transform("scopes", lambda s: in_branches(s, "items", lambda b: F.transform(b["items"], described)))
 
 
 def with_refs(scopes: DataFrame) -> DataFrame:

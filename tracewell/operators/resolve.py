@@ -36,11 +36,16 @@ def _first(array: Column) -> Column:
     return F.get(array, F.lit(0))
 
 
+def tables_of(scope: Column) -> Column:
+    """Tables of all selects of a scope, those of the one that names the columns first."""
+    return F.concat(scope["tables"], F.flatten(F.transform(scope["branches"], lambda b: b["tables"])))
+
+
 def scope_facts(ddl: DataFrame) -> DataFrame:
     """Definitions with tables, items and references of all scopes."""
     df = facts.with_object_columns(facts.with_refs(facts.with_tables(facts.with_items(facts.scoped(ddl)))))
     return (
-        df.withColumn("all_tables", F.flatten(F.transform("scopes", lambda s: s["tables"])))
+        df.withColumn("all_tables", F.flatten(F.transform("scopes", tables_of)))
         .withColumn("scope_names", F.filter(F.transform("scopes", lambda s: s["name"]), lambda n: n != ""))
     )
 
@@ -119,15 +124,40 @@ def item_entries(known: Column, scope: Column, scope_names: Column, all_tables:
     return F.when(item["kind"] == "star", star).otherwise(one)
 
 
+def with_branch(entry: Column, more: Column) -> Column:
+    """A resolved column with the sources that another select of its set operation gives it.
+
+    Columns meet by position; a star of the other select gives the column of the same name. A
+    subquery that a select reads under its own name is recursion and adds nothing.
+    """
+    hits = F.filter(more, lambda m: F.when(m["column_name"] == "*", m["ordinal"] <= F.coalesce(entry["ordinal"], m["ordinal"])).when(
+        entry["ordinal"].isNull() | m["ordinal"].isNull(), _same(m["column_name"], entry["column_name"])).otherwise(m["ordinal"] == entry["ordinal"]))
+    named = lambda m: F.transform(m["sources"], lambda x: F.struct(
+        x["table_name"].alias("table_name"), F.when(x["column_name"] == "*", entry["column_name"]).otherwise(x["column_name"]).alias("column_name")))
+    return T.let(hits, lambda found: entry.withField("sources", F.array_distinct(F.concat(entry["sources"], F.filter(
+        F.flatten(F.transform(found, named)), lambda x: (entry["scope"] == "") | (F.lower(x["table_name"]) != entry["scope"])))))
+        .withField("derived", entry["derived"] | F.exists(found, lambda m: m["derived"]))
+        .withField("depth", F.greatest(entry["depth"], F.array_max(F.transform(found, lambda m: m["depth"]))))
+        .withField("expr_type", F.when(entry["expr_type"] != "", entry["expr_type"]).otherwise(
+            F.coalesce(_first(F.filter(F.transform(found, lambda m: m["expr_type"]), lambda x: x != "")), F.lit("")))))
+
+
 @cache
 def known_column() -> Column:
-    forward = F.exists("scopes", lambda s: F.exists(s["tables"], lambda t: F.exists(
+    forward = F.exists("scopes", lambda s: F.exists(tables_of(s), lambda t: F.exists(
         F.col("scopes"),
         lambda u: (u["name"] == F.lower(t["table_name"])) & (u["ordinal"] > s["ordinal"]) & (u["kind"] != "main"))))
-    step = lambda known, s: F.concat(
-        F.filter(known, lambda e: e["scope"] != s["name"]),
-        F.flatten(F.transform(s["items"], lambda i: item_entries(known, s, F.col("scope_names"), F.col("all_tables"), i))),
-    )
+    entries = lambda known, scope, items: F.flatten(F.transform(
+        items, lambda i: item_entries(known, scope, F.col("scope_names"), F.col("all_tables"), i)))
+
+    def step(known: Column, s: Column) -> Column:
+        own = entries(known, s, s["items"])
+        branch = lambda b: F.struct(s["name"].alias("name"), b["tables"].alias("tables"))
+        joined = F.reduce(s["branches"], own, lambda sofar, b: T.let(
+            entries(known, branch(b), b["items"]), lambda more: F.transform(sofar, lambda e: with_branch(e, more))))
+        return F.concat(
+            F.filter(known, lambda e: e["scope"] != s["name"]), F.when(F.size(s["branches"]) == 0, own).otherwise(joined))
+
     repeated = F.flatten(F.array_repeat(F.col("scopes"), F.size("scopes")))
     return F.reduce(F.when(forward, repeated).otherwise(F.col("scopes")), _array(ENTRY), step)
 

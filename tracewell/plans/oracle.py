@@ -38,7 +38,7 @@ def view(names: str, rows: list[tuple]) -> str:
 
 
 def odd(names: str, rows: list[tuple]) -> str:
-    return expected("customer", "c_custkey", 8, names, rows)
+    return expected("customer", "c_custkey", 10, names, rows)
 
 
 def proc(names: str, rows: list[tuple], id_name: str | None = "sp_id") -> str:
@@ -108,11 +108,14 @@ ODD_LINEAGE = [
     (1, "X_<k>", "P_PARTKEY", "DIRECT", "PART", "P_PARTKEY", ""), (1, "X_<k>", "P_NAME", "DIRECT", "PART", "P_NAME", ""),
     (1, "X_<k>", "EXTRA", "DERIVED", "PART", "P_BRAND", "ANONYMOUS"),
     (2, "X_<k>", "A", "DIRECT", "APP.T_<k>", "A", ""), (2, "X_<k>", "B", "DIRECT", "APP.T_<k>", "B", ""),
-    (3, "X_<k>", "ID", "DIRECT", "PART", "P_PARTKEY", ""),
+    (3, "X_<k>", "ID", "DERIVED", "PART; SUPPLIER", "P_PARTKEY; S_SUPPKEY", ""),
     (4, "X_<k>", "K", "DIRECT", "ORDERS", "O_CUSTKEY", ""), (4, "X_<k>", "CNT", "DERIVED", "CALCULATED", "COUNT", "COUNT"),
     (5, "X_<k>", "X", "UNKNOWN", "UNKNOWN", "UNKNOWN", ""),
     (6, "X_<k>", "Q", "DIRECT", "LINEITEM", "L_QUANTITY", ""), (6, "X_<k>", "Z", "DIRECT", "LINEITEM", "L_TAX", ""),
     (7, "X_<k>", "T1", "DERIVED", "ORDERS", "O_TOTALPRICE", "CAST"), (7, "X_<k>", "T2", "DERIVED", "CALCULATED", "LITERAL", "LITERAL"),
+    (8, "X_<k>", "ID", "DERIVED", "CUSTOMER; EXTRA_<k>; SUPPLIER", "C_CUSTKEY; ID; S_SUPPKEY", ""),
+    (8, "X_<k>", "V", "DERIVED", "CUSTOMER; EXTRA_<k>; SUPPLIER", "C_NAME; S_NAME; V", "ANONYMOUS"),
+    (9, "X_<k>", "K", "DERIVED", "CUSTOMER; NATION; PART", "C_NATIONKEY; N_NATIONKEY; P_SIZE", "ADD"),
 ]
 # (template, scope, ordinal, out_name, expr, kind, star_qualifier, from_source, expr_type, refs)
 ITEMS = [
@@ -257,7 +260,8 @@ SQL: dict[str, str] = {
     "ddl_object_columns": view("ordinal column_name", OBJECT_COLUMNS),
     "ddl_dedup_columns": "SELECT l_orderkey AS object_id, 'C_' || CAST(l_linenumber % 3 AS VARCHAR) AS column_name, min(l_linenumber) AS ordinal FROM lineitem GROUP BY ALL",
     "ddl_pattern": view("sql_pattern", [(0, "hybrid"), (1, "hybrid"), (2, "wildcard_dominant"), (3, "nested_cte_dominant"), (4, "nested_cte_dominant"), (5, "hybrid"), (6, "hybrid")]),
-    "ddl_pattern_odd": odd("sql_pattern", [(0, "hybrid"), (1, "hybrid"), (2, "identifier_function"), (3, "hybrid"), (4, "hybrid"), (5, "nested_cte_dominant"), (6, "nested_cte_dominant"), (7, "hybrid")]),
+    "ddl_pattern_odd": odd("sql_pattern", [(0, "hybrid"), (1, "hybrid"), (2, "identifier_function"), (3, "hybrid"), (4, "hybrid"), (5, "nested_cte_dominant"), (6, "nested_cte_dominant"), (7, "hybrid"),
+        (8, "nested_cte_dominant"), (9, "nested_cte_dominant")]),
     "ddl_ctes": view("ordinal cte_name body", [
         (3, 1, "c1", "SELECT n.n_nationkey AS k, n.n_name AS nm FROM NATION n"), (4, 1, "c1", "SELECT p.p_partkey AS k, p.p_retailprice AS pr FROM PART p"),
         (4, 2, "c2", "SELECT c1.k AS k2, MAX(c1.pr) AS mx FROM c1 GROUP BY c1.k"), (4, 3, "c3", "SELECT c2.k2 AS k3, c2.mx AS mx3 FROM c2")]),
@@ -268,7 +272,7 @@ SQL: dict[str, str] = {
     "ddl_window_refs": view("scope_name item_ordinal context qualifier column_name", [(5, "", 2, "partition_by", "s", "s_nationkey"), (5, "", 2, "order_by", "s", "s_acctbal")]),
     "ddl_main_select": odd("score n_items has_wildcard from_source", [
         (0, 5, 2, False, "CUSTOMER"), (1, 15, 2, True, "w"), (2, 9, 1, True, None), (3, 6, 1, False, "PART"), (4, 5, 2, False, "d"),
-        (5, 4, 1, False, "a"), (6, 4, 1, False, "a"), (7, 5, 2, False, "orders")]),
+        (5, 4, 1, False, "a"), (6, 4, 1, False, "a"), (7, 5, 2, False, "orders"), (8, 5, 2, False, "u"), (9, 4, 1, False, "r")]),
     "ddl_main_scope": view("n_scopes exprs tables", [
         (t, n, " | ".join(r[4] for r in ITEMS if r[0] == t and not r[1]), ";".join(r[4] for r in TABLES if r[0] == t and not r[1]))
         for t, n in enumerate([1, 1, 1, 2, 4, 1, 1])]),
@@ -284,7 +288,7 @@ SQL: dict[str, str] = {
     "wildcard_expand": odd("ordinal view_column source_table", [(1, 1, "P_PARTKEY", "PART"), (1, 2, "P_NAME", "PART")]),
     "wildcard_expand_catalog": view("table_name column_name ordinal", [(2, "REGION", "R_REGIONKEY", 1), (2, "REGION", "R_NAME", 2)]),
     "cte_dependency_order": view("cte_name level", [(3, "c1", 1), (4, "c1", 1), (4, "c2", 2), (4, "c3", 3)]),
-    "cte_dependency_order_odd": odd("cte_name level", [(1, "w", 1), (5, "a", 1), (5, "b", 1), (6, "a", 2), (6, "b", 1), (7, "orders", 1)]),
+    "cte_dependency_order_odd": odd("cte_name level", [(1, "w", 1), (5, "a", 1), (5, "b", 1), (6, "a", 2), (6, "b", 1), (7, "orders", 1), (8, "u", 1), (9, "r", 1)]),
     "cte_column_details": view("cte_name column_name detail_type refs", [
         (t, s, o, "derived" if k == "derived" else "direct", ";".join(ALIASES[(t, s, r.split(".")[0])] + "." + r.split(".")[1] for r in refs))
         for t, s, _, o, _, k, _, _, refs in CTE_ITEMS]),
@@ -295,16 +299,19 @@ SQL: dict[str, str] = {
         (4, "c3", "k3", 3, "PART", "p_partkey"), (4, "c3", "mx3", 3, "PART", "p_retailprice")]),
     "cte_trace_base_odd": odd("cte_name column_name depth base_table base_column", [
         (1, "w", "*", 1, "PART", "*"), (4, "d", "k", 1, "ORDERS", "o_custkey"), (6, "a", "q", 2, "LINEITEM", "l_quantity"),
-        (6, "b", "q", 1, "LINEITEM", "l_quantity"), (6, "b", "z", 1, "LINEITEM", "l_tax"), (7, "orders", "*", 1, "ORDERS", "*")]),
+        (6, "b", "q", 1, "LINEITEM", "l_quantity"), (6, "b", "z", 1, "LINEITEM", "l_tax"), (7, "orders", "*", 1, "ORDERS", "*"),
+        (8, "u", "id", 1, "CUSTOMER", "c_custkey"), (8, "u", "id", 1, "SUPPLIER", "s_suppkey"), (8, "u", "id", 1, "EXTRA_<k>", "id"),
+        (8, "u", "v", 1, "CUSTOMER", "c_name"), (8, "u", "v", 1, "SUPPLIER", "s_name"), (8, "u", "v", 1, "EXTRA_<k>", "v"),
+        (9, "r", "k", 1, "NATION", "n_nationkey")]),
     "cte_original_name": view("cte_name column_name original_name", [(t, s, o, refs[0].split(".")[1]) for t, s, _, o, *_, refs in CTE_ITEMS]),
-    "cte_main": odd("main_cte by_majority", [(1, "w", False), (5, "a", True), (6, "b", True), (7, "orders", False)]),
+    "cte_main": odd("main_cte by_majority", [(1, "w", False), (5, "a", True), (6, "b", True), (7, "orders", False), (8, "u", True), (9, "r", True)]),
     "lineage_direct": view("depth " + REPORT, [(r[0], DEPTHS[(r[2], r[0])], *r[1:]) for r in VIEW_LINEAGE if r[3] == "DIRECT"]),
     "lineage_derived": view(REPORT, [r for r in VIEW_LINEAGE if r[3] == "DERIVED"]),
     "hybrid_merge": f"SELECT object_id, view_column, column_type, source_table, source_column, rank FROM (SELECT *, row_number() OVER (PARTITION BY object_id, view_column "
                     f"ORDER BY rank, source_table, source_column, column_type) AS rn FROM ({hybrid_side(1, 1, 2)} UNION ALL {hybrid_side(0, 4, 3)})) WHERE rn = 1",
     "missing_recovery": odd("view_column method", [
         (0, "C_NAME", "select"), (0, "N_NAME", "select"), (1, "P_PARTKEY", "wildcard"), (1, "P_NAME", "wildcard"), (1, "EXTRA", "select"), (3, "ID", "select"),
-        (4, "K", "select"), (4, "CNT", "select"), (5, "X", "unknown"), (6, "Q", "select"), (6, "Z", "any_subquery"), (7, "T1", "select"), (7, "T2", "select")]),
+        (4, "K", "select"), (4, "CNT", "select"), (5, "X", "unknown"), (6, "Q", "select"), (6, "Z", "any_subquery"), (7, "T1", "select"), (7, "T2", "select"), (8, "ID", "select"), (8, "V", "select"), (9, "K", "select")]),
     "candidate_score": "SELECT object_id, view_column, candidate_no, score FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY score DESC, candidate_no) AS rn FROM "
         "(SELECT l_orderkey AS object_id, 'C' AS view_column, l_linenumber AS candidate_no, CAST(sum(CASE l_returnflag WHEN 'A' THEN 10 WHEN 'N' THEN 5 ELSE 1 END) AS INTEGER) AS score "
         "FROM lineitem GROUP BY ALL)) WHERE rn = 1",

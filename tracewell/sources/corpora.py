@@ -131,13 +131,17 @@ ODD_TEMPLATES = [
     "b AS (SELECT l.l_quantity AS q, l.l_tax AS z /* a, b */ FROM LINEITEM l) -- end, of list\n SELECT a.Q FROM a",
     "CREATE VIEW X_<k> (T1, T2) AS WITH orders AS (SELECT * FROM ORDERS) "
     "SELECT CAST(orders.o_totalprice AS INT) AS T1, 1 AS T2 FROM orders",
+    "CREATE VIEW X_<k> (ID, V) AS WITH u AS (SELECT a.c_custkey AS id, a.c_name AS v FROM CUSTOMER a UNION "
+    "SELECT a.s_suppkey, UPPER(a.s_name) FROM SUPPLIER a UNION ALL SELECT * FROM EXTRA_<k>) SELECT u.id AS ID, u.v AS V FROM u",
+    "CREATE VIEW X_<k> (K) AS WITH r AS (SELECT n.n_nationkey AS k FROM NATION n UNION ALL SELECT r.k FROM r JOIN REGION g ON g.r_regionkey = r.k) "
+    "SELECT r.k AS K FROM r INTERSECT SELECT (SELECT 1) + c.c_nationkey FROM CUSTOMER c EXCEPT SELECT p.p_size FROM PART p",
 ]
 ODD_DDL = Corpus(
     "customer",
     {
         "object_id": "c_custkey",
         "view_name": "'X_' || CAST(c_custkey AS STRING)",
-        "ddl_text": case_of("c_custkey % 8", [text_of(t, k="c_custkey") for t in ODD_TEMPLATES]),
+        "ddl_text": case_of(f"c_custkey % {len(ODD_TEMPLATES)}", [text_of(t, k="c_custkey") for t in ODD_TEMPLATES]),
     },
     text=True,
 )

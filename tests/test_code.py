@@ -83,7 +83,7 @@ def test_call_closure_with_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "g")], "caller string, callee string")
     roots = spark.createDataFrame([("a",)], "root string")
     got = {r.function_name: r.depth for r in routes.call_closure(edges, roots).collect()}
-    assert got == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 5}
+    assert got == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 5, "g": 6}
 
 
 def test_urls_of_calls(spark):

@@ -100,3 +100,25 @@ def test_many_columns(spark):
     df = spark.createDataFrame([(1, "V", f"CREATE VIEW V AS SELECT {items} FROM T t")], "object_id long, view_name string, ddl_text string")
     rows = {r.ordinal: r.out_name for r in facts.ddl_select_items(df).collect()}
     assert rows == {i + 1: f"c{i}" for i in range(3000)}
+
+
+def test_set_operations_give_all_sources(spark):
+    texts = [
+        (1, "CREATE VIEW V AS SELECT a.id FROM A a UNION ALL SELECT b.id2 FROM B b UNION SELECT c.x FROM C c", {("A; B; C", "ID; ID2; X")}),
+        (2, "CREATE VIEW V AS WITH u AS (SELECT a.id AS k FROM A a INTERSECT SELECT b.k FROM B b) SELECT u.k FROM u", {("A; B", "ID; K")}),
+        (3, "CREATE VIEW V AS SELECT d.q FROM (SELECT t.p AS q FROM T t EXCEPT SELECT s.p FROM S s) d", {("S; T", "P")}),
+    ]
+    rows = resolve.lineage_all(spark.createDataFrame([(i, "V", t) for i, t, _ in texts], "object_id long, view_name string, ddl_text string")).collect()
+    for i, _, want in texts:
+        assert {(r.source_table, r.source_column) for r in rows if r.object_id == i} == want
+
+
+def test_long_items_and_deep_cases_are_kept(spark):
+    deep = "1"
+    for n in range(6):
+        deep = f"CASE WHEN t.c{n} > {n} THEN {deep} ELSE t.d{n} END"
+    text = f"CREATE VIEW V AS SELECT t.a, COALESCE(t.a_rather_long_column_name, t.another_rather_long_column_name), {deep} AS z FROM T t"
+    rows = resolve.lineage_all(spark.createDataFrame([(1, "V", text)], "object_id long, view_name string, ddl_text string")).collect()
+    found = {r.view_column: r for r in rows}
+    assert set(found) == {"A", "COLUMN_2", "Z"} and found["Z"].expression_type == "CASE"
+    assert found["COLUMN_2"].source_column == "ANOTHER_RATHER_LONG_COLUMN_NAME; A_RATHER_LONG_COLUMN_NAME"

@@ -196,13 +196,14 @@ def item_kind(expr: Column) -> Column:
     return F.when(is_star(expr), "star").when(is_column(expr), "column").otherwise("derived")
 
 
-def output_name(expr: Column, alias: Column) -> Column:
-    """Name of an output column: alias, column name, or short text without blanks and parentheses."""
+def output_name(expr: Column, alias: Column, position: Column) -> Column:
+    """Name of an output column: alias, column name, short text without blanks and parentheses, or its position."""
     return (
         F.when(alias != "", alias)
         .when(is_star(expr), F.lit(None).cast("string"))
         .when(is_column(expr), F.substring_index(expr, ".", -1))
         .when(F.length(expr) < 50, F.translate(expr, " ()", "_"))
+        .otherwise(F.concat(F.lit("column_"), position.cast("string")))
     )
 
 
@@ -234,8 +235,9 @@ def expression_type(expr: Column) -> Column:
     """
     block = r"(?i)\bCASE\b(?:(?!\b(?:CASE|END)\b).)*+\bEND\b"
     folded = F.regexp_replace(expr, GROUP, "()")
-    for _ in range(3):
-        folded = let(folded, lambda f: F.when(f.rlike(r"(?i)\bCASE\b"), F.regexp_replace(f, block, "\u0002")).otherwise(f))
+    # A pass folds the innermost blocks, so there are no more passes than blocks.
+    folded = let(folded, lambda f: F.when(f.rlike(r"(?i)\bCASE\b"), F.reduce(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(f, F.lit(r"(?i)\bCASE\b")))), f, lambda sofar, _: F.regexp_replace(sofar, block, "\u0002"))).otherwise(f))
     return let(F.trim(folded), root_type)
 
 

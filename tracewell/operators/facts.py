@@ -148,7 +148,7 @@ def with_tables(scopes: DataFrame) -> DataFrame:
 def item_struct(text: Column, position: Column) -> Column:
     return T.let(T.split_alias(text), lambda p: F.struct(
         (position + 1).cast("int").alias("ordinal"),
-        T.output_name(p["expr"], p["alias"]).alias("out_name"),
+        T.output_name(p["expr"], p["alias"], position + 1).alias("out_name"),
         p["expr"].alias("expr"),
         T.item_kind(p["expr"]).alias("kind"),
         F.lower(F.regexp_extract(p["expr"], rf"^({T.NAME})\.\*", 1)).alias("star_qualifier"),
@@ -198,8 +198,8 @@ def with_object_columns(items: DataFrame) -> DataFrame:
 
 
 def ddl_classify(ddl: DataFrame) -> DataFrame:
-    """Type, name and query flag of every definition."""
-    return parsed(ddl.where("ddl_text is not null")).select("object_id", "ddl_type", "object_name", "has_query", "is_supported", "unsupported_depth")
+    """Type, name and query flag of every definition; one without text is unsupported."""
+    return parsed(ddl.withColumn("ddl_text", F.coalesce("ddl_text", F.lit("")))).select("object_id", "ddl_type", "object_name", "has_query", "is_supported", "unsupported_depth")
 
 
 def ddl_object_columns(ddl: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 FINISHED = ["COMPLETED", "FAILED", "CANCELLED"]
 
 
-def jobs_list(jobs: DataFrame, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Newest jobs first, one page, of one status when given."""
+def jobs_list(jobs: DataFrame, status: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Newest jobs first, all or one page, of one status when given."""
     rows = jobs.where(F.col("status") == status) if status else jobs
-    return rows.orderBy(F.desc("created_at"), "job_id").offset(offset).limit(limit)
+    page = rows.orderBy(F.desc("created_at"), "job_id").offset(offset)
+    return page.limit(limit) if limit is not None else page
 
 
 def expired_jobs(jobs: DataFrame, now: str, max_age_hours: int) -> DataFrame:

@@ -18,7 +18,7 @@ def confidence_map(rows: DataFrame) -> DataFrame:
         "confidence_score": F.when(kind == "DIRECT", 1.0).when(kind == "DERIVED", 0.8).when(kind == "ERROR", 0.0).otherwise(0.5),
         "expression_type": F.when(expr.isin(rules.RESULT_EXPRESSION_TYPES), expr),
         "metadata": F.create_map(
-            F.lit("analysis_method"), F.lit("integrated_parser"),
+            F.lit("analysis_method"), F.lit("expression_facts"),
             F.lit("original_expression_type"), F.coalesce("expression_type", F.lit(""))),
     })
 
@@ -42,8 +42,8 @@ def results_page(results: DataFrame, order: list[str | Column], limit: int | Non
     return page.limit(limit) if limit is not None else page
 
 
-def results_query(lineage: DataFrame, job_id: int | str | None = None, limit: int | None = 100, offset: int = 0) -> DataFrame:
-    """Stored lineage, newest first, of one job when given."""
+def results_query(lineage: DataFrame, job_id: int | str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Stored lineage, newest first, of one job when given, all of it or one page."""
     rows = lineage.where(F.col("job_id") == job_id) if job_id is not None else lineage
     ties = [c for c in lineage.columns if c not in ("created_at", "view_name", "view_column")]
     return results_page(rows, [F.desc("created_at"), "view_name", "view_column", *ties], limit, offset)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def exported_functions(files: DataFrame) -> DataFrame:
     """(file_id, path, function_name, start_line, lines) of every exported function, cut at its end.
 
     The text is cut before each export; inside a piece one pass over the lines counts braces.
-    Text before the first export has no function name.
+    Text before the first export, or after the end of a function, is a row without function name.
     """
     cut = files.where(F.col("path").rlike(r"\.tsx?$")).withColumn("pieces", F.split("text", EXPORT))
     breaks = F.transform("pieces", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
@@ -93,10 +95,11 @@ def exported_functions(files: DataFrame) -> DataFrame:
 
     rows = rows.withColumn("end", F.reduce("lines", state, step, lambda a: a["end"]))
     known = F.col("function_name").isNotNull()
-    return rows.select(
-        "file_id", "path", "function_name", "start_line",
-        F.when(known & F.col("end").isNotNull(), F.slice("lines", F.lit(1), F.col("end"))).otherwise(F.col("lines")).alias("lines"),
-        F.slice("lines", F.col("end") + 1, F.size("lines")).alias("rest"))
+    ended = known & F.col("end").isNotNull()
+    part = lambda name, start, lines: F.struct(name.alias("function_name"), start.cast("int").alias("start_line"), lines.alias("lines"))
+    own = part(F.col("function_name"), F.col("start_line"), F.when(ended, F.slice("lines", F.lit(1), F.col("end"))).otherwise(F.col("lines")))
+    after = part(F.lit(None).cast("string"), F.col("start_line") + F.col("end"), F.slice("lines", F.col("end") + 1, F.size("lines")))
+    return rows.select("file_id", "path", F.inline(F.when(ended & (F.col("end") < F.size("lines")), F.array(own, after)).otherwise(F.array(own))))
 
 
 def url_on_line(line: Column) -> Column:
@@ -220,8 +223,8 @@ def route_response_model(files: DataFrame) -> DataFrame:
 # --- call graph ----------------------------------------------------------------------
 
 
-def call_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
-    """(root, function_name, depth): functions reachable within ``max_depth`` calls, each at its least depth.
+def call_closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, function_name, depth): functions reachable, within ``max_depth`` calls when given, each at its least depth.
 
     The frontier is joined with the edges once per round and what was seen before is taken
     out. Every round is checkpointed, so plans stay short and a lost executor replays one round.
@@ -229,7 +232,9 @@ def call_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> Data
     edges = checkpointed(edges.select("caller", "callee"))
     frontier = checkpointed(roots.select(F.col("root"), F.col("root").alias("function_name"), F.lit(0).alias("depth")).distinct())
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         reached = frontier.join(edges, F.col("function_name") == F.col("caller")).select("root", F.col("callee").alias("function_name")).distinct()
         frontier = checkpointed(
             reached.join(seen.select("root", "function_name"), ["root", "function_name"], "left_anti").withColumn("depth", F.lit(depth)))
@@ -241,7 +246,7 @@ def call_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> Data
 
 def route_tables(routes: DataFrame, edges: DataFrame, fn_tables: DataFrame) -> DataFrame:
     """(function_name, database_tables): tables of a route's function and everything it calls."""
-    closure = call_closure(edges, routes.select(F.col("function_name").alias("root")), max_depth=6)
+    closure = call_closure(edges, routes.select(F.col("function_name").alias("root")))
     tables = closure.join(fn_tables, F.col("function_name") == F.col("name")).select("root", "table_name").distinct()
     return tables.groupBy(F.col("root").alias("function_name")).agg(
         F.array_join(F.array_sort(F.collect_list("table_name")), ";").alias("database_tables"))
@@ -419,14 +424,14 @@ def backend_report(files: DataFrame) -> DataFrame:
     blank = ["database_tables", "stored_procedures", "flow_calls", "response_fields", "nested_fields", "table_column_details"]
     return joined.select(
         # File order, then line: the first route wins a match.
-        (F.col("file_id") * 1_000_000 + F.col("line_no")).alias("route_id"), "method", "route_pattern",
+        (F.shiftleft(F.col("file_id"), 32) + F.col("line_no")).alias("route_id"), "method", "route_pattern",
         F.regexp_replace("path", r"^.*?routers/", "").alias("backend_file"), "function_name", "response_model",
         *[F.coalesce(c, F.lit("")).alias(c) for c in blank], F.coalesce("column_count", F.lit(0)).alias("column_count"))
 
 
 def mapping_report(ui_files: DataFrame, backend_files: DataFrame) -> DataFrame:
     """The 14-column report: every user-interface call with what lies behind it."""
-    calls = checkpointed(http_call_url(ui_files).withColumn("call_id", F.col("file_id") * 1_000_000 + F.col("line_no")))
+    calls = checkpointed(http_call_url(ui_files).withColumn("call_id", F.shiftleft(F.col("file_id"), 32) + F.col("line_no")))
     routes = checkpointed(backend_report(backend_files))
     mapped = calls.join(mapping_build(calls, routes).drop("match_type"), "call_id").join(
         routes.drop("method").withColumnRenamed("function_name", "backend_function"), "route_id", "left")

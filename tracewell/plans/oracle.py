@@ -231,7 +231,7 @@ SQL: dict[str, str] = {
     "catalog_schemas": f"SELECT DISTINCT schema_name FROM {V} v WHERE database_name = 'DB1'",
     "catalog_views_list": f"SELECT view_name, schema_name, database_name, CAST(CASE WHEN ddl_text IS NULL OR template = 7 THEN 0 ELSE 2 END AS INTEGER) AS column_count, created "
                           f"FROM {V} v WHERE database_name = 'DB1' AND schema_name = 'S2' ORDER BY database_name, schema_name, view_name, object_id LIMIT 1000",
-    "discover_views": f"SELECT object_id, schema_name, view_name FROM {V} v WHERE database_name = 'DB1' AND schema_name IN ('S1', 'S2') AND view_name NOT LIKE 'CANVAS_%'",
+    "discover_views": f"SELECT object_id, schema_name, view_name FROM {V} v WHERE database_name = 'DB1' AND schema_name IN ('S1', 'S2') AND NOT starts_with(view_name, 'SYS_')",
     "ddl_lookup": f"SELECT CASE object_id % 3 WHEN 0 THEN database_name || '.' || schema_name || '.' || view_name WHEN 1 THEN schema_name || '.' || view_name ELSE view_name END AS requested, "
                   f"CASE object_id % 3 WHEN 2 THEN 'APP' ELSE schema_name END AS schema_name, database_name, ddl_text FROM {V} v",
     "procedures_list": f"SELECT sp_id, procedure_name, procedure_schema, CAST(length(procedure_definition) AS INTEGER) AS definition_length FROM {C.PROCEDURES.sql()} p WHERE procedure_schema = 'APP_CORE'",
@@ -255,7 +255,8 @@ SQL: dict[str, str] = {
     "mapping_export_json": f"SELECT frontend_function, nullif(backend_function, '') AS backend_function, CASE WHEN database_tables <> '' THEN 'ORDERS' END AS first_table FROM {MAP} m",
     "sp_export_csv": f"SELECT sp_name AS SP_NAME, 'APP' AS SP_SCHEMA, 'SQL' AS SP_LANGUAGE, table_name AS TABLE_NAME, column_name AS COLUMN_NAME, upper(relationship_types) AS RELATIONSHIP_TYPES FROM {REL} r",
 
-    "ddl_classify": view("ddl_type object_name has_query is_supported unsupported_depth", [
+    "ddl_classify": "SELECT o_orderkey AS object_id, 'unsupported' AS ddl_type, '' AS object_name, false AS has_query, false AS is_supported, false AS unsupported_depth "
+        "FROM orders WHERE o_orderkey % 97 = 0 UNION ALL " + view("ddl_type object_name has_query is_supported unsupported_depth", [
         *[(t, "view", "V_<k>", True, True, False) for t in range(6)], (6, "table", "T_<k>", True, True, False), (7, "unsupported", "", False, False, False)]),
     "ddl_object_columns": view("ordinal column_name", OBJECT_COLUMNS),
     "ddl_dedup_columns": "SELECT l_orderkey AS object_id, 'C_' || CAST(l_linenumber % 3 AS VARCHAR) AS column_name, min(l_linenumber) AS ordinal FROM lineitem GROUP BY ALL",
@@ -324,7 +325,7 @@ SQL: dict[str, str] = {
     "lineage_all": ALL_LINEAGE,
     "lineage_all_odd": odd(REPORT, ODD_LINEAGE),
 
-    "confidence_map": f"SELECT * EXCLUDE (original), '{{\"analysis_method\":\"integrated_parser\",\"original_expression_type\":\"' || original || '\"}}' AS metadata FROM {API} a",
+    "confidence_map": f"SELECT * EXCLUDE (original), '{{\"analysis_method\":\"expression_facts\",\"original_expression_type\":\"' || original || '\"}}' AS metadata FROM {API} a",
     "confidence_filter": f"SELECT * EXCLUDE (original) FROM {API} a WHERE confidence_score >= 0.8",
     "confidence_band": f"SELECT view_name, view_column, source_table, source_column, CASE WHEN confidence_score >= 0.8 THEN 'success' WHEN confidence_score >= 0.6 THEN 'warning' ELSE 'error' END AS band, "
                        f"format('{{:.1f}}%', confidence_score * 100) AS percent FROM {API} a",
@@ -411,7 +412,7 @@ SQL: dict[str, str] = {
             (4, "<k>", "save_<k>", "api/v2/services/svc_", 4, 12), (4, "<k>", "ThingService.save_<k>", "api/v2/services/svc_", 4, 12)]) + ") d",
     "call_edges": code("caller callee", [(3, "get_r<k>", "load_<k>"), (4, "load_<k>", "run_<k>"), (4, "run_<k>", "fetch"), (4, "save_<k>", "run_<k>"), (4, "save_<k>", "make")]),
     "call_closure": f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {C.CALL_EDGE.sql()} x), r(root, function_name, depth) AS (SELECT DISTINCT function_name, function_name, 0 FROM {ROUTES} b "
-                    "UNION SELECT r.root, e.callee, r.depth + 1 FROM r JOIN e ON e.caller = r.function_name WHERE r.depth < 5) SELECT root, function_name, min(depth) AS depth FROM r GROUP BY ALL",
+                    "UNION SELECT r.root, e.callee, r.depth + 1 FROM r JOIN e ON e.caller = r.function_name WHERE r.depth < 24) SELECT root, function_name, min(depth) AS depth FROM r GROUP BY ALL",
     "route_tables": code("function_name database_tables stored_procedures flow_calls", [
         (3, "get_r<k>", GET_BEHIND["database_tables"], GET_BEHIND["stored_procedures"], ""), (3, "post_r<k>", POST_BEHIND["database_tables"], POST_BEHIND["stored_procedures"], "start_<k>")]),
     "route_match_exact": f"SELECT * FROM {EXACT} e",

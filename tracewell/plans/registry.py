@@ -185,7 +185,7 @@ QUERIES: dict[str, Query] = {
     "catalog_databases": on(VIEW, catalog.catalog_databases),
     "catalog_schemas": on(VIEW, catalog.catalog_schemas, "DB1"),
     "catalog_views_list": on(VIEW, catalog.catalog_views_list, "DB1", "S2", 1000),
-    "discover_views": on(VIEW, catalog.discover_views, "DB1", ["S1", "S2"]),
+    "discover_views": on(VIEW, catalog.discover_views, "DB1", ["S1", "S2"], system_pattern=r"SYS\_%"),
     "ddl_lookup": lambda s, d: catalog.ddl_lookup(lookup_requests(s, d), copied_catalog(s, d), "APP"),
     "procedures_list": on(PROC, procedures.procedures_list, "%CORE%"),
     "procedures_by_name": lambda s, d: procedures.procedures_by_name(

@@ -30,8 +30,8 @@ def _in_place(catalog: DataFrame, database: str | None, schemas: list[str] | Non
 
 
 def catalog_views_list(catalog: DataFrame, database: str | None = None, schema: str | None = None,
-                       limit: int | None = 1000) -> DataFrame:
-    """Views by name with their number of columns; the page size is part of the listing."""
+                       limit: int | None = None) -> DataFrame:
+    """Views by name with their number of columns, all of them or one page."""
     rows = _in_place(catalog, database, [schema] if schema else None)
     order = ["database_name", "schema_name", "view_name", "object_id"]
     page = rows.orderBy(*order).limit(limit) if limit else rows
@@ -42,10 +42,10 @@ def catalog_views_list(catalog: DataFrame, database: str | None = None, schema:
 
 def discover_views(catalog: DataFrame, database: str | None = None, schemas: list[str] | None = None,
                    include_system_views: bool = False, max_views: int | None = None,
-                   system_pattern: str = "CANVAS_%") -> DataFrame:
+                   system_pattern: str | None = None) -> DataFrame:
     """View names to analyse: system views left out, sorted, capped on request."""
     rows = _in_place(catalog, database, schemas)
-    if not include_system_views:
+    if system_pattern and not include_system_views:
         rows = rows.where(~F.col("view_name").like(system_pattern))
     names = rows.select("object_id", "schema_name", "view_name")
     return names.orderBy("view_name", "object_id").limit(max_views) if max_views else names.orderBy("view_name", "object_id")

@@ -94,7 +94,7 @@ VIEW_TEMPLATES = [
 ]
 
 _K = "o_orderkey"
-VIEW_NAME = f"CASE WHEN {_K} % 50 = 49 THEN 'CANVAS_' ELSE 'V_' END || CAST({_K} AS STRING)"
+VIEW_NAME = f"CASE WHEN {_K} % 50 = 49 THEN 'SYS_' ELSE 'V_' END || CAST({_K} AS STRING)"
 DDL_TEXT = (
     f"CASE WHEN {_K} % 97 = 0 THEN NULL ELSE "
     + case_of(f"{_K} % 8", [text_of(t, k=_K) for t in VIEW_TEMPLATES])
@@ -247,9 +247,8 @@ CALL_EDGE = Corpus(
     "lineitem",
     {
         "caller": "'fn_' || CAST(l_partkey AS STRING)",
-        "callee": "'fn_' || CAST((l_partkey * 7 + l_linenumber) % 2000 AS STRING)",
+        "callee": "'fn_' || CAST(l_partkey - l_partkey % 24 + (l_partkey * 7 + l_linenumber) % 24 AS STRING)",
     },
-    where="l_linenumber <= 2",
     distinct=True,
 )
 

@@ -2,6 +2,7 @@
 
 import random
 
+from tracewell.functions.rules import RouteRules
 from tracewell.operators import code_scan, procedures, routes
 from tracewell.functions import skew
 
@@ -106,14 +107,15 @@ def test_tables_in_sql(spark):
 
 
 def test_route_prefixes(spark):
+    rules = RouteRules("/v1", ("admin", "shop"), (("unpaid", "/bills/unpaid"), ("bill", "/bills"), ("user", "/people")), (("usergroups", "/v1/groups"),))
     paths = {
-        "api/v2/routers/workflows/actions.py": "/api/v2/workflows/actions", "api/v2/routers/admin/verified.py": "/api/v2/admin/verified",
-        "api/v2/routers/tagsets.py": "/api/v2/tagsets", "api/v2/routers/user_defined_types.py": "/api/v2/udt",
-        "api/v2/routers/support/user.py": "/api/v2/support/cases", "api/v2/routers/financial/x.py": "/api/v2/financial",
+        "app/routers/shop/user.py": "/v1/shop/people", "app/routers/admin/unpaid_bills.py": "/v1/admin/bills/unpaid", "app/routers/usergroups.py": "/v1/groups",
+        "app/routers/admin/shop/bill.py": "/v1/admin/shop/bills", "app/routers/x.py": "/v1",
     }
-    paths["api/v2/routers/admin/verified.py"] = "/api/v2/admin/bookings/verified"
     df = spark.createDataFrame([(i, p, "") for i, p in enumerate(paths)], "file_id long, path string, text string")
-    assert {r.path: r.prefix for r in routes.route_prefix(df).collect()} == paths
+    assert {r.path: r.prefix for r in routes.route_prefix(df, rules).collect()} == paths
+    assert {r.prefix for r in routes.route_prefix(df).collect()} == {""}
+
 
 
 def test_procedure_statements(spark):

@@ -4,6 +4,8 @@ Everything here is data, not logic: word lists, type names, scores. Callers may
 pass their own lists wherever a function takes one as a parameter.
 """
 
+from dataclasses import dataclass
+
 # Words that are never a column reference inside an expression.
 EXPRESSION_KEYWORDS = [
     "nvl", "case", "when", "then", "else", "end", "and", "or", "not",
@@ -47,13 +49,6 @@ FUNCTION_TYPES = {
 # Aggregates whose single argument names the original column.
 NAME_KEEPING_AGGREGATES = ["max", "min", "sum", "count", "avg", "first_value", "last_value"]
 
-# Usage kinds of a table or column inside a procedure.
-USAGE_KINDS = [
-    "USED_AS_SELECT", "USED_AS_JOIN", "USED_AS_FILTER", "USED_AS_GROUP_BY",
-    "USED_AS_ORDER_BY", "USED_AS_HAVING", "USED_AS_UPDATE", "USED_AS_INSERT",
-    "USED_AS_MERGE", "USED_AS_DELETE", "PROCEDURE_CREATES_TABLE", "USES_TABLE",
-]
-
 # Values that count as missing in report files.
 NULL_LIKE = ["null", "none", "n/a", "na", ""]
 
@@ -65,11 +60,6 @@ TABLE_STOP_WORDS = [
     "group", "by", "order", "having", "limit", "offset", "union", "distinct", "case",
     "when", "then", "else", "end", "exists", "count", "sum", "avg", "min", "max", "for",
     "if", "with", "primary", "key", "foreign", "references", "constraint",
-    "static", "deleted", "the", "super", "temp", "test", "backup", "current", "stg",
-    "metrics", "cluster", "clusters", "details", "hdr", "info", "data", "snapshot",
-    "report", "object", "json", "parquet", "thoughtspot", "contracts", "booking", "sub",
-    "extension", "extensions", "input", "output", "row", "col", "column", "columns",
-    "prefect", "tagset_ids", "tag_ids",
 ]
 
 # Words counted when deciding whether a string is SQL.
@@ -92,48 +82,32 @@ FRONTEND_REPOSITORY_PATTERNS = [
     ".*-frontend$", ".*-ui$", ".*-web$", ".*-client$",
     "frontend-.*", "ui-.*", "web-.*", "client-.*",
     ".*workflow.*frontend.*", ".*workflow.*ui.*",
-    "^guided-workflow$", ".*workflow$", ".*-workflow$",
+    ".*workflow$", ".*-workflow$",
 ]
 BACKEND_REPOSITORY_PATTERNS = [
     ".*-backend$", ".*-api$", ".*-server$", ".*-service$",
     "backend-.*", "api-.*", "server-.*", "service-.*",
     ".*workflow.*backend.*", ".*workflow.*api.*",
-    "guided-workflow-backend$", ".*-workflow-backend$", "action-to-table.*",
+    ".*-workflow-backend$",
 ]
 
-# Route prefix by router file: folders first, then the first file rule that is
-# contained in the file name.
-ROUTE_FOLDERS = ["workflows", "admin", "manager", "support", "sdp"]
-ROUTE_FILE_RULES = [
-    ("signoff", "/sign_off"), ("actions", "/actions"), ("notifications", "/notifications"),
-    ("downloads", "/downloads"), ("evidence_uploads", "/evidence_uploads"),
-    ("lookups", "/lookups"), ("macd", "/macd"),
-    ("unverified", "/bookings/unverified"), ("verified", "/bookings/verified"),
-    ("revenue", "/revenue"), ("contracts", "/contracts"),
-    ("tasks", "/tasks"), ("subtasks", "/subtasks"), ("deliverables", "/deliverables"),
-    ("bookings", "/bookings"), ("scv", "/scv"), ("super_customers", "/scv"),
-    ("users", "/users"), ("pool", "/pool_manager"),
-    ("user", "/cases"), ("agent", "/agent"),
-    ("completions", "/completions"), ("time_tracking", "/time_tracking"),
-    ("engagements", "/engagements"), ("tags", "/tags"), ("tagsets", "/tagsets"),
-    ("stakeholders", "/stakeholders"), ("canvas", "/canvas"), ("links", "/links"),
-    ("thought_spot", "/thought_spot"), ("thought_spot_tag", "/thought_spot_tag"),
-    ("dc_types", "/dc_types"), ("user_defined_types", "/udt"),
-    ("documentation", "/documentation"), ("announcements", "/announcements"),
-    ("file_management", "/file_management"), ("static", "/static"),
-]
+# Functions whose names contain one of these words are taken for service functions.
+PROCEDURE_FUNCTION_HINTS = ["service", "run_"]
+
+
+@dataclass(frozen=True)
+class RouteRules:
+    """How the path of a router file becomes a URL prefix.
+
+    ``root`` comes first, then each of ``folders`` that is in the path, then the value of the first
+    of ``files`` whose key is in the file name. ``exact`` gives the whole prefix of a file name.
+    """
+
+    root: str = ""
+    folders: tuple[str, ...] = ()
+    files: tuple[tuple[str, str], ...] = ()
+    exact: tuple[tuple[str, str], ...] = ()
 
-# Functions whose procedures cannot be read from their own text.
-KNOWN_FUNCTION_PROCEDURES = [
-    ("rebuild_sdp_for_booking_contract", "dc_sdp_contract_changes"),
-    ("replace_assignment_responsible_user", "replace_responsible_user"),
-    ("update_verified_booking_assignments", "assign_responsible_users"),
-    ("rebuild_sdp", "dc_sdp_changes"),
-    ("run_rebuild_sdp", "dc_sdp_changes"),
-    ("process_sea_upload", "load_sea_data"),
-    ("process_macd_upload", "load_macd_data"),
-]
-PROCEDURE_FUNCTION_HINTS = ["service", "booking", "sdp", "assignment", "rebuild", "run_"]
 
 # Argument names that never hold a URL.
 NON_URL_VARIABLES = [

@@ -6,8 +6,6 @@ inside its row and exploded once; joins happen only where a name leads to anothe
 
 from __future__ import annotations
 
-import builtins
-import inspect
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +14,17 @@ from tracewell.functions import rules
 from tracewell.functions import text as T
 from tracewell.functions.skew import first_per_key, running
 
-# Calls that are never edges of the call graph.
+# Calls that are never edges of the call graph.
 SKIPPED_CALLS = [
-    "ServiceException", "HTTPException", "SDPLifeCycle", "select", "text",
+    "ServiceException", "HTTPException", "select", "text",
     "list", "any", "map", "max", "min", "Depends", "setattr",
 ]
-BUILTIN_CALLS = sorted(n for n, f in inspect.getmembers(builtins, inspect.isbuiltin))
+BUILTIN_CALLS = [
+    "__build_class__", "__import__", "abs", "aiter", "all", "anext", "any", "ascii", "bin", "breakpoint", "callable", "chr", "compile",
+    "delattr", "dir", "divmod", "eval", "exec", "format", "getattr", "globals", "hasattr", "hash", "hex", "id", "input", "isinstance",
+    "issubclass", "iter", "len", "locals", "max", "min", "next", "oct", "open", "ord", "pow", "print", "repr", "round", "setattr",
+    "sorted", "sum", "vars",
+]
 STATEMENT_WORDS = ["if", "elif", "while", "for", "return", "and", "or", "not", "in", "is", "with", "assert", "yield", "await",
                    "lambda", "except", "raise", "del", "print", "else", "match", "case", "class", "def"]
 
@@ -341,17 +344,15 @@ def proc_calls(fns: DataFrame) -> DataFrame:
     return fns.select("name", F.explode(procedure_names(F.col("body"))).alias("procedure")).distinct()
 
 
-def service_proc_map(fns: DataFrame) -> DataFrame:
-    """Function -> procedures for service-like functions, by short and qualified name, with fixed extras."""
+def service_proc_map(fns: DataFrame, hints: list[str] = rules.PROCEDURE_FUNCTION_HINTS) -> DataFrame:
+    """Function -> procedures for service-like functions, by short and qualified name."""
     hinted = F.lit(False)
-    for hint in rules.PROCEDURE_FUNCTION_HINTS:
+    for hint in hints:
         hinted = hinted | F.lower("qualified").contains(hint)
     rows = fns.where(hinted).select(
         F.array_distinct(F.array("name", "qualified")).alias("keys"), F.explode(procedure_names(F.col("body"))).alias("procedure")
     ).select(F.explode("keys").alias("function_name"), "procedure")
-    fixed = [f for f, _ in rules.KNOWN_FUNCTION_PROCEDURES]
-    extras = fns.sparkSession.createDataFrame(rules.KNOWN_FUNCTION_PROCEDURES, "function_name string, procedure string")
-    return rows.where(~F.col("function_name").isin(fixed)).distinct().unionByName(extras)
+    return rows.distinct()
 
 
 def function_procs(fns: DataFrame, edges: DataFrame, proc_map: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ VARIABLE_PATTERNS = [
 DYNAMIC_PATTERNS = [
     r"EXECUTE\s+IMMEDIATE", r"DYNAMIC_SQL\s*:=", r"\|\|\s*['\"].*?['\"]", r"IDENTIFIER\s*\(\s*\?",
 ]
+# Fixed patterns: temporary tables and cursors.
 TEMP_TABLE = (
     r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMPORARY|TEMP)\s+TABLE\s+"
     r"(?:IDENTIFIER\s*\(\s*:?(\w+)\s*\)|([A-Z_][A-Z0-9_\.]*))"

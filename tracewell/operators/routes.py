@@ -167,28 +167,25 @@ def http_call_url_var(files: DataFrame) -> DataFrame:
 # --- backend routes ------------------------------------------------------------------
 
 
-def route_prefix_of(path: Column) -> Column:
+def route_prefix_of(path: Column, prefixes: rules.RouteRules) -> Column:
     """URL prefix of a router file from its folders and the first file rule that applies."""
     inner = F.regexp_replace(path, r"^.*?routers/", "")
     folder = F.concat(F.lit("/"), F.regexp_replace(inner, r"[^/]*$", ""))
     name = F.regexp_replace(F.substring_index(inner, "/", -1), r"\.py$", "")
-    folders = F.concat(*[F.when(folder.contains(f"/{f}/"), f"/{f}").otherwise("") for f in rules.ROUTE_FOLDERS])
-    file_rule = F.coalesce(*[F.when(name.contains(key), route) for key, route in rules.ROUTE_FILE_RULES], F.lit(""))
-    prefix = F.concat(F.lit("/api/v2"), folders, file_rule)
-    financial = F.when(inner.contains("financial") & ~prefix.contains("/financial"), "/financial").otherwise("")
-    return (
-        F.when(name == "tagsets", "/api/v2/tagsets").when(name == "thought_spot_tag", "/api/v2/thought_spot_tag")
-        .when(name == "user_defined_types", "/api/v2/udt").otherwise(F.concat(prefix, financial)))
+    folders = [F.when(folder.contains(f"/{f}/"), f"/{f}").otherwise("") for f in prefixes.folders]
+    file_rule = F.coalesce(*[F.when(name.contains(key), route) for key, route in prefixes.files], F.lit(""))
+    whole = [F.when(name == key, prefix) for key, prefix in prefixes.exact]
+    return F.coalesce(*whole, F.concat(F.lit(prefixes.root), *folders, file_rule))
 
 
-def route_prefix(files: DataFrame) -> DataFrame:
-    return files.where(F.col("path").contains("routers/")).select("file_id", "path", route_prefix_of(F.col("path")).alias("prefix"))
+def route_prefix(files: DataFrame, prefixes: rules.RouteRules = rules.RouteRules()) -> DataFrame:
+    return files.where(F.col("path").contains("routers/")).select("file_id", "path", route_prefix_of(F.col("path"), prefixes).alias("prefix"))
 
 
 ROUTE_HEAD = r"(?i)^@router\.(get|post|put|patch|delete)\s*\(\s*[\"']([^\"']*)[\"']"
 
 
-def backend_routes(files: DataFrame) -> DataFrame:
+def backend_routes(files: DataFrame, prefixes: rules.RouteRules = rules.RouteRules()) -> DataFrame:
     """(file_id, path, line_no, method, route_pattern, function_name, response_model) of router files.
 
     The text is cut before each decorator, so decorator, function line and body are one piece.
@@ -202,7 +199,7 @@ def backend_routes(files: DataFrame) -> DataFrame:
         "file_id", "path",
         (F.reduce(F.slice("breaks", F.lit(1), F.col("n")), F.lit(0), lambda a, x: a + x) + 1).cast("int").alias("line_no"),
         F.upper(F.regexp_extract("piece", ROUTE_HEAD, 1)).alias("method"),
-        F.concat(route_prefix_of(F.col("path")), F.regexp_extract("piece", ROUTE_HEAD, 2)).alias("route_pattern"),
+        F.concat(route_prefix_of(F.col("path"), prefixes), F.regexp_extract("piece", ROUTE_HEAD, 2)).alias("route_pattern"),
         F.when(function != "", function).otherwise("unknown").alias("function_name"),
         response_model_of(F.col("piece")).alias("response_model"))
 
@@ -405,14 +402,14 @@ def response_column_count(files: DataFrame) -> DataFrame:
         "function_name", "model", F.coalesce("column_count", F.lit(0)).alias("column_count"))
 
 
-def backend_report(files: DataFrame) -> DataFrame:
+def backend_report(files: DataFrame, prefixes: rules.RouteRules = rules.RouteRules()) -> DataFrame:
     """Routes with tables, procedures, flow calls, response fields and table columns."""
     # Functions, call edges and routes are read many times below; each is made once from the text.
     fns = checkpointed(scan.functions(files))
     direct = checkpointed(scan.call_edges(fns))
     services = scan.service_resolve(fns, scan.service_alias(files)).select(
         F.col("name").alias("caller"), F.substring_index("target", ".", -1).alias("callee"))
-    routes = checkpointed(backend_routes(files).withColumn("model", scan.unwrapped_type(F.col("response_model"))))
+    routes = checkpointed(backend_routes(files, prefixes).withColumn("model", scan.unwrapped_type(F.col("response_model"))))
     tables = route_tables(routes, direct.unionByName(services).distinct(), scan.function_tables(fns, scan.model_table_map(files)))
     procs = route_procs(routes, direct, scan.function_procs(fns, direct, scan.service_proc_map(fns)))
     flows = scan.flow_calls(fns, files).groupBy(F.col("name").alias("function_name")).agg(
@@ -429,10 +426,10 @@ def backend_report(files: DataFrame) -> DataFrame:
         *[F.coalesce(c, F.lit("")).alias(c) for c in blank], F.coalesce("column_count", F.lit(0)).alias("column_count"))
 
 
-def mapping_report(ui_files: DataFrame, backend_files: DataFrame) -> DataFrame:
+def mapping_report(ui_files: DataFrame, backend_files: DataFrame, prefixes: rules.RouteRules = rules.RouteRules()) -> DataFrame:
     """The 14-column report: every user-interface call with what lies behind it."""
     calls = checkpointed(http_call_url(ui_files).withColumn("call_id", F.shiftleft(F.col("file_id"), 32) + F.col("line_no")))
-    routes = checkpointed(backend_report(backend_files))
+    routes = checkpointed(backend_report(backend_files, prefixes))
     mapped = calls.join(mapping_build(calls, routes).drop("match_type"), "call_id").join(
         routes.drop("method").withColumnRenamed("function_name", "backend_function"), "route_id", "left")
     text = lambda c: F.coalesce(c, F.lit(""))

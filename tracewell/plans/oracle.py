@@ -222,10 +222,6 @@ UI_REPORT = " UNION ALL ".join([
     ui_row(1, "b<k>.tsx", "putItem<k>", "PUT", "/api/v2/workflows/r<k>/actions/{userId}"),
     ui_row(2, "c<k>.ts", "sendItem<k>", "POST", "/api/v2/admin/revenue/r<k>", POST_BEHIND, nearest=True)])
 
-EXTRAS = [("rebuild_sdp_for_booking_contract", "dc_sdp_contract_changes"), ("replace_assignment_responsible_user", "replace_responsible_user"),
-          ("update_verified_booking_assignments", "assign_responsible_users"), ("rebuild_sdp", "dc_sdp_changes"), ("run_rebuild_sdp", "dc_sdp_changes"),
-          ("process_sea_upload", "load_sea_data"), ("process_macd_upload", "load_macd_data")]
-
 SQL: dict[str, str] = {
     "catalog_databases": f"SELECT DISTINCT database_name FROM {V} v",
     "catalog_schemas": f"SELECT DISTINCT schema_name FROM {V} v WHERE database_name = 'DB1'",
@@ -384,8 +380,7 @@ SQL: dict[str, str] = {
     "sql_tables": expected("part", "p_partkey", 4, "table_name", [(0, "SRC_<k>"), (0, "CUSTOMERS"), (1, "ORD_<k>")], id_name="text_id"),
     "table_candidate": expected("part", "p_partkey", 3, "is_candidate is_likely", [(0, True, True), (1, True, True), (2, True, True)], id_name="name_id"),
     "proc_calls": code("name procedure", [(4, "run_<k>", "LOAD_SEA_<k>"), (4, "save_<k>", "p_<k>")]),
-    "service_proc_map": code("function_name procedure", [(4, "run_<k>", "LOAD_SEA_<k>"), (4, "save_<k>", "p_<k>"), (4, "ThingService.save_<k>", "p_<k>")])
-        + " UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EXTRAS) + ") e(function_name, procedure)",
+    "service_proc_map": code("function_name procedure", [(4, "run_<k>", "LOAD_SEA_<k>"), (4, "save_<k>", "p_<k>"), (4, "ThingService.save_<k>", "p_<k>")]),
     "service_alias": code("alias service_class", [(3, "ts", "ThingService")], id_name="file_id"),
     "service_resolve": code("name alias method target", [(3, "post_r<k>", "ts", "save_<k>", "ThingService.save_<k>")]),
     "flow_calls": code("name flow_call", [(3, "post_r<k>", "start_<k>")]),

@@ -35,8 +35,8 @@ def ui_files(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.code_files_read(corpora.TS_FILE.read(spark, sf))
 
 
-def on_python(op: Callable[..., DataFrame]) -> Query:
-    return lambda spark, sf: op(python_files(spark, sf))
+def on_python(op: Callable[..., DataFrame], *args) -> Query:
+    return lambda spark, sf: op(python_files(spark, sf), *args)
 
 
 def on_functions(op: Callable[..., DataFrame]) -> Query:
@@ -310,16 +310,16 @@ QUERIES: dict[str, Query] = {
     "http_call_url": on_ui(routes.http_call_url),
     "http_call_url_var": on_ui(routes.http_call_url_var),
     "url_normalise": on(corpora.FRONTEND_CALL, routes.url_normalise),
-    "backend_routes": on_python(routes.backend_routes),
-    "route_prefix": on_python(routes.route_prefix),
+    "backend_routes": on_python(routes.backend_routes, corpora.ROUTE_RULES),
+    "route_prefix": on_python(routes.route_prefix, corpora.ROUTE_RULES),
     "function_defs": on_functions(scan.function_defs),
     "call_edges": on_functions(scan.call_edges),
     "call_closure": closure,
-    "route_tables": lambda s, d: routes.backend_report(python_files(s, d)).select("function_name", "database_tables", "stored_procedures", "flow_calls"),
+    "route_tables": lambda s, d: routes.backend_report(python_files(s, d), corpora.ROUTE_RULES).select("function_name", "database_tables", "stored_procedures", "flow_calls"),
     "route_match_exact": lambda s, d: routes.route_match_exact(calls(s, d), backend(s, d)),
     "route_match_fuzzy": lambda s, d: routes.route_match_fuzzy(calls(s, d), backend(s, d)).withColumn("score", F.round("score", 6)),
     "mapping_build": lambda s, d: routes.mapping_build(calls(s, d), backend(s, d)),
-    "mapping_report": lambda s, d: routes.mapping_report(ui_files(s, d), python_files(s, d)),
+    "mapping_report": lambda s, d: routes.mapping_report(ui_files(s, d), python_files(s, d), corpora.ROUTE_RULES),
     "table_column_details": mapped_details,
     "relationship_type": lambda s, d: corpora.MAPPING.read(s, d).select(
         "frontend_function", routes.relationship_type(F.col("backend_function") != "", F.col("database_tables")).alias("relationship_type")),

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.functions.rules import RouteRules
 from tracewell.functions.skew import spread
 
 
@@ -416,3 +417,6 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         for i, column in enumerate(spark.read.parquet(f"{sf_dir}/{table}.parquet").columns, 1)
     ]
     return spark.createDataFrame(rows, "table_name string, column_name string, ordinal int")
+
+#: How the router files of these corpora are mounted.
+ROUTE_RULES = RouteRules(root="/api/v2", folders=("workflows", "admin"), files=(("revenue", "/revenue"),))

@@ -133,3 +133,14 @@ def test_procedure_statements(spark):
         ("SRC_C", "*"): "USES_TABLE", ("SRC_C", "Z"): "USED_AS_SELECT", ("TGT", "*"): "USED_AS_UPDATE", ("TGT", "V"): "USED_AS_UPDATE",
         ("TGT", "ID"): "USED_AS_FILTER", ("STG", "*"): "USES_TABLE", ("STG", "V"): "USED_AS_SELECT", ("STG", "ID"): "USED_AS_FILTER",
     }
+
+
+def test_functions_of_one_name_keep_apart(spark):
+    """Every router has ``get`` and ``load``; each route reports the tables of its own file only."""
+    router = "from app.services.svc_{k} import fetch\n\n@router.get('/r{k}')\ndef get(db):\n    load(db)\n    fetch(db)\n    common(db)\n\ndef load(db):\n    db.execute(\"SELECT * FROM TBL_A_{k}\")\n"
+    service = "def fetch(db):\n    db.execute(\"SELECT * FROM TBL_B_{k}\")\n"
+    files = [(k, f"app/routers/r{k}.py", router.format(k=k)) for k in range(4)] + [(10 + k, f"app/services/svc_{k}.py", service.format(k=k)) for k in range(4)]
+    files += [(20, "app/common.py", "def common(db):\n    db.execute(\"SELECT * FROM TBL_SHARED\")\n")]
+    df = spark.createDataFrame(files, "file_id long, path string, text string")
+    rows = {r.backend_file: r.database_tables for r in routes.backend_report(df).collect()}
+    assert rows == {f"r{k}.py": f"TBL_A_{k};TBL_B_{k};TBL_SHARED" for k in range(4)}

@@ -6,7 +6,6 @@ inside its row and exploded once; joins happen only where a name leads to anothe
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -217,6 +216,41 @@ def call_edges(fns: DataFrame) -> DataFrame:
     return fns.select(F.col("name").alias("caller"), F.explode(called_names(F.col("body"))).alias("callee")).distinct()
 
 
+def with_nodes(fns: DataFrame) -> DataFrame:
+    """``fns`` with ``name`` unique over all files: file, then class and function."""
+    return fns.withColumn("name", node_of(F.col("file_id"), F.col("qualified")))
+
+
+def node_of(file_id: Column, qualified: Column) -> Column:
+    return F.concat_ws(":", file_id.cast("string"), qualified)
+
+
+def imported_names(files: DataFrame) -> DataFrame:
+    """(file_id, name, stem): names imported from a module, with the module's file name without suffix."""
+    imports = match_pairs(F.col("text"), r"(?m)^[ \t]*from\s+([\w.]+)\s+import\s+([^\n(]+)")
+    rows = files.select("file_id", F.explode(imports).alias("i")).select(
+        "file_id", F.substring_index("i.a", ".", -1).alias("stem"), F.explode(F.split("i.b", ",")).alias("name"))
+    return rows.select("file_id", F.regexp_extract("name", r"(\w+)\s*$", 1).alias("name"), "stem").distinct()
+
+
+def resolved_edges(fns: DataFrame, files: DataFrame) -> DataFrame:
+    """(caller, callee) of the call graph over nodes, for ``fns`` with plain names.
+
+    A called name means the function of the same file, else one of the module it is imported from,
+    else the only function of that name. A name that several files define and none of them gives is
+    left open. Each look-up side has one row per key.
+    """
+    node = node_of(F.col("file_id"), F.col("qualified"))
+    defs = fns.select("file_id", "name", node.alias("node"), F.regexp_extract("path", r"(\w+)\.py$", 1).alias("stem"))
+    one = lambda keys, to: defs.groupBy(*keys).agg(
+        F.min("node").alias(to), F.max("node").alias("last")).where(F.col(to) == F.col("last")).drop("last")
+    calls = fns.select("file_id", node.alias("caller"), F.explode(called_names(F.col("body"))).alias("name")).distinct()
+    from_module = imported_names(files).join(one(["stem", "name"], "imported"), ["stem", "name"]).groupBy("file_id", "name").agg(F.min("imported").alias("imported"))
+    own = defs.groupBy("file_id", "name").agg(F.min("node").alias("own"))
+    tried = calls.join(own, ["file_id", "name"], "left").join(from_module, ["file_id", "name"], "left").join(one(["name"], "only"), "name", "left")
+    return tried.select("caller", F.coalesce("own", "imported", "only").alias("callee")).where("callee IS NOT NULL").distinct()
+
+
 def function_scope(lines: DataFrame) -> DataFrame:
     """Exported function around each line of a user-interface file.
 
@@ -384,9 +418,12 @@ def service_calls(fns: DataFrame) -> DataFrame:
         "file_id", "name", F.col("c.a").alias("owner"), F.col("c.b").alias("method"))
 
 
-def service_resolve(fns: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Method behind each service call: exact, lower-case, bare, with and without 'Service'; first hit."""
-    calls = service_calls(fns).withColumnRenamed("owner", "alias").join(aliases, ["file_id", "alias"])
+def service_resolve(fns: DataFrame, aliases: DataFrame, target: str = "qualified") -> DataFrame:
+    """Method behind each service call: exact, lower-case, bare, with and without 'Service'; first hit.
+
+    ``target`` names the column of ``fns`` that is returned for a method.
+    """
+    calls = service_calls(fns.withColumn("name", F.col(target)) if target != "qualified" else fns).withColumnRenamed("owner", "alias").join(aliases, ["file_id", "alias"])
     owner = F.col("service_class")
     keys = F.array(
         F.concat_ws(".", owner, "method"), F.concat_ws(".", F.lower(owner), "method"), F.col("method"),
@@ -395,7 +432,7 @@ def service_resolve(fns: DataFrame, aliases: DataFrame) -> DataFrame:
     methods = fns.where(F.lower("class_name").contains("service")).select(
         F.explode(F.array_distinct(F.array(
             F.concat_ws(".", "class_name", "name"), F.concat_ws(".", F.lower("class_name"), "name"), F.col("name")))).alias("key"),
-        F.col("qualified").alias("target")).groupBy("key").agg(F.max("target").alias("target"))
+        F.col(target).alias("target")).groupBy("key").agg(F.max("target").alias("target"))
     tried = calls.select("name", "alias", "method", F.posexplode(keys).alias("rank", "key")).join(methods, "key")
     return first_per_key(tried, ["name", "alias", "method"], F.col("rank"), ["target"])
 

@@ -405,19 +405,25 @@ def response_column_count(files: DataFrame) -> DataFrame:
 def backend_report(files: DataFrame, prefixes: rules.RouteRules = rules.RouteRules()) -> DataFrame:
     """Routes with tables, procedures, flow calls, response fields and table columns."""
     # Functions, call edges and routes are read many times below; each is made once from the text.
-    fns = checkpointed(scan.functions(files))
-    direct = checkpointed(scan.call_edges(fns))
-    services = scan.service_resolve(fns, scan.service_alias(files)).select(
-        F.col("name").alias("caller"), F.substring_index("target", ".", -1).alias("callee"))
-    routes = checkpointed(backend_routes(files, prefixes).withColumn("model", scan.unwrapped_type(F.col("response_model"))))
-    tables = route_tables(routes, direct.unionByName(services).distinct(), scan.function_tables(fns, scan.model_table_map(files)))
-    procs = route_procs(routes, direct, scan.function_procs(fns, direct, scan.service_proc_map(fns)))
-    flows = scan.flow_calls(fns, files).groupBy(F.col("name").alias("function_name")).agg(
+    # A function is known by its file, class and name, so functions of one name keep apart.
+    plain = checkpointed(scan.functions(files))
+    fns = scan.with_nodes(plain)
+    direct = checkpointed(scan.resolved_edges(plain, files))
+    services = scan.service_resolve(
+        plain.withColumn("node", scan.node_of(F.col("file_id"), F.col("qualified"))), scan.service_alias(files), "node").select(
+        F.col("name").alias("caller"), F.col("target").alias("callee"))
+    edges = checkpointed(direct.unionByName(services).distinct())
+    routes = checkpointed(backend_routes(files, prefixes).withColumn("model", scan.unwrapped_type(F.col("response_model"))).withColumn(
+        "node", scan.node_of(F.col("file_id"), F.col("function_name"))))
+    roots = routes.select(F.col("node").alias("function_name")).distinct()
+    tables = route_tables(roots, edges, scan.function_tables(fns, scan.model_table_map(files))).withColumnRenamed("function_name", "node")
+    procs = route_procs(roots, direct, scan.function_procs(fns, edges, scan.service_proc_map(fns))).withColumnRenamed("function_name", "node")
+    flows = scan.flow_calls(fns, files).groupBy(F.col("name").alias("node")).agg(
         F.array_join(F.array_sort(F.collect_set("flow_call")), ",").alias("flow_calls"))
-    details = table_column_details(tables.withColumnRenamed("function_name", "id"), scan.orm_columns(files)).withColumnRenamed("id", "function_name")
+    details = table_column_details(tables.withColumnRenamed("node", "id"), scan.orm_columns(files)).withColumnRenamed("id", "node")
     models = model_fields_text(scan.response_fields(files))
-    joined = routes.join(tables, "function_name", "left").join(procs, "function_name", "left").join(flows, "function_name", "left") \
-        .join(details, "function_name", "left").join(models, "model", "left")
+    joined = routes.join(tables, "node", "left").join(procs, "node", "left").join(flows, "node", "left") \
+        .join(details, "node", "left").join(models, "model", "left")
     blank = ["database_tables", "stored_procedures", "flow_calls", "response_fields", "nested_fields", "table_column_details"]
     return joined.select(
         # File order, then line: the first route wins a match.

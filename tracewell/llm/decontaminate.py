@@ -22,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -163,39 +164,45 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, to: str = "found") -> DataF
     return out
 
 
-def cutter():
-    """Texts without the bytes from the first to the last word of each run; a line break stays in place."""
-
-    @arrow_udf("string")
-    def cut(texts: pa.Array, hits: pa.Array) -> pa.Array:
-        out = []
-        for text, ends in zip(texts.to_pylist(), hits.to_pylist(), strict=True):
-            if not ends:
-                out.append(None)
-                continue
-            words = [m.span() for m in WORD.finditer(text)]
-            kept, at = [], 0
-            for a, b in zip(ends[::2], ends[1::2], strict=True):
-                kept.append(text[at:words[a][0]])
-                at = words[b - 1][1]
-            out.append(b"\n".join([*kept, text[at:]]).decode())
-        return pa.array(out, type=pa.string())
-
-    return cut
+def without(text: bytes, ends: list[int]) -> str:
+    """``text`` without the bytes from the first to the last word of each run; a line break stays in place."""
+    words = [m.span() for m in WORD.finditer(text)]
+    kept, at = [], 0
+    for a, b in zip(ends[::2], ends[1::2], strict=True):
+        kept.append(text[at:words[a][0]])
+        at = words[b - 1][1]
+    return b"\n".join([*kept, text[at:]]).decode()
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, drop_share: float = DROP_SHARE) -> DataFrame:
     """``docs`` without the benchmark's passages: hit spans are cut out, and a document of which
     ``drop_share`` of the words or more are hit goes. Untouched texts stay byte for byte."""
-    name = "_" * max(map(len, docs.columns)) + "found"
-    scanned = with_hits(docs, benchmark, name)
-    hits = F.col(name)["hits"]
-    n_hit = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(2)), F.lit(2)), F.lit(0),
-                        lambda n, i: n + F.coalesce(F.get(hits, i) - F.get(hits, i - 1), F.lit(0)))
-    kept = scanned.where((F.size(hits) == 0) | (n_hit < drop_share * F.col(name)["n_words"]))
-    cut = kept.withColumn("text", F.coalesce(cutter()(utf8(F.col("text")), hits), F.col("text")))
-    sized = cut.withColumn("n_chars", F.when(F.size(hits) == 0, F.col("n_chars")).otherwise(F.char_length("text"))) if "n_chars" in docs.columns else cut
-    return sized.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names, before = docs.columns, "_" * max(map(len, docs.columns)) + "found"
+    *earlier, last = [docs.sparkSession.sparkContext.broadcast(w) for w in window_sets(benchmark)]
+    scanned = docs.withColumn(before, F.lit(None).cast(FOUND))
+    for shared in earlier:
+        scanned = scanned.withColumn(before, scanner(shared)(utf8(F.col("text")), F.col(before)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_blocks(batches):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            found = scan_texts(last.value, [t or b"" for t in texts])
+            for new, old in zip(found, batch.column(before).to_pylist(), strict=True):
+                if old is not None:
+                    merge(new, old)
+            hit = [sum(f["hits"][1::2]) - sum(f["hits"][::2]) for f in found]
+            kept = pa.array([n == 0 or n < drop_share * f["n_words"] for n, f in zip(hit, found, strict=True)], pa.bool_())
+            clean = [without(t, f["hits"]) if f["hits"] else None for t, f in zip(texts, found, strict=True)]
+            changed = {"text": pa.array(clean, batch.column("text").type), "n_chars": pa.array([None if t is None else len(t) for t in clean], pa.int64())}
+            columns = []
+            for name in names:
+                own = batch.column(name)
+                if name in changed and any(hit):
+                    own = pc.if_else(pa.array([n > 0 for n in hit]), changed[name].cast(own.type), own)
+                columns.append(own)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(kept)
+
+    return scanned.mapInArrow(cut, docs.schema)
 
 
 def op9_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

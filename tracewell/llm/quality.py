@@ -209,8 +209,17 @@ def with_quality(docs: DataFrame, net: Network | None, to: str = "score") -> Dat
 
 def kept_documents(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents that score ``keep_from`` or more, with their columns."""
-    name = "_" * max(map(len, docs.columns)) + "score"
-    return with_quality(docs, fit(docs, labels), name).where(F.col(name) >= keep_from).select(*[f"`{c}`" for c in docs.columns])
+    net = fit(docs, labels)
+    if net is None:
+        return docs if keep_from <= 0.5 else docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_blocks(batches):
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(scores(shared.value, texts) >= keep_from))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

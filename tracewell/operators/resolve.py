@@ -151,12 +151,12 @@ def known_column() -> Column:
         items, lambda i: item_entries(known, scope, F.col("scope_names"), F.col("all_tables"), i)))
 
     def step(known: Column, s: Column) -> Column:
-        own = entries(known, s, s["items"])
-        branch = lambda b: F.struct(s["name"].alias("name"), b["tables"].alias("tables"))
-        joined = F.reduce(s["branches"], own, lambda sofar, b: T.let(
-            entries(known, branch(b), b["items"]), lambda more: F.transform(sofar, lambda e: with_branch(e, more))))
-        return F.concat(
-            F.filter(known, lambda e: e["scope"] != s["name"]), F.when(F.size(s["branches"]) == 0, own).otherwise(joined))
+        select = lambda b: F.struct(s["name"].alias("name"), b["tables"].alias("tables"), b["items"].alias("items"))
+        selects = F.concat(F.array(select(s)), F.transform(s["branches"], select))
+        own = F.reduce(selects, F.lit(None).cast(f"array<{ENTRY}>"), lambda sofar, b: T.let(
+            entries(known, b, b["items"]),
+            lambda more: F.when(sofar.isNull(), more).otherwise(F.transform(sofar, lambda e: with_branch(e, more)))))
+        return F.concat(F.filter(known, lambda e: e["scope"] != s["name"]), own)
 
     repeated = F.flatten(F.array_repeat(F.col("scopes"), F.size("scopes")))
     return F.reduce(F.when(forward, repeated).otherwise(F.col("scopes")), _array(ENTRY), step)

@@ -111,18 +111,22 @@ def hex_digits(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id.
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One document of each group (doc_id, component_id): the one with the smallest id.
 
     Of repeated rows with that id one stays; rows without id are kept, as no decision can name them.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"))
     acts = written(groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(F.col("doc_id") != F.col("component_id")).alias("goes"), F.count(F.lit(1)).alias("rows")).where("goes OR rows > 1"), "acts")
     once = docs.join(acts.where("NOT goes").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return docs.join(acts.select("doc_id"), "doc_id", "left_anti").unionByName(once).select(*[f"`{c}`" for c in docs.columns])
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates by fingerprint."""
+    return one_of_each(docs, near_duplicates(docs.select("doc_id", "text")))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")

@@ -129,9 +129,11 @@ def telling_features(sample: DataFrame) -> list[tuple[str, float]]:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([c[k] for c in seen.values()], pa.int64()) for k in (0, 1)]], ["feature", "n0", "n1"])
 
     totals = dict(sample.groupBy("toxic").count().collect())
+    size0, size1 = totals.get(0, 0) + 1, totals.get(1, 0) + 1
     counted = sample.select("text", "toxic").mapInArrow(distinct, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p0, p1 = (F.col("n0") + 0.5) / (totals.get(0, 0) + 1), (F.col("n1") + 0.5) / (totals.get(1, 0) + 1)
-    gain = F.col("n0") * F.log(p0 / (p0 + p1)) + F.col("n1") * F.log(p1 / (p0 + p1)) + (F.col("n0") + F.col("n1")) * F.lit(float(np.log(2)))
+    p0, p1, p = (F.col("n0") + 0.5) / size0, (F.col("n1") + 0.5) / size1, (F.col("n0") + F.col("n1") + 1) / (size0 + size1)
+    side = lambda q: q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p))
+    gain = size0 * side(p0) + size1 * side(p1)
     best = counted.where(F.col("n0") + F.col("n1") >= LEAST_DOCS).select("feature", (p1 / p0).alias("odds"), gain.alias("gain"))
     return [(r["feature"], r["odds"]) for r in best.where((F.col("gain") >= LEAST_GAIN) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()]
 

@@ -113,6 +113,7 @@ WRITE_CLAUSES = (
     r"CREATE (?:OR REPLACE )?(?:(?:TEMPORARY|TEMP|TRANSIENT) )?TABLE(?: IF NOT EXISTS)?|"
 )
 NESTED = rf"(?i)\(\s*(SELECT\b{T.BALANCED}*+)\)"
+OPENED = r"(?i)\(\s*SELECT\b"
 VARIABLE_MARK = "VARREF$"
 TARGET_KINDS = {
     "INSERT INTO": "USED_AS_INSERT", "MERGE INTO": "USED_AS_MERGE", "UPDATE": "USED_AS_UPDATE", "DELETE FROM": "USED_AS_DELETE",
@@ -133,10 +134,21 @@ def statements(definition: Column) -> Column:
 
 
 def query_blocks(statement: Column) -> Column:
-    """A statement without its nested selects, and each nested select, two levels down."""
-    inner = F.regexp_extract_all(statement, F.lit(NESTED), F.lit(1))
-    deeper = F.flatten(F.transform(inner, lambda s: F.regexp_extract_all(s, F.lit(NESTED), F.lit(1))))
-    return F.transform(F.concat(F.array(statement), inner, deeper), lambda s: F.regexp_replace(s, NESTED, "()"))
+    """A statement without its nested selects, and each nested select, level by level until none is left."""
+    def deeper(found: Column, _: Column) -> Column:
+        nested = F.flatten(F.transform(found["level"], lambda s: F.regexp_extract_all(s, F.lit(NESTED), F.lit(1))))
+        return T.let(nested, lambda level: F.struct(F.concat(found["blocks"], level).alias("blocks"), level.alias("level")))
+
+    start = F.struct(F.array(statement).alias("blocks"), F.array(statement).alias("level"))
+    rounds = F.array_repeat(F.lit(0), F.regexp_count(statement, F.lit(OPENED)))
+    blocks = F.reduce(rounds, start, deeper, lambda found: found["blocks"])
+    return F.transform(blocks, lambda s: F.regexp_replace(s, NESTED, "()"))
+
+
+def not_followed(blocks: Column) -> Column:
+    """One ANALYSIS_ERROR row where a nested select is deeper than the patterns follow."""
+    left_over = F.exists(blocks, lambda b: b.rlike(OPENED))
+    return F.when(left_over, F.array(_use(F.lit(""), F.lit(""), F.lit("ANALYSIS_ERROR")))).otherwise(F.expr("CAST(array() AS array<struct<table_name:string,column_name:string,kind:string>>)"))
 
 
 def block_usage(block: Column, subqueries: Column) -> Column:
@@ -209,7 +221,8 @@ def sp_relations(procedures: DataFrame) -> DataFrame:
         F.explode(statements(F.col("procedure_definition"))).alias("statement"))
     rows = rows.withColumn(
         "subqueries", F.transform(F.regexp_extract_all("statement", F.lit(T.CTE), F.lit(1)), lambda n: F.lower(n)))
-    used = F.flatten(F.transform(query_blocks(F.col("statement")), lambda b: block_usage(b, F.col("subqueries"))))
+    used = T.let(query_blocks(F.col("statement")), lambda blocks: F.concat(
+        F.flatten(F.transform(blocks, lambda b: block_usage(b, F.col("subqueries")))), not_followed(blocks)))
     rows = rows.select("sp_id", "procedure_name", "procedure_schema", "procedure_definition", F.explode(F.array_distinct(used)).alias("u"))
     table = F.when(
         F.col("u.table_name").startswith(VARIABLE_MARK),

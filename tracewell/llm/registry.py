@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import bpe, chat, decontaminate, merkle, mixing, quality, secrets, simhash, substrings, tokens, topk, toxicity
+from tracewell.llm import bpe, chat, decontaminate, merkle, mixing, quality, secrets, simhash, substrings, tokens, topk, toxicity, whitening
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_benchmark_hits": decontaminate.op9_benchmark_hits,
     "op10_exact_neighbours": topk.op10_exact_neighbours,
+    "op11_whitened_embeddings": whitening.op11_whitened_embeddings,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_byte_bpe": bpe.op13_byte_bpe,
 }

@@ -3,13 +3,21 @@
 Every stage but the last returns documents with their columns: low quality goes, of near duplicates
 one stays, benchmark passages are cut out, secrets are replaced. The last stage returns the documents
 that the mix takes, with their size, their source's size and target, and the words taken of each.
+
+Near duplicates are what ``simhash`` links with its own shingle length and bit distance.
+
+Defined cases: null, empty and very long texts pass through every stage whole; an empty table gives no rows, with
+the columns of its stage; without labels of both kinds no document is rejected; of repeated rows of one id one stays,
+rows without id all stay; equal scores and sizes are settled by id and text hash, so reruns agree; columns
+beside those of ``documents`` are kept, and where one has the name of an added column, the added one is called ``mix_``
+and its name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, mixing, near_copies, quality, secrets
+from tracewell.llm import decontaminate, mixing, quality, secrets, simhash
 from tracewell.llm.base import importable, table
 from tracewell.sources.storage import written
 
@@ -23,7 +31,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    return near_copies.deduplicated(docs)
+    return simhash.deduplicated(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_column(docs: DataFrame, to: str) -> str:
+    """``to``, if no column of ``docs`` has that name in any case; no input column is ever replaced."""
+    if to.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"the input has a column {to}; name another one for the result")
+    return to
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tracewell.llm.base import table
+from tracewell.llm.base import new_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Ranks that may be broadcast; bits of a rank within a word, and their mask (words have 256 bits).
@@ -57,6 +57,7 @@ class Encoder(dict):
         super().__init__()
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.longest = max(map(len, ranks))
+        self.n_words = (max(ranks.values()) >> BITS) + 1
         self.pairs = [[ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]
 
     def __missing__(self, match: str) -> bytes:
@@ -73,65 +74,74 @@ class Encoder(dict):
 
         ``buckets`` has the positions by rank, ``words`` a bit for each bucket, and ``summary`` a bit for each word
         that is not zero. A bucket is emptied from left to right; no entry can join it meanwhile, as a new pair
-        is longer than the token just made. Should a lower rank turn up, the rest of the bucket waits again.
+        is longer than the token just made. Should a lower rank turn up, the rest of the bucket waits again. It ends
+        when no pair with a rank is ``live``, whatever old entries are left.
         """
         ranks, size, longest = self.ranks, len(data), self.longest
         if (whole := ranks.get(data)) is not None:
             return [whole]
-        after, before = list(range(1, size + 2)), list(range(-1, size))
         pairs = self.pairs
         pair: list[int | None] = [pairs[a][b] for a, b in zip(data, data[1:])]
         pair.append(None)
+        # One link beyond the end, so that the last token has a neighbour without a pair.
+        after, before = [*range(1, size + 1), size + 1], list(range(-1, size))
         buckets: dict[int, list[int]] = {}
-        words: dict[int, int] = {}
-        summary = 0
-        waiting = [(rank, i) for i, rank in enumerate(pair) if rank is not None]
-        while True:
-            for rank, i in waiting:
-                if (bucket := buckets.get(rank)) is not None:
-                    bucket.append(i)
-                    continue
-                buckets[rank] = [i]
-                high = rank >> BITS
-                words[high] = words.get(high, 0) | 1 << (rank & LOW)
-                summary |= 1 << high
-            if not summary:
-                break
+        words, summary, live = [0] * self.n_words, 0, 0
+        for i, rank in enumerate(pair):
+            if rank is not None:
+                live += 1
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> BITS] |= 1 << (rank & LOW)
+                    summary |= 1 << (rank >> BITS)
+        while live:
             high = (summary & -summary).bit_length() - 1
             word = words[high]
-            words[high] = rest = word & (word - 1)
-            if not rest:
-                summary &= summary - 1
             rank = high << BITS | (word & -word).bit_length() - 1
+            words[high] = word = word & (word - 1)
+            if not word:
+                summary &= summary - 1
             bucket = buckets.pop(rank)
             if len(bucket) > 1:
                 bucket.sort()
-            waiting, lowest = [], rank
+            lower = False
             for place, i in enumerate(bucket):
                 if pair[i] != rank:
                     continue
-                if lowest < rank:
-                    waiting += [(rank, j) for j in bucket[place:]]
+                if lower:
+                    buckets[rank] = bucket[place:]
+                    words[rank >> BITS] |= 1 << (rank & LOW)
+                    summary |= 1 << (rank >> BITS)
                     break
                 gone = after[i]
                 after[i] = end = after[gone]
-                pair[gone] = None
-                if end < size:
-                    before[end] = i
-                    stop = after[end]
-                    pair[i] = new = ranks.get(data[i:stop]) if stop - i <= longest else None
-                    if new is not None:
-                        waiting.append((new, i))
-                        if new < lowest:
-                            lowest = new
-                else:
-                    pair[i] = None
-                if (left := before[i]) >= 0:
-                    pair[left] = new = ranks.get(data[left:end]) if end - left <= longest else None
-                    if new is not None:
-                        waiting.append((new, left))
-                        if new < lowest:
-                            lowest = new
+                if pair[gone] is not None:
+                    pair[gone] = None
+                    live -= 1
+                before[end] = i
+                pair[i] = None
+                live -= 1
+                left = before[i]
+                if left >= 0 and pair[left] is not None:
+                    pair[left] = None
+                    live -= 1
+                for j, stop in ((left, end), (i, after[end])):
+                    if j < 0 or stop > size or stop - j > longest:
+                        continue
+                    new = ranks.get(data[j:stop])
+                    if new is None:
+                        continue
+                    pair[j] = new
+                    live += 1
+                    lower = lower or new < rank
+                    if new in buckets:
+                        buckets[new].append(j)
+                    else:
+                        buckets[new] = [j]
+                        words[new >> BITS] |= 1 << (new & LOW)
+                        summary |= 1 << (new >> BITS)
         ids, i = [], 0
         while i < size:
             ids.append(ranks[data[i:after[i]]])
@@ -160,11 +170,6 @@ def process_encoder(shared, path: str, pattern: str) -> Encoder:
     return ENCODERS[path, pattern]
 
 
-def new_column(docs: DataFrame, to: str) -> None:
-    if to.lower() in map(str.lower, docs.columns):
-        raise ValueError(f"the input has a column {to}; name another one for the result")
-
-
 def with_token_ids(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, to: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of ``text`` in column ``to``: little-endian unsigned 32-bit numbers, one after the other."""
     new_column(docs, to)

@@ -11,7 +11,8 @@ the same tasks, without a shuffle.
 
 Defined cases: null text has no words and no hits; a null item text has no windows; windows of an
 item without id count as hits but list no item; repeated items are listed once, repeated documents
-are scanned each; with an empty test set nothing is hit; other columns are not looked at.
+are scanned each; with an empty test set nothing is hit;
+an input column with the name of the added one is refused; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tracewell.llm.base import table, text_blocks, utf8
+from tracewell.llm.base import new_column, table, text_blocks, utf8
 
 WINDOW = 10
 #: Windows in one broadcast, and words of one item that reach the driver at a time.
@@ -157,7 +158,7 @@ def merge(new: dict, old: dict) -> None:
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, to: str = "found") -> DataFrame:
     """``docs`` with column ``to``: word count, runs of hit words (start, end, start, ..), item ids."""
-    out = docs.withColumn(to, F.lit(None).cast(FOUND))
+    out = docs.withColumn(new_column(docs, to), F.lit(None).cast(FOUND))
     for windows in window_sets(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(windows)
         out = out.withColumn(to, scanner(shared)(utf8(F.col("text")), F.col(to)))

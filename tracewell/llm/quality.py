@@ -5,14 +5,16 @@ each chunk at every byte; the strongest response of each filter is kept per chun
 chunks the maximum and the mean of these responses go through one logistic unit, which gives the
 probability of label 1.
 
-Training takes a bounded sample: of each label the ``TRAIN_DOCS`` documents with the smallest hash of
-their id, at most ``TRAIN_CHUNKS`` chunks of each, spread evenly over the document. It runs on the
-driver, with a fixed seed over rows in id order, so the same tables give the same network. Scoring
-runs on the executors over every chunk of every text.
+Training takes a bounded sample of whole documents: of each label, in the order of the hash of their id, up to
+``TRAIN_DOCS`` documents of up to ``TRAIN_CHUNKS`` chunks together; of several texts with one id it takes the
+one with the smallest hash. It runs on the driver, with a fixed seed over rows in id order, so the same tables
+give the same network. Scoring runs on the executors over every chunk of every text, a few chunks at a time; of a
+document only the maximum and sum so far are kept.
 
 Defined cases: null and empty texts are one chunk of padding and get its score; a null or other label
 than 0 and 1 is not learned from; where one label is missing altogether, every score is 0.5;
-repeated rows are scored each; an empty table gives no rows; other columns are not looked at.
+repeated rows are scored each; an empty table gives no rows; an input column with the name of the added one is
+refused; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.window import Window
 
-from tracewell.llm.base import table, text_blocks, utf8
+from tracewell.llm.base import new_column, table, text_blocks, utf8
 
 #: Bytes of a chunk, bytes that neighbours share, bytes a filter sees, filters, numbers per byte.
 CHUNK, OVERLAP, WIDTH, FILTERS, DEPTH = 512, 32, 12, 48, 8
-TRAIN_DOCS, TRAIN_CHUNKS = 2000, 32
+TRAIN_DOCS, TRAIN_CHUNKS = 2000, 16_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 32, 0.004, 1e-4, 7
 #: Fixed values of the contract: rows of one fold in five are held out; scores from 0.3 are predicted 1.
 FOLDS, KEEP_FROM = 5, 0.3
-SCORING_CHUNKS = 32
+#: Chunks whose windows are in memory at a time.
+AT_ONCE = 32
 
 
 @dataclass
@@ -60,41 +64,43 @@ class Network:
         a, b, _ = seen.strides
         return np.lib.stride_tricks.as_strided(seen, (len(chunks), chunks.shape[1] - WIDTH + 1, WIDTH * DEPTH), (a, b, seen.itemsize))
 
+    def responses(self, chunks: np.ndarray) -> np.ndarray:
+        return (self.windows(chunks).reshape(-1, WIDTH * DEPTH) @ self.filters).reshape(len(chunks), -1, FILTERS)
+
     def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Strongest response of each filter in each chunk, and its place."""
-        windows = self.windows(chunks)
-        responses = windows.reshape(-1, WIDTH * DEPTH) @ self.filters
-        responses = responses.reshape(len(chunks), -1, FILTERS)
-        places = responses.argmax(axis=1)
-        return np.take_along_axis(responses, places[:, None, :], axis=1)[:, 0] + self.bias, places
+        tops, places = [], []
+        for at in range(0, len(chunks), AT_ONCE):
+            responses = self.responses(chunks[at:at + AT_ONCE])
+            places.append(responses.argmax(axis=1))
+            tops.append(np.take_along_axis(responses, places[-1][:, None, :], axis=1)[:, 0])
+        return np.concatenate(tops) + self.bias, np.concatenate(places)
 
     def strongest(self, chunks: np.ndarray) -> np.ndarray:
-        windows = self.windows(chunks)
-        responses = (windows.reshape(-1, WIDTH * DEPTH) @ self.filters).reshape(len(chunks), -1, FILTERS)
-        return np.maximum(responses.max(axis=1) + self.bias, 0)
+        return np.maximum(self.responses(chunks).max(axis=1) + self.bias, 0)
 
-    def probability(self, held: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Per document, from the responses of its chunks."""
-        counts = np.diff(np.append(starts, len(held)))[:, None]
-        summed = np.concatenate([np.maximum.reduceat(held, starts), np.add.reduceat(held, starts) / counts], axis=1)
-        return logistic(summed @ self.weights + self.offset)
+    def probability(self, peak: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        """Per document, from the maximum and the mean of its chunks' responses."""
+        return logistic(np.concatenate([peak, mean], axis=1) @ self.weights + self.offset)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def chunks_of(text: bytes, most: int | None = None) -> np.ndarray:
-    """Overlapping chunks as rows of byte numbers, 256 for padding; ``most`` of them at most, spread evenly."""
-    step = CHUNK - OVERLAP
-    n = max(1, -(-(len(text) - OVERLAP) // step))
-    chosen = np.arange(n) if most is None or n <= most else np.linspace(0, n - 1, most).astype(int)
-    out = np.full((len(chosen), CHUNK), 256, dtype=np.int16)
-    data = np.frombuffer(text, dtype=np.uint8)
-    for row, i in enumerate(chosen.tolist()):
-        piece = data[i * step:i * step + CHUNK]
-        out[row, :len(piece)] = piece
-    return out
+def n_chunks(size: int) -> int:
+    return max(1, -(-(size - OVERLAP) // (CHUNK - OVERLAP)))
+
+
+def chunks_of(text: bytes) -> Iterator[np.ndarray]:
+    """Overlapping chunks as rows of byte numbers, 256 for padding, up to ``AT_ONCE`` rows at a time."""
+    step, n, data = CHUNK - OVERLAP, n_chunks(len(text)), np.frombuffer(text, dtype=np.uint8)
+    for first in range(0, n, AT_ONCE):
+        out = np.full((min(AT_ONCE, n - first), CHUNK), 256, dtype=np.int16)
+        for row in range(len(out)):
+            piece = data[(first + row) * step:(first + row) * step + CHUNK]
+            out[row, :len(piece)] = piece
+        yield out
 
 
 def train(examples: list[tuple[np.ndarray, int]], share_of_one: float) -> Network | None:
@@ -136,50 +142,63 @@ def gradients(net: Network, documents: list[np.ndarray], labels: np.ndarray, cla
     is_peak = held == peak[owner]
     to_held = back[owner, FILTERS:] / counts[owner, None] + np.where(is_peak, back[owner, :FILTERS], 0)
     to_raw = (to_held * (raw > 0)).astype(np.float32)
-    span = places[:, :, None] + np.arange(WIDTH)
-    seen = chunks[np.arange(len(chunks))[:, None, None], span]
-    inputs = net.bytes_[seen].reshape(len(chunks), FILTERS, WIDTH * DEPTH)
-    to_filters = np.einsum("cf,cfk->kf", to_raw, inputs)
-    to_inputs = (to_raw[:, :, None] * net.filters.T[None]).reshape(-1, DEPTH)
-    to_bytes = np.stack([np.bincount(seen.reshape(-1), to_inputs[:, d], 257) for d in range(DEPTH)], axis=1)
+    to_filters, to_bytes = np.zeros_like(net.filters), np.zeros((257, DEPTH))
+    for at in range(0, len(chunks), AT_ONCE):
+        part, own = slice(at, at + AT_ONCE), chunks[at:at + AT_ONCE]
+        seen = own[np.arange(len(own))[:, None, None], places[part, :, None] + np.arange(WIDTH)]
+        to_filters += np.einsum("cf,cfk->kf", to_raw[part], net.bytes_[seen].reshape(len(own), FILTERS, WIDTH * DEPTH))
+        to_inputs = (to_raw[part, :, None] * net.filters.T[None]).reshape(-1, DEPTH)
+        to_bytes += np.stack([np.bincount(seen.reshape(-1), to_inputs[:, d], 257) for d in range(DEPTH)], axis=1)
     return [to_bytes.astype(np.float32), to_filters, to_raw.sum(axis=0), (summed * error[:, None]).sum(axis=0).astype(np.float32), error.sum(keepdims=True).astype(np.float32)]
 
 
 def scores(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Probability for each text, over all its chunks; ``SCORING_CHUNKS`` chunks are in memory at a time."""
-    held, starts, total, waiting = [], [], 0, []
+    """Probability for each text, over all its chunks; ``AT_ONCE`` chunks of one or several texts are scored together."""
+    peak, total = np.zeros((len(texts), FILTERS), np.float32), np.zeros((len(texts), FILTERS))
+    waiting: list[np.ndarray] = []
+    owners: list[int] = []
 
     def flush() -> None:
-        if waiting:
-            rows = np.concatenate(waiting)
-            held.extend(net.strongest(rows[i:i + SCORING_CHUNKS]) for i in range(0, len(rows), SCORING_CHUNKS))
-            waiting.clear()
-
-    for text in texts:
-        own = chunks_of(text)
-        starts.append(total)
-        total += len(own)
-        waiting.append(own)
-        if sum(map(len, waiting)) >= SCORING_CHUNKS:
-            flush()
-    flush()
-    return net.probability(np.concatenate(held), np.array(starts)).astype(np.float64) if texts else np.zeros(0)
+        held = net.strongest(np.concatenate(waiting))
+        starts = np.cumsum([0, *map(len, waiting)])[:-1]
+        np.maximum.at(peak, owners, np.maximum.reduceat(held, starts))
+        np.add.at(total, owners, np.add.reduceat(held.astype(np.float64), starts))
+        waiting.clear()
+        owners.clear()
+
+    for i, text in enumerate(texts):
+        for block in chunks_of(text):
+            if waiting and sum(map(len, waiting)) + len(block) > AT_ONCE:
+                flush()
+            waiting.append(block)
+            owners.append(i)
+    if waiting:
+        flush()
+    counts = np.array([n_chunks(len(t)) for t in texts])[:, None]
+    return net.probability(peak, (total / counts).astype(np.float32)).astype(np.float64) if texts else np.zeros(0)
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[tuple[np.ndarray, int]], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chunks: int = TRAIN_CHUNKS) -> tuple[list[tuple[np.ndarray, int]], float]:
     """The bounded sample, and the share of label 1 among all labelled rows outside the held-out fold."""
     known = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     share = known.agg(F.avg("quality")).first()[0] or 0.0
     sampled = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs) for q in (0, 1)]
-    chosen = docs.select("doc_id", utf8(F.col("text")).alias("text")).join(sampled[0].unionByName(sampled[1]), "doc_id")
+    texts = docs.select("doc_id", utf8(F.col("text")).alias("text"))
+    met = texts.join(sampled[0].unionByName(sampled[1]), "doc_id").withColumn("digest", F.xxhash64("text"))
+    # One row per id and label from here on, so the running sum is over at most ``train_docs`` rows of each label.
+    sizes = met.groupBy("doc_id", "quality").agg(F.min(F.struct("digest", F.octet_length("text").alias("size"))).alias("own"))
+    chunks = F.greatest(F.lit(1), F.ceil((F.col("own.size") - OVERLAP) / (CHUNK - OVERLAP)))
+    so_far = F.sum(chunks).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = sizes.select("doc_id", "quality", F.col("own.digest").alias("digest"), so_far.alias("so_far")).where(F.col("so_far") <= train_chunks).drop("so_far")
+    chosen = met.join(fits, ["doc_id", "quality", "digest"]).dropDuplicates(["doc_id", "quality"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [chunks_of(t, TRAIN_CHUNKS).astype("<i2").tobytes() for t in batch.column("text").to_pylist()]
+            rows = [np.concatenate(list(chunks_of(t))).astype("<i2").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "chunks"])
 
     kind = dict(chosen.dtypes)["doc_id"]
@@ -195,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
 def with_quality(docs: DataFrame, net: Network | None, to: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 in column ``to``."""
     if net is None:
-        return docs.withColumn(to, F.lit(0.5))
+        return docs.withColumn(new_column(docs, to), F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @arrow_udf("double")
@@ -204,7 +223,7 @@ def with_quality(docs: DataFrame, net: Network | None, to: str = "score") -> Dat
             blocks = text_blocks([pa.RecordBatch.from_arrays([column], ["text"])])
             yield pa.array(np.concatenate([np.zeros(0), *[scores(shared.value, b.column(0).to_pylist()) for b in blocks]]), type=pa.float64())
 
-    return docs.withColumn(to, score(utf8(F.col("text"))))
+    return docs.withColumn(new_column(docs, to), score(utf8(F.col("text"))))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:

@@ -9,7 +9,8 @@ characters from it, and the complementary parts are reported with it. Parts that
 others are not reported.
 
 Defined cases: null text is empty and has no spans; repeated rows are scanned each; an empty table
-gives no rows; positions are code points, ends are exclusive; other columns are not looked at.
+gives no rows; positions are code points, ends are exclusive; an input column with the name of the added one is
+refused; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tracewell.llm.base import table
+from tracewell.llm.base import new_column, table
 
 #: Fixed values of the contract: base kinds in order, their patterns and least lengths.
 KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]
@@ -76,9 +77,8 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     endpoints = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if ":" in text else []
     if not (identifiers or endpoints):
         return []
-    covered = sorted((a, b) for a, b, _ in base)
+    covered = merged([*base, *endpoints])
     secrets = [(m.start(), m.end(), "secret") for m in SECRET.finditer(text) if is_mixed(m[0]) and not overlaps(covered, *m.span())]
-    secrets = [s for s in secrets if not overlaps([(a, b) for a, b, _ in endpoints], s[0], s[1])]
     if not (secrets or base):
         return []
     ends = [m.start() for m in SCOPE_END.finditer(text)]
@@ -98,9 +98,21 @@ def within(parts: list[tuple[int, int, int, str]], around: tuple[int, int, int,
     return parts[bisect_left(parts, (scope, start - REACH)):bisect_right(parts, (scope, end + REACH))]
 
 
-def overlaps(sorted_spans: list[tuple[int, int]], start: int, end: int) -> bool:
-    i = bisect_left(sorted_spans, (end,))
-    return any(b > start for _, b in sorted_spans[max(0, i - 3):i])
+def merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches that the spans cover, apart from each other and in order."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def overlaps(apart: list[tuple[int, int]], start: int, end: int) -> bool:
+    """True if one of the stretches shares a character with start:end; only the last that begins before the end can."""
+    i = bisect_left(apart, (end,))
+    return i > 0 and apart[i - 1][1] > start
 
 
 def all_spans(text: str) -> list[Span]:
@@ -120,7 +132,7 @@ def finder():
 
 def with_secrets(docs: DataFrame, to: str = "secrets") -> DataFrame:
     """``docs`` with column ``to``: kind, start and end of every span, by start, then kind."""
-    return docs.withColumn(to, finder()(F.col("text")))
+    return docs.withColumn(new_column(docs, to), finder()(F.col("text")))
 
 
 def redact(text: str) -> str:

@@ -13,7 +13,8 @@ characters that no piece contains. Counts of the stretches between are remembere
 most ``REMEMBERED`` at a time.
 
 Defined cases: null and empty texts have no tokens; repeated rows are counted each; an empty table
-gives no rows; texts are counted whole; other columns are not looked at.
+gives no rows; texts are counted whole;
+an input column with the name of the added one is refused; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tracewell.llm.base import table
+from tracewell.llm.base import new_column, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the tokenizer: mark of a blank, how far an unknown character is below the lowest score.
@@ -109,7 +110,7 @@ def with_token_counts(docs: DataFrame, path: str = VOCABULARY, to: str = "n_toke
         for column in texts:
             yield pa.array((counter.count(x.as_py()) for x in column), type=pa.int64(), size=len(column))
 
-    return docs.withColumn(to, count(F.col("text")))
+    return docs.withColumn(new_column(docs, to), count(F.col("text")))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

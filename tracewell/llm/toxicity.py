@@ -16,7 +16,8 @@ sampled document, its counts of these.
 
 Defined cases: null and empty texts have no features and get the severity of that; a null label is
 not learned from; where one label is missing altogether, severity is 0 and nothing is toxic; repeated
-rows are scored each; an empty table gives no rows; other columns are not looked at.
+rows are scored each; an empty table gives no rows;
+an input column with the name of the added one is refused; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tracewell.llm.base import table
+from tracewell.llm.base import new_column, table
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
@@ -84,29 +85,50 @@ def logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(counts: list[dict[int, int]], words: list[int], grades: np.ndarray, class_weight: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by Adam on the weighted log-likelihood of all thresholds together."""
-    row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-    column = np.array([i for c in counts for i in c], dtype=np.int64)
-    by_rate = rate(np.array([n for c in counts for n in c.values()], dtype=float), np.maximum(np.array(words), 1)[row])
-    weights = np.zeros((2, features))
-    first = np.zeros(GRADES) + np.array([1.0, *[-1.0] * (GRADES - 1)])
-    params = [weights, first]
+@dataclass
+class Design:
+    """The sparse feature table: for each entry its row, feature number and rate; grades and weight of each row."""
+
+    row: np.ndarray
+    column: np.ndarray
+    by_rate: np.ndarray
+    grades: np.ndarray
+    class_weight: np.ndarray
+
+    @classmethod
+    def of(cls, counts: list[dict[int, int]], words: list[int], grades: np.ndarray, class_weight: np.ndarray) -> Design:
+        row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+        by_rate = rate(np.array([n for c in counts for n in c.values()], dtype=float), np.maximum(np.array(words), 1)[row])
+        return cls(row, np.array([i for c in counts for i in c], dtype=np.int64), by_rate, grades, class_weight)
+
+
+def thresholds(first: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the lowest one and the logarithms of the gaps between them."""
+    return np.cumsum(np.append(first[:1], np.exp(first[1:])))
+
+
+def gradient(design: Design, weights: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the weighted negative log-likelihood of all thresholds together, by the weights and by ``first``."""
+    features, rows = weights.shape[1], len(design.grades)
+    score = np.bincount(design.row, weights[0, design.column] + weights[1, design.column] * design.by_rate, rows)
+    above = design.grades[:, None] >= np.arange(1, GRADES + 1)
+    error = (logistic(score[:, None] - thresholds(first)) - above) * design.class_weight[:, None] / rows
+    back = error.sum(axis=1)[design.row]
+    to_weights = np.stack([np.bincount(design.column, back, features), np.bincount(design.column, back * design.by_rate, features)])
+    to_gaps = -np.cumsum(error.sum(axis=0)[::-1])[::-1]
+    return to_weights + DECAY * weights, np.append(to_gaps[:1], to_gaps[1:] * np.exp(first[1:]))
+
+
+def train(design: Design, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by Adam."""
+    params = [np.zeros((2, features)), np.array([1.0, *[-1.0] * (GRADES - 1)])]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    above = (grades[:, None] >= np.arange(1, GRADES + 1)).astype(float)
     for step in range(1, STEPS + 1):
-        gaps = np.append(params[1][:1], np.exp(params[1][1:]))
-        score = np.bincount(row, weights[0, column] + weights[1, column] * by_rate, len(counts))
-        error = (logistic(score[:, None] - np.cumsum(gaps)) - above) * class_weight[:, None] / len(counts)
-        back = error.sum(axis=1)[row]
-        to_weights = np.stack([np.bincount(column, back, features), np.bincount(column, back * by_rate, features)]) + DECAY * weights
-        to_gaps = -np.cumsum(error.sum(axis=0)[::-1])[::-1]
-        to_first = np.append(to_gaps[:1], to_gaps[1:] * gaps[1:])
-        for p, g, (m, v) in zip(params, (to_weights, to_first), moments, strict=True):
+        for p, g, (m, v) in zip(params, gradient(design, *params), moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return weights, np.cumsum(np.append(params[1][:1], np.exp(params[1][1:])))
+    return params[0], thresholds(params[1])
 
 
 def sampled(docs: DataFrame, labels: DataFrame, train_docs: int) -> tuple[DataFrame, float]:
@@ -165,14 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Sev
     cuts = np.quantile(rates[toxic == 1], np.arange(1, GRADES) / GRADES)
     grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, rates, side="left"), 0)
     class_weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
-    model.weights, model.thresholds = train(counts, words, grades, class_weight, len(found))
+    model.weights, model.thresholds = train(Design.of(counts, words, grades, class_weight), len(found))
     return model
 
 
 def with_severity(docs: DataFrame, model: Severity | None, to: str = "reached") -> DataFrame:
     """``docs`` with P(grade >= k) for k = 1, 2, .. in column ``to``."""
     if model is None:
-        return docs.withColumn(to, F.array(*[F.lit(0.0)] * GRADES))
+        return docs.withColumn(new_column(docs, to), F.array(*[F.lit(0.0)] * GRADES))
     model.known = {}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -181,7 +203,7 @@ def with_severity(docs: DataFrame, model: Severity | None, to: str = "reached")
         for column in texts:
             yield pa.array((shared.value.reached(x.as_py()).tolist() for x in column), type=pa.list_(pa.float64()), size=len(column))
 
-    return docs.withColumn(to, score(F.col("text")))
+    return docs.withColumn(new_column(docs, to), score(F.col("text")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

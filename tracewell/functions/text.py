@@ -32,12 +32,6 @@ def balanced(depth: int = MAX_DEPTH) -> str:
 BALANCED = balanced()
 GROUP = rf"\({BALANCED}*+\)"
 CTE = rf"(?i)\b({WORD})\s*(?:\([^()]*\)\s*)?AS\s*\(\s*(SELECT\b{BALANCED}*+)\)"
-DERIVED_TABLE = rf"(?i)\b(FROM|JOIN)\s*\(\s*(SELECT\b{BALANCED}*+)\)\s*(?:AS )?({WORD})"
-CREATE = (
-    r"(?i)^\s*CREATE (?:OR REPLACE )?"
-    r"(?:(?:SECURE|RECURSIVE|MATERIALIZED|TEMPORARY|TEMP|TRANSIENT|LOCAL|GLOBAL|VOLATILE) )*"
-    rf"(VIEW|TABLE) (?:IF NOT EXISTS )?({NAME})\s*({GROUP})?"
-)
 CLAUSES = (
     r"SELECT|(?<!DISTINCT )FROM|WHERE|GROUP BY|HAVING|QUALIFY|ORDER BY|LIMIT|"
     r"UNION ALL|UNION|INTERSECT|EXCEPT|MINUS|"
@@ -79,19 +73,30 @@ def mask_literals(text: Column) -> Column:
     return F.regexp_replace(text, LITERAL, "''")
 
 
-def normalise_sql(text: Column) -> Column:
-    """One-line text without comments, literals or quotes around plain names."""
-    masked = mask_literals(strip_comments(text))
-    return F.trim(F.regexp_replace(F.regexp_replace(masked, rf'"({WORD})"', "$1"), r"\s+", " "))
+#: Characters that a quoted name may hold and a plain one may not, and words for them that a plain name may hold.
+QUOTED_ONLY = " !#%&'()*+,-./:;<=>?@[\\]^`{|}~"
 
 
-def too_deep(text: Column) -> Column:
-    """True when parentheses do not match or are nested deeper than the patterns follow.
+def spelled(name: Column, back: bool = False) -> Column:
+    """``name`` with the characters of ``QUOTED_ONLY`` as words, or, ``back``, the words as characters."""
+    pairs = F.array(*[F.array(F.lit(c), F.lit(f"_x{ord(c):02x}_")) for c in QUOTED_ONLY])
+    return F.reduce(pairs, name, lambda t, p: F.replace(t, F.get(p, F.lit(int(back))), F.get(p, F.lit(int(not back)))))
 
-    Removing well-formed groups leaves a parenthesis behind in exactly those cases.
-    """
-    left_over = F.regexp_replace(text, GROUP, "").rlike(r"[()]")
-    return F.when(F.instr(text, "(") > 0, left_over).otherwise(F.instr(text, ")") > 0)
+
+def plain_names(text: Column) -> Column:
+    """Quoted names as plain ones; a character that those cannot hold becomes ``_xHH_``."""
+    pieces = F.transform(F.split(text, '"'), lambda p, i: F.when((i % 2 == 1) & p.rlike(r"[^\w$]"), spelled(p)).otherwise(p))
+    return F.when(text.contains('"'), F.array_join(pieces, "")).otherwise(text)
+
+
+def shown(name: Column) -> Column:
+    """A name as it was quoted."""
+    return F.when(name.contains("_x"), spelled(name, back=True)).otherwise(name)
+
+
+def normalise_sql(text: Column) -> Column:
+    """One-line text without comments, literals or quotes around names."""
+    return F.trim(F.regexp_replace(plain_names(mask_literals(strip_comments(text))), r"\s+", " "))
 
 
 def top_level_items(text: Column) -> Column:
@@ -142,17 +147,16 @@ def table_struct(kw: Column, txt: Column, ordinal: Column) -> Column:
     )
 
 
-def table_refs(segs: Column) -> Column:
-    """Table references of a statement's FROM part, in order."""
-    inside = let(first_index(segs, ["FROM"], F.lit(1)), lambda start: let(
+def from_part(segs: Column, names_table) -> Column:
+    """The segments of a statement's FROM part whose text ``names_table`` accepts, in order."""
+    return let(first_index(segs, ["FROM"], F.lit(1)), lambda start: let(
         first_index(segs, AFTER_FROM, start),
         lambda stop: F.filter(
             segs,
             lambda s, i: (start > 0) & (i + 1 >= start) & ((stop == 0) | (i + 1 < stop))
-            & s["kw"].isin("FROM", "JOIN", ",") & s["txt"].rlike(rf"^{NAME}{NOT_CALL}"),
+            & s["kw"].isin("FROM", "JOIN", ",") & names_table(s["txt"]),
         ),
     ))
-    return F.transform(inside, lambda s, i: table_struct(s["kw"], s["txt"], i + 1))
 
 
 def select_texts(segs: Column) -> Column:
@@ -173,7 +177,7 @@ NOT_AFTER = r"(?<!\b(?:OR|AND|NOT|LIKE|ILIKE|IN|IS|BETWEEN|THEN|ELSE|WHEN|CASE|D
 def split_alias(item: Column) -> Column:
     """Struct (expr, alias) of a select item; alias '' when there is none."""
     explicit = rf"(?i)^(.+) AS \"?({WORD})\"?$"
-    implicit = rf"(?i)^(.*[\w)\]'\"]){NOT_AFTER} {NOT_ALIAS}({WORD})$"
+    implicit = rf"(?i)^(.*[\w)\]'\"\x05\x07]){NOT_AFTER} {NOT_ALIAS}({WORD})$"
     parts = lambda pattern: F.struct(
         F.trim(F.regexp_extract(item, pattern, 1)).alias("expr"), F.regexp_extract(item, pattern, 2).alias("alias"))
     return (

@@ -4,8 +4,11 @@ Input: (object_id, ddl_text) and any other columns, which are kept. A definition
 row; its scopes, table references and select items are arrays inside that row, so every
 step up to the final explode is a narrow map. Nothing here shuffles.
 
-A *scope* is one query block: each named subquery, each derived table in FROM, and the
-main select (kind ``main``, name ''). The selects of a set operation are branches of one scope.
+A *scope* is one query block: each named subquery (``cte``), each derived table in FROM (``derived``), each
+other subquery (``subquery``), and the main select (kind ``main``, name ''). The selects of a set operation are
+branches of one scope. Brackets are taken out level by level (``nesting``), so scopes may be nested to any depth, and
+each one's text shows its own level only. A scope's name is that of the subquery or its alias; where several
+have the same, all but the last to close carry a number. Names mean what the nearest WITH around them declares.
 """
 
 from __future__ import annotations
@@ -15,36 +18,53 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions import nesting as N
 from tracewell.functions import text as T
 
+CONTROL = "\x01\x02\x04\x05\x06\x07\x08"
+HEAD = (
+    r"(?i)^\s*CREATE (?:OR REPLACE )?"
+    r"(?:(?:SECURE|RECURSIVE|MATERIALIZED|TEMPORARY|TEMP|TRANSIENT|LOCAL|GLOBAL|VOLATILE) )*"
+    rf"(VIEW|TABLE) (?:IF NOT EXISTS )?({T.NAME})\s*(?:\x04(\d+)\x05)?"
+)
+
 
 def parsed(ddl: DataFrame) -> DataFrame:
-    """Definition type, name, declared columns and query text of each definition."""
-    head = lambda i: F.regexp_extract("sql", T.CREATE, i)
+    """Definition type, name, declared columns and query text of each definition, by bracket level.
+
+    The query starts after the first AS outside brackets that a WITH, a SELECT or a query in brackets follows.
+    """
+    head = lambda i: F.regexp_extract("level", HEAD, i)
+    flat = F.regexp_extract("rest", rf"(?i)^(?:.*?\s)??AS\s*((?:WITH|SELECT)\b.*|{N.QUERY}.*)$", 1)
+    lone = F.regexp_extract("flat", rf"^\x06(\d+)\x07$", 1)
     return (
-        ddl.withColumn("sql", T.normalise_sql(F.col("ddl_text")))
+        ddl.withColumn("sql", T.normalise_sql(F.translate("ddl_text", CONTROL, " " * len(CONTROL))))
+        .withColumn("levels", N.depth(F.col("sql")))
+        .withColumn("unsupported_depth", F.col("sql").isNotNull() & F.col("levels").isNull())
+        .withColumn("nest", N.nested(F.when(F.col("levels").isNotNull(), F.col("sql")).otherwise(""), F.coalesce("levels", F.lit(0))))
+        .withColumn("level", F.when(F.col("levels").isNull(), F.regexp_extract("sql", r"^[^()]*", 0)).otherwise(F.col("nest.text")))
         .withColumn("ddl_type", F.coalesce(F.nullif(F.lower(head(1)), F.lit("")), F.lit("unsupported")))
-        .withColumn("object_name", head(2))
-        .withColumn("declared", F.regexp_replace(head(3), r"^\(|\)$", ""))
-        .withColumn("rest", F.regexp_replace(F.regexp_replace("sql", T.CREATE, ""), r"\s*;\s*$", ""))
-        .withColumn("query", F.regexp_extract("rest", r"(?i)^(?:.*?\s)?AS\s*\(?\s*((?:WITH|SELECT)\b.*)$", 1))
-        .withColumn("has_query", F.col("query") != "")
-        .withColumn("unsupported_depth", T.too_deep(F.col("sql")))
+        .withColumn("object_name", T.shown(head(2)))
+        .withColumn("declared", F.coalesce(F.get("nest.surface", F.nullif(head(3), F.lit("")).cast("int")), F.lit("")))
+        .withColumn("rest", F.regexp_replace(F.regexp_replace("level", HEAD, ""), r"\s*;\s*$", ""))
+        .withColumn("flat", F.trim(flat))
+        .withColumn("has_query", F.col("flat") != "")
+        .withColumn("flat", F.when(lone != "", F.get("nest.surface", F.nullif(lone, F.lit("")).cast("int"))).otherwise(F.col("flat")))
         .withColumn("is_supported", (F.col("ddl_type") != "unsupported") & ~F.col("unsupported_depth"))
         .withColumn("identifier_table", F.regexp_extract(
             T.strip_comments(F.col("ddl_text")), r"(?i)\bIDENTIFIER\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", 1))
         .withColumn("uses_identifier", F.col("sql").rlike(r"(?i)\bIDENTIFIER\s*\("))
-        .drop("rest")
+        .drop("rest", "level", "levels")
     )
 
 
 def declared_columns(declared: Column) -> Column:
     """Column names of a declared list; table constraints are left out."""
     items = F.filter(
-        T.top_level_items(declared),
-        lambda i: ~i.rlike(r"(?i)^(?:CONSTRAINT|PRIMARY|FOREIGN|UNIQUE|CHECK)\b"),
+        F.transform(F.split(declared, ","), lambda i: F.trim(i)),
+        lambda i: (i != "") & ~i.rlike(r"(?i)^(?:CONSTRAINT|PRIMARY|FOREIGN|UNIQUE|CHECK)\b"),
     )
-    return F.transform(items, lambda i: F.regexp_extract(i, r'^"?([\w$]+)"?', 1))
+    return F.transform(items, lambda i: T.shown(F.regexp_extract(i, r"^([\w$]+)", 1)))
 
 
 SET_OPERATOR = rf"(?i)\b(?:{'|'.join(T.SET_OPERATORS)})\b"
@@ -86,78 +106,161 @@ def select_score(segs: Column) -> Column:
     ))
 
 
+CTE = rf"({T.WORD})\s*(?:\x04(\d+)\x05)?\s*AS\s*(?:(?:NOT )?MATERIALIZED )?\s*\x06(\d+)\x07"
+WITH_HEAD = rf"(?i)^WITH (?:RECURSIVE )?((?:{CTE.replace('(', '(?:').replace('(?:?:', '(?:')}\s*,?\s*)++)(.*)$"
+BRACKETED_SELECT = rf"(?i)(^|\b{N.SET_OPERATORS}(?: ALL| DISTINCT)? )({N.QUERY})"
+#: A table expression that is a call; IDENTIFIER names a table instead.
+CALL = rf"(?i)^(?:LATERAL )?(?!IDENTIFIER\b)({T.NAME})\s*\x04(\d+)\x05"
+ENV = "array<struct<id:int,children:array<int>,visible:array<struct<name:string,key:string>>>>"
+
+
+def block(number: Column, text: Column) -> Column:
+    """Struct of one query: its number, named subqueries, selects without the WITH, and the subqueries right below it."""
+    head = F.regexp_extract(text, WITH_HEAD, 1)
+    rest = F.when(head != "", F.regexp_extract(text, WITH_HEAD, 2)).otherwise(text)
+    each = lambda i: F.regexp_extract_all(head, F.lit(f"(?i){CTE}"), F.lit(i))
+    ctes = F.transform(F.arrays_zip(each(1).alias("name"), each(2).alias("columns"), each(3).alias("id")), lambda z: F.struct(
+        F.lower(z["name"]).alias("name"), z["id"].cast("int").alias("id"), F.nullif(z["columns"], F.lit("")).cast("int").alias("columns")))
+    return F.struct(
+        number.alias("id"), F.coalesce(F.get("nest.closed", number), F.lit(2 ** 31 - 1)).alias("closed"),
+        F.when(text.rlike("(?i)^WITH "), ctes).otherwise(F.expr("CAST(array() AS array<struct<name:string,id:int,columns:int>>)")).alias("ctes"),
+        F.regexp_replace(rest, BRACKETED_SELECT, "$1SELECT * FROM $2").alias("text"),
+        N.query_numbers(N.put_back(text, F.col("nest.inlined"), N.GROUP)).alias("children"))
+
+
+def blocks_column() -> Column:
+    """The queries of a definition, innermost first in the order of their closing brackets; the main one is last."""
+    main = block(F.lit(-1), F.col("flat"))
+    numbers = F.filter(F.sequence(F.lit(0), F.size("nest.surface")), lambda k: F.get("nest.surface", k).rlike(N.IS_QUERY))
+    inner = F.transform(numbers, lambda k: block(k, F.get("nest.surface", k)))
+    # A query in brackets of its own, which stand for nothing, is not below any other.
+    below = lambda all_, m: F.concat(m["children"], F.flatten(F.transform(all_, lambda x: x["children"])))
+    in_order = lambda all_: F.array_sort(all_, lambda x, y: x["closed"] - y["closed"])
+    both = T.let(main, lambda m: T.let(inner, lambda all_: F.concat(
+        in_order(T.let(below(all_, m), lambda used: F.filter(all_, lambda b: F.array_contains(used, b["id"])))), F.array(m))))
+    return F.when(F.col("is_supported") & F.col("has_query"), both)
+
+
+def table_of(kw: Column, txt: Column, ordinal: Column) -> Column:
+    """Table reference of one FROM or JOIN piece: a table, a derived table (``child``) or a table function (``args``)."""
+    child = F.regexp_extract(txt, r"(?i)^(?:LATERAL )?\x06(\d+)\x07", 1)
+    call = F.regexp_extract(txt, CALL, 2)
+    plain = F.regexp_extract(txt, rf"^({T.NAME})(?![\w$.]|\s*\x04)", 1)
+    after = rf"(?i)^(?:(?:LATERAL )?(?:{T.NAME}\s*{N.GROUP}|{N.QUERY})\s*|{T.NAME} )(?:AS )?({T.WORD})"
+    alias = F.regexp_extract(txt, after, 1)
+    inner = (child != "") | (call != "")
+    name = F.when(inner & (alias != ""), alias).when(child != "", F.concat(F.lit("subquery_"), child)).when(call != "", F.regexp_extract(txt, CALL, 1)).otherwise(plain)
+    given = F.regexp_replace(F.get("nest.inlined", F.nullif(call, F.lit("")).cast("int")), rf"\b{T.WORD}\s*=>", "")
+    arguments = T.column_refs(N.without_queries(given, "0"))
+    return F.struct(
+        ordinal.cast("int").alias("ordinal"), F.when(kw == "JOIN", "join").otherwise("from").alias("clause"), T.shown(name).alias("table_name"),
+        F.lower(T.shown(F.when(alias != "", alias).otherwise(F.substring_index(name, ".", -1)))).alias("alias"),
+        F.nullif(child, F.lit("")).cast("int").alias("child"), F.when(call != "", arguments).alias("args"))
+
+
+IS_TABLE = rf"^(?:(?i:LATERAL )?{N.QUERY}|{T.NAME}(?![\w$.]|\s*\x04))"
+
+
+def tables_of_select(segs: Column) -> Column:
+    """Table references of one select in order; the object itself is not one of its sources."""
+    inside = T.from_part(segs, lambda txt: txt.rlike(IS_TABLE) | txt.rlike(CALL))
+    return F.filter(F.transform(inside, lambda s, i: table_of(s["kw"], s["txt"], i + 1)), lambda t: F.lower(t["table_name"]) != F.lower(F.col("object_name")))
+
+
+@cache
+def selects_column() -> Column:
+    """``blocks`` with segments and tables of their selects."""
+    return F.transform("blocks", lambda b: T.let(select_parts(F.when(b["id"] == -1, "main").otherwise("inner"), b["text"]), lambda parts: F.struct(
+        b["id"].alias("id"), b["ctes"].alias("ctes"), b["children"].alias("children"), b["text"].alias("text"), parts["segs"].alias("segs"), tables_of_select(parts["segs"]).alias("tables"),
+        F.transform(parts["branches"], lambda x: F.struct(x["segs"].alias("segs"), tables_of_select(x["segs"]).alias("tables"))).alias("branches"))))
+
+
+@cache
+def named_column() -> Column:
+    """For each block: id, kind, name, declared columns, and ``key``, the name that only this block has."""
+    named = F.concat(
+        F.flatten(F.transform("selects", lambda b: F.transform(b["ctes"], lambda c: F.struct(
+            c["id"].alias("id"), F.lit("cte").alias("kind"), c["name"].alias("name"), c["columns"].alias("columns"))))),
+        F.flatten(F.transform("selects", lambda b: F.flatten(F.transform(
+            F.concat(F.array(b["tables"]), F.transform(b["branches"], lambda x: x["tables"])),
+            lambda tables: F.transform(F.filter(tables, lambda t: t["child"].isNotNull()), lambda t: F.struct(
+                t["child"].alias("id"), F.lit("derived").alias("kind"), t["alias"].alias("name"), F.lit(None).cast("int").alias("columns"))))))))
+    found = T.let(named, lambda names: F.transform("selects", lambda b: F.when(b["id"] == -1, F.struct(
+        F.lit(-1).alias("id"), F.lit("main").alias("kind"), F.lit("").alias("name"), F.lit(None).cast("int").alias("columns"))).otherwise(F.coalesce(
+            F.get(F.filter(names, lambda n: n["id"] == b["id"]), F.lit(0)), F.struct(
+                b["id"].alias("id"), F.lit("subquery").alias("kind"), F.concat(F.lit("subquery_"), b["id"].cast("string")).alias("name"), F.lit(None).cast("int").alias("columns"))))))
+    return T.let(found, lambda all_: T.let(F.transform(all_, lambda n: n["name"]), lambda names: F.transform(all_, lambda n, i: n.withField(
+        "key", F.when(F.size(F.filter(names, lambda m, j: (m == n["name"]) & (j > i))) > 0, F.concat_ws("#", n["name"], n["id"].cast("string"))).otherwise(n["name"])))))
+
+
+@cache
+def visible_column() -> Column:
+    """The named subqueries that each block sees, nearest first, worked out from the main query inwards."""
+    key = lambda number: F.get(F.filter("names", lambda n: n["id"] == number), F.lit(0))["key"]
+    own = lambda b: F.transform(b["ctes"], lambda c: F.struct(c["name"].alias("name"), key(c["id"]).alias("key")))
+    above = lambda known, b: F.coalesce(F.get(F.filter(known, lambda k: F.array_contains(k["children"], b["id"])), F.lit(0))["visible"],
+                                        F.expr("CAST(array() AS array<struct<name:string,key:string>>)"))
+    step = lambda known, b: F.concat(known, F.array(F.struct(
+        b["id"].alias("id"), b["children"].alias("children"), F.concat(own(b), above(known, b)).alias("visible"))))
+    return F.reduce(F.reverse("selects"), F.expr(f"CAST(array() AS {ENV})"), step)
+
+
 @cache
 def scopes_column() -> Column:
-    blocks = F.transform("blocks", lambda b, i: T.let(select_parts(b["kind"], b["body"]), lambda parts: F.struct(
-        (i + 1).cast("int").alias("ordinal"), b["kind"].alias("kind"), b["name"].alias("name"), b["body"].alias("body"),
-        parts["segs"].alias("segs"), parts["branches"].alias("branches"),
-    )))
-    return F.when(F.col("is_supported") & F.col("has_query"), blocks)
+    """The blocks as scopes; each table has the ``key`` of the scope it stands for, null for a table of the catalog."""
+    def keyed(tables: Column, seen: Column, self_: Column) -> Column:
+        def key(t: Column) -> Column:
+            child = F.get(F.filter("names", lambda n: n["id"] == t["child"]), F.lit(0))["key"]
+            cte = F.get(F.filter(seen, lambda v: v["name"] == F.lower(t["table_name"])), F.lit(0))["key"]
+            return F.when(t["child"].isNotNull(), child).when(t["args"].isNull() & (cte != self_), cte)
+
+        return F.transform(tables, lambda t: t.withField("key", key(t)))
 
+    def scope(b: Column, i: Column, n: Column, seen: Column) -> Column:
+        return F.struct(
+            (i + 1).cast("int").alias("ordinal"), n["kind"].alias("kind"), n["key"].alias("name"), n["columns"].alias("columns"),
+            N.put_back(b["text"], F.col("nest.whole"), N.ANY_TOKEN).alias("body"), b["segs"].alias("segs"), keyed(b["tables"], seen, n["key"]).alias("tables"),
+            F.transform(b["branches"], lambda x: F.struct(x["segs"].alias("segs"), keyed(x["tables"], seen, n["key"]).alias("tables"))).alias("branches"))
 
-NESTED_QUERY = r"(?i)\b(?:FROM|JOIN)\s*\(\s*(?:SELECT|WITH)\b"
+    return F.transform("selects", lambda b, i: T.let(F.get("names", i), lambda n: T.let(
+        F.get("visible", F.size("visible") - 1 - i)["visible"], lambda seen: scope(b, i, n, seen))))
 
 
 def scoped(ddl: DataFrame) -> DataFrame:
-    """Adds ``scopes``: array of (ordinal, kind, name, body, segs, branches) for each supported query."""
-    base = parsed(ddl)
-    pair = lambda text, pattern, a, b, kind: F.transform(
-        F.arrays_zip(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(a)).alias("name"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(b)).alias("body"),
-        ),
-        lambda z: F.struct(F.lit(kind).alias("kind"), F.lower(z["name"]).alias("name"), z["body"].alias("body")),
-    )
-    has_derived = F.col("query").rlike(r"(?i)\b(?:FROM|JOIN)\s*\(\s*SELECT\b")
-    flat = F.when(has_derived, F.regexp_replace("query", T.DERIVED_TABLE, "$1 $3")).otherwise(F.col("query"))
-    none = F.expr("CAST(array() AS array<struct<kind:string,name:string,body:string>>)")
-    has_with = F.col("is_supported") & F.col("flat").rlike(r"(?i)^WITH\b")
+    """Adds ``scopes``: array of (ordinal, kind, name, columns, body, segs, tables, branches) for each supported query,
+    and ``ctes``, the named subqueries (name, body) by their closing brackets."""
+    ctes = F.transform(F.filter(F.flatten(F.transform("selects", lambda b: F.transform(b["ctes"], lambda c: F.struct(
+        F.get("nest.closed", c["id"]).alias("closed"), c["name"].alias("name"), F.get("nest.whole", c["id"]).alias("body"))))),
+        lambda c: c.isNotNull()), lambda c: c)
+    none = F.expr("CAST(array() AS array<struct<name:string,body:string>>)")
     return (
-        base.withColumn("flat", flat)
-        .withColumn("derived_tables", F.when(has_derived, pair(F.col("query"), T.DERIVED_TABLE, 3, 2, "derived")).otherwise(none))
-        .withColumn("ctes", F.when(has_with, pair(F.col("flat"), T.CTE, 1, 2, "cte")).otherwise(none))
-        .withColumn("main_text", F.when(has_with, F.regexp_replace("flat", T.CTE, "")).otherwise(F.col("flat")))
-        .withColumn(
-            "blocks",
-            F.concat(
-                "derived_tables", "ctes",
-                F.array(F.struct(F.lit("main").alias("kind"), F.lit("").alias("name"), F.col("main_text").alias("body"))),
-            ),
-        )
+        parsed(ddl).withColumn("blocks", blocks_column())
+        .withColumn("selects", selects_column())
+        .withColumn("names", named_column())
+        .withColumn("visible", visible_column())
         .withColumn("scopes", scopes_column())
-        .withColumn("nested_query", F.col("flat").rlike(NESTED_QUERY) | F.exists("derived_tables", lambda d: d["body"].rlike(NESTED_QUERY)))
-        .drop("derived_tables", "blocks", "flat")
+        .withColumn("ctes", F.coalesce(F.transform(F.array_sort(ctes), lambda c: F.struct(c["name"].alias("name"), c["body"].alias("body"))), none))
+        .drop("blocks", "selects", "visible", "flat")
     )
 
 
 # The columns below do not depend on the input, so each is built once per process.
 
 
-@cache
-def tables_column() -> Column:
-    sources = lambda s: F.filter(
-        T.table_refs(s["segs"]), lambda t: F.lower(t["table_name"]) != F.lower(F.col("object_name")))
-    return F.transform("scopes", lambda s: in_branches(s, "tables", sources))
-
-
-def with_tables(scopes: DataFrame) -> DataFrame:
-    """Adds ``tables`` to every scope; the object itself is not one of its sources."""
-    return scopes.withColumn("scopes", tables_column())
-
-
-def item_struct(text: Column, position: Column) -> Column:
-    return T.let(T.split_alias(text), lambda p: F.struct(
+def item_struct(text: Column, position: Column, columns: Column) -> Column:
+    """A select item from its text on its own bracket level; ``columns`` are names declared for its place."""
+    return T.let(T.split_alias(text), lambda p: T.let(N.put_back(p["expr"], F.col("nest.whole"), N.ANY_TOKEN), lambda expr: F.struct(
         (position + 1).cast("int").alias("ordinal"),
-        T.output_name(p["expr"], p["alias"], position + 1).alias("out_name"),
-        p["expr"].alias("expr"),
-        T.item_kind(p["expr"]).alias("kind"),
-        F.lower(F.regexp_extract(p["expr"], rf"^({T.NAME})\.\*", 1)).alias("star_qualifier"),
-    ))
+        F.coalesce(F.when(~T.is_star(expr), F.get(columns, position)), T.shown(T.output_name(expr, p["alias"], position + 1))).alias("out_name"),
+        T.shown(expr).alias("expr"), T.item_kind(p["expr"]).alias("kind"), F.lower(T.shown(F.regexp_extract(expr, rf"^({T.NAME})\.\*", 1))).alias("star_qualifier"),
+        p["expr"].alias("level"))))
 
 
 @cache
 def items_column() -> Column:
-    return F.transform("scopes", lambda s: in_branches(s, "items", lambda b: F.transform(T.select_texts(b["segs"]), item_struct)))
+    declared = lambda s: declared_columns(F.get("nest.surface", s["columns"]))
+    return F.transform("scopes", lambda s: T.let(declared(s), lambda columns: in_branches(
+        s, "items", lambda b: F.transform(T.select_texts(b["segs"]), lambda text, i: item_struct(text, i, columns)))))
 
 
 def with_items(scopes: DataFrame) -> DataFrame:
@@ -165,17 +268,25 @@ def with_items(scopes: DataFrame) -> DataFrame:
     return scopes.withColumn("scopes", items_column())
 
 
+def shown_refs(refs: Column) -> Column:
+    return F.transform(refs, lambda r: F.struct(T.shown(r["qualifier"]).alias("qualifier"), T.shown(r["column_name"]).alias("column_name")))
+
+
 @cache
 def refs_column() -> Column:
+    """Root type and references of every item; a subquery in it is named in ``below``, but for EXISTS, which has no value."""
     none = F.expr("CAST(array() AS array<struct<qualifier:string,column_name:string>>)")
-    described = lambda i: i.withField(
-        "expr_type", F.when(i["kind"] == "derived", T.expression_type(i["expr"])).otherwise("")
-    ).withField("refs", F.when(i["kind"] == "star", none).otherwise(T.column_refs(i["expr"])))
+    inlined = lambda i: N.put_back(i["level"], F.col("nest.inlined"), N.GROUP)
+    key = lambda k: F.get(F.filter("names", lambda n: n["id"] == k), F.lit(0))["key"]
+    root = lambda i: F.when(i["level"].rlike(f"^{N.QUERY}$"), "Subquery").otherwise(T.expression_type(F.regexp_replace(i["level"], N.ANY_TOKEN, "()")))
+    described = lambda i: i.withField("expr_type", F.when(i["kind"] == "derived", root(i)).otherwise("")).withField(
+        "refs", F.when(i["kind"] == "star", none).otherwise(shown_refs(T.column_refs(N.without_queries(inlined(i), " 0 "))))).withField(
+        "below", F.transform(N.query_numbers(N.without_queries(inlined(i), "", r"(?i)\bEXISTS\s*")), lambda k: key(k)))
     return F.transform("scopes", lambda s: in_branches(s, "items", lambda b: F.transform(b["items"], described)))
 
 
 def with_refs(scopes: DataFrame) -> DataFrame:
-    """Adds root type and column references to every item."""
+    """Adds root type, column references and subqueries to every item."""
     return scopes.withColumn("scopes", refs_column())
 
 
@@ -243,14 +354,14 @@ def _scope_rows(df: DataFrame, *extra: str) -> DataFrame:
 
 def ddl_table_refs(ddl: DataFrame) -> DataFrame:
     """Table references of every scope."""
-    return _scope_rows(with_tables(scoped(ddl))).select(
+    return _scope_rows(scoped(ddl)).select(
         "object_id", F.col("scope.name").alias("scope_name"), F.inline("scope.tables")
-    )
+    ).drop("child", "args", "key")
 
 
 def ddl_select_items(ddl: DataFrame) -> DataFrame:
     """Select items of every scope."""
-    rows = with_tables(with_items(scoped(ddl)))
+    rows = with_items(scoped(ddl))
     return _scope_rows(rows).select(
         "object_id", F.col("scope.name").alias("scope_name"), F.explode("scope.items").alias("i"),
         F.get(F.col("scope.tables"), F.lit(0))["table_name"].alias("from_source"),
@@ -309,7 +420,7 @@ def ddl_main_select(ddl: DataFrame) -> DataFrame:
         select_score(main["segs"]).cast("int").alias("score"),
         F.size(main["items"]).alias("n_items"),
         F.exists(main["items"], lambda i: i["kind"] == "star").alias("has_wildcard"),
-        F.get(T.table_refs(main["segs"]), F.lit(0))["table_name"].alias("from_source"),
+        F.get(main["tables"], F.lit(0))["table_name"].alias("from_source"),
     )
     return with_items(scoped(ddl)).select("object_id", T.only_if(main.isNotNull(), found).alias("m")).select("object_id", "m.*")
 
@@ -322,7 +433,7 @@ def ddl_main_scope(ddl: DataFrame) -> DataFrame:
         F.array_join(F.transform(main["items"], lambda i: i["expr"]), " | ").alias("exprs"),
         F.array_join(F.transform(main["tables"], lambda t: t["table_name"]), ";").alias("tables"),
     )
-    return with_tables(with_items(scoped(ddl))).select("object_id", T.only_if(main.isNotNull(), found).alias("m")).select("object_id", "m.*")
+    return with_items(scoped(ddl)).select("object_id", T.only_if(main.isNotNull(), found).alias("m")).select("object_id", "m.*")
 
 
 def ddl_identifier_fn(ddl: DataFrame) -> DataFrame:

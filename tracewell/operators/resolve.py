@@ -3,7 +3,11 @@
 Everything a view column depends on inside its own definition is in one row, so aliases,
 chains of named subqueries and wildcards are followed inside that row: the scopes are
 folded in order, and each fold step looks its sources up among the columns resolved so
-far. No join, no shuffle, no loop over the cluster; only catalog look-ups join.
+far. No join, no shuffle, no loop over the cluster.
+
+Resolved columns are kept by scope, with a map from names to places, so a reference is one look-up and not a
+pass over all that is known. With a catalog, the columns of the tables that a definition names are joined to it
+first, as one ordered list per table; bare columns and stars then follow them.
 """
 
 from __future__ import annotations
@@ -16,12 +20,16 @@ from pyspark.sql import functions as F
 from tracewell.functions import rules
 from tracewell.functions import text as T
 from tracewell.operators import facts
+from tracewell.sources.storage import written
 
 SOURCE = "struct<table_name:string,column_name:string>"
 ENTRY = (
     f"struct<scope:string,column_name:string,ordinal:int,kind:string,expr_type:string,"
     f"derived:boolean,depth:int,sources:array<{SOURCE}>>"
 )
+#: The resolved columns of a scope, and the place of the first one of each name, as written and in lower case.
+SYMBOLS = f"struct<scope:string,exact:map<string,int>,lower:map<string,int>,rows:array<{ENTRY}>>"
+CATALOG = "map<string,array<string>>"
 
 
 def _array(schema: str) -> Column:
@@ -41,54 +49,109 @@ def tables_of(scope: Column) -> Column:
     return F.concat(scope["tables"], F.flatten(F.transform(scope["branches"], lambda b: b["tables"])))
 
 
-def scope_facts(ddl: DataFrame) -> DataFrame:
-    """Definitions with tables, items and references of all scopes."""
-    df = facts.with_object_columns(facts.with_refs(facts.with_tables(facts.with_items(facts.scoped(ddl)))))
-    return (
-        df.withColumn("all_tables", F.flatten(F.transform("scopes", tables_of)))
-        .withColumn("scope_names", F.filter(F.transform("scopes", lambda s: s["name"]), lambda n: n != ""))
-    )
+def scope_facts(ddl: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Definitions with tables, items and references of all scopes, and the ``catalog`` columns of their tables.
 
+    ``catalog`` has (table_name, ordinal, column_name). It is joined once per definition and table it names: by the
+    whole name, else by its last part.
+    """
+    df = facts.with_object_columns(facts.with_refs(facts.with_items(facts.scoped(ddl)))).withColumn(
+        "all_tables", F.flatten(F.transform("scopes", tables_of)))
+    if catalog is None:
+        return df.withColumn("catalog", F.lit(None).cast(CATALOG))
+    df = written(df.withColumn("_row", F.monotonically_increasing_id()), "scopes")
+    columns = catalog.groupBy(F.upper("table_name").alias("known")).agg(
+        F.transform(F.array_sort(F.collect_set(F.struct("ordinal", "column_name"))), lambda c: c["column_name"]).alias("columns"))
+    base = F.transform(F.filter("all_tables", lambda t: t["key"].isNull() & t["args"].isNull()), lambda t: F.upper(t["table_name"]))
+    wanted = df.select("_row", F.explode(F.array_distinct(base)).alias("name")).select(
+        "_row", "name", F.explode(F.array_distinct(F.array("name", F.substring_index("name", ".", -1)))).alias("known"))
+    found = wanted.join(columns, "known").groupBy("_row", "name").agg(F.max_by("columns", F.length("known")).alias("columns"))
+    maps = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("name", "columns"))).alias("catalog"))
+    return df.join(maps, "_row", "left").drop("_row")
 
-def qualified_table(scope: Column, all_tables: Column, qualifier: Column) -> Column:
-    """Table behind a qualifier: the scope's own FROM and JOIN first, then any scope, else the qualifier."""
-    match = lambda tables: _first(F.filter(tables, lambda t: t["alias"] == F.lower(qualifier)))["table_name"]
-    return F.coalesce(match(scope["tables"]), match(all_tables), qualifier)
+
+def places(names: Column) -> Column:
+    """Map from each name to the first of its places; null names have none."""
+    known = F.filter(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.cast("int").alias("place"))), lambda x: x["name"].isNotNull())
+    once = lambda each: F.filter(each, lambda x, i: F.array_position(F.transform(each, lambda y: y["name"]), x["name"]) == i + 1)
+    return T.let(known, lambda each: F.map_from_entries(F.when(
+        F.size(F.array_distinct(F.transform(each, lambda x: x["name"]))) == F.size(each), each).otherwise(once(each))))
+
+
+def entry_of(symbols: Column, column: Column) -> Column:
+    """The first resolved column with that name as written, else in any case; null if there is none."""
+    return F.get(symbols["rows"], F.coalesce(F.try_element_at(symbols["exact"], column), F.try_element_at(symbols["lower"], F.lower(column))))
+
+
+def symbols_of(known: Column, key: Column) -> Column:
+    return _first(F.filter(known, lambda k: k["scope"] == key))
+
+
+def catalog_of(table: Column) -> Column:
+    """The catalog's columns of a table reference, null where it has none."""
+    return F.when(table["key"].isNull() & table["args"].isNull(), F.try_element_at(F.col("catalog"), F.upper(table["table_name"])))
 
 
-def bare_table(known: Column, scope: Column, scope_names: Column, column: Column) -> Column:
-    """Table of an unqualified column: a subquery in FROM that has it, else the last JOIN back to FROM."""
-    return T.let(F.reverse(scope["tables"]), lambda tables: F.coalesce(
-        _first(F.filter(tables, lambda t: F.exists(
-            known, lambda e: (e["scope"] == F.lower(t["table_name"])) & _same(e["column_name"], column))))["table_name"],
-        _first(F.filter(tables, lambda t: ~F.array_contains(scope_names, F.lower(t["table_name"]))))["table_name"],
-        _first(tables)["table_name"],
-    ))
+TABLE = "struct<ordinal:int,clause:string,table_name:string,alias:string,child:int,args:array<struct<qualifier:string,column_name:string>>,key:string>"
+#: Columns of a table function over a semi-structured value.
+FUNCTION_COLUMNS = ["value", "key", "index", "seq", "path", "this"]
+
+
+def _table(name: Column) -> Column:
+    """A table reference that stands for the catalog table ``name``."""
+    return F.struct(F.lit(0).alias("ordinal"), F.lit("from").alias("clause"), name.alias("table_name"), F.lower(name).alias("alias"),
+                    F.lit(None).alias("child"), F.lit(None).alias("args"), F.lit(None).alias("key")).cast(TABLE)
+
+
+def qualified(scope: Column, all_tables: Column, qualifier: Column) -> Column:
+    """Table reference behind a qualifier: the scope's own FROM and JOIN first, then any scope, else the qualifier."""
+    match = lambda tables: _first(F.filter(tables, lambda t: t["alias"] == F.lower(qualifier)))
+    return F.coalesce(match(scope["tables"]), match(all_tables), _table(qualifier))
+
+
+def qualified_table(scope: Column, all_tables: Column, qualifier: Column) -> Column:
+    return qualified(scope, all_tables, qualifier)["table_name"]
+
+
+def bare(known: Column, scope: Column, column: Column) -> Column:
+    """Table reference of an unqualified column: a subquery or table in FROM that has it, else the last JOIN back to FROM."""
+    owns = lambda t: entry_of(symbols_of(known, t["key"]), column).isNotNull() | F.exists(catalog_of(t), lambda c: _same(c, column))
+    return F.when(F.size(scope["tables"]) == 1, _first(scope["tables"])).otherwise(T.let(F.reverse(scope["tables"]), lambda tables: F.coalesce(
+        _first(F.filter(tables, owns)),
+        _first(F.filter(tables, lambda t: t["args"].isNotNull() & F.lower(column).isin(FUNCTION_COLUMNS))),
+        _first(F.filter(tables, lambda t: t["key"].isNull() & t["args"].isNull() & catalog_of(t).isNull())),
+        _first(F.filter(tables, lambda t: t["key"].isNull() & t["args"].isNull())),
+        _first(tables),
+    )))
 
 
 def _hit(sources: Column, expr_type: Column, derived: Column, depth: Column) -> Column:
     return F.struct(sources.alias("sources"), expr_type.alias("expr_type"), derived.alias("derived"), depth.alias("depth"))
 
 
-def look_up(known: Column, scope: Column, scope_names: Column, table: Column, column: Column) -> Column:
-    """Sources of ``table.column``: those of the subquery column, of its wildcard, or the base column itself.
-
-    A subquery that reads a table of its own name means the base table.
-    """
-    base = _hit(F.array(F.struct(table.alias("table_name"), column.alias("column_name"))), F.lit(""), F.lit(False), F.lit(0))
+def look_up(known: Column, table: Column, column: Column) -> Column:
+    """Sources of a column of a table reference: those of the subquery column, of its wildcard, or the base column itself."""
+    base = _hit(F.array(F.struct(table["table_name"].alias("table_name"), column.alias("column_name"))), F.lit(""), F.lit(False), F.lit(0))
     nothing = _hit(_array(SOURCE), F.lit(""), F.lit(False), F.lit(0))
-    through = lambda rows: F.coalesce(
-        T.let(_first(F.filter(rows, lambda e: _same(e["column_name"], column))), lambda e: F.when(
-            e.isNotNull(), _hit(e["sources"], e["expr_type"], e["derived"], e["depth"]))),
-        T.let(_first(F.filter(rows, lambda e: e["column_name"] == "*")), lambda e: F.when(e.isNotNull(), _hit(
+    through = lambda symbols: F.coalesce(
+        T.let(entry_of(symbols, column), lambda e: F.when(e.isNotNull(), _hit(e["sources"], e["expr_type"], e["derived"], e["depth"]))),
+        T.let(entry_of(symbols, F.lit("*")), lambda e: F.when(e.isNotNull(), _hit(
             F.transform(e["sources"], lambda s: F.struct(s["table_name"].alias("table_name"), column.alias("column_name"))),
             e["expr_type"], e["derived"], e["depth"]))),
         nothing,
     )
-    is_subquery = F.array_contains(scope_names, F.lower(table)) & (F.lower(table) != scope["name"])
-    return F.when(table.isNull(), nothing).when(
-        is_subquery, T.let(F.filter(known, lambda e: e["scope"] == F.lower(table)), through)
-    ).otherwise(base)
+    return F.when(table.isNull(), nothing).when(table["key"].isNotNull(), T.let(symbols_of(known, table["key"]), through)).otherwise(base)
+
+
+def referenced(known: Column, scope: Column, all_tables: Column, ref: Column) -> Column:
+    """Sources of one column reference; a column of a table function has those of the function's arguments."""
+    table_of = lambda r: F.when(r["qualifier"] != "", qualified(scope, all_tables, r["qualifier"])).otherwise(bare(known, scope, r["column_name"]))
+    plain = lambda t, r: look_up(known, t, r["column_name"])
+    called = lambda t: T.let(F.transform(t["args"], lambda a: T.let(table_of(a), lambda u: F.when(
+        u["args"].isNull(), plain(u, a)))), lambda h: _hit(
+            F.array_distinct(F.flatten(F.transform(F.filter(h, lambda x: x.isNotNull()), lambda x: x["sources"]))), F.lit(""), F.lit(True),
+            F.coalesce(F.array_max(F.transform(h, lambda x: x["depth"])), F.lit(0))))
+    return T.let(table_of(ref), lambda t: F.when(t["args"].isNotNull(), called(t)).otherwise(plain(t, ref)))
 
 
 def _entry(scope: Column, name: Column, ordinal: Column, kind: Column, expr_type: Column, derived: Column,
@@ -99,21 +162,22 @@ def _entry(scope: Column, name: Column, ordinal: Column, kind: Column, expr_type
     )
 
 
-def item_entries(known: Column, scope: Column, scope_names: Column, all_tables: Column, item: Column) -> Column:
+def item_entries(known: Column, scope: Column, all_tables: Column, item: Column) -> Column:
     """Resolved columns of one select item; a star over a subquery copies the subquery's columns."""
-    targets = F.filter(scope["tables"], lambda t: (item["star_qualifier"] == "") | (t["alias"] == item["star_qualifier"]))
+    targets = F.filter(scope["tables"], lambda t: t["args"].isNull() & ((item["star_qualifier"] == "") | (t["alias"] == item["star_qualifier"])))
+    from_catalog = lambda t, columns: F.transform(columns, lambda c: _entry(
+        scope, c, F.lit(None), F.lit("star"), F.lit(""), F.lit(False), F.lit(1), F.array(F.struct(t["table_name"].alias("table_name"), c.alias("column_name")))))
     star = F.flatten(F.transform(targets, lambda t: F.when(
-        F.array_contains(scope_names, F.lower(t["table_name"])) & (F.lower(t["table_name"]) != scope["name"]),
-        F.transform(F.filter(known, lambda e: e["scope"] == F.lower(t["table_name"])), lambda e: _entry(
+        t["key"].isNotNull(),
+        F.transform(F.coalesce(symbols_of(known, t["key"])["rows"], _array(ENTRY)), lambda e: _entry(
             scope, e["column_name"], F.lit(None), F.lit("star"), e["expr_type"], e["derived"], e["depth"] + 1, e["sources"])),
-    ).otherwise(F.array(_entry(
+    ).otherwise(T.let(catalog_of(t), lambda columns: F.when(columns.isNotNull(), from_catalog(t, columns)).otherwise(F.array(_entry(
         scope, F.lit("*"), item["ordinal"], F.lit("star"), F.lit(""), F.lit(False), F.lit(1),
         F.array(F.struct(t["table_name"].alias("table_name"), F.lit("*").alias("column_name"))),
-    )))))
-    table_of = lambda r: F.when(r["qualifier"] != "", qualified_table(scope, all_tables, r["qualifier"])).otherwise(
-        bare_table(known, scope, scope_names, r["column_name"]))
-    hits = F.transform(item["refs"], lambda r: T.let(
-        table_of(r), lambda table: look_up(known, scope, scope_names, table, r["column_name"])))
+    )))))))
+    below = F.transform(item["below"], lambda k: T.let(F.coalesce(symbols_of(known, k)["rows"], _array(ENTRY)), lambda rows: _hit(
+        F.flatten(F.transform(rows, lambda e: e["sources"])), F.lit(""), F.lit(True), F.coalesce(F.array_max(F.transform(rows, lambda e: e["depth"])), F.lit(0)))))
+    hits = F.concat(F.transform(item["refs"], lambda r: referenced(known, scope, all_tables, r)), below)
     one = T.let(hits, lambda h: F.array(_entry(
         scope, item["out_name"], item["ordinal"], item["kind"],
         F.when(item["kind"] == "derived", item["expr_type"]).otherwise(F.coalesce(_first(h)["expr_type"], F.lit(""))),
@@ -130,8 +194,10 @@ def with_branch(entry: Column, more: Column) -> Column:
     Columns meet by position; a star of the other select gives the column of the same name. A
     subquery that a select reads under its own name is recursion and adds nothing.
     """
-    hits = F.filter(more, lambda m: F.when(m["column_name"] == "*", m["ordinal"] <= F.coalesce(entry["ordinal"], m["ordinal"])).when(
+    searched = F.filter(more, lambda m: F.when(m["column_name"] == "*", m["ordinal"] <= F.coalesce(entry["ordinal"], m["ordinal"])).when(
         entry["ordinal"].isNull() | m["ordinal"].isNull(), _same(m["column_name"], entry["column_name"])).otherwise(m["ordinal"] == entry["ordinal"]))
+    placed = F.get(more, entry["ordinal"] - 1)
+    hits = F.when(placed["ordinal"] == entry["ordinal"], F.array(placed)).otherwise(searched)
     named = lambda m: F.transform(m["sources"], lambda x: F.struct(
         x["table_name"].alias("table_name"), F.when(x["column_name"] == "*", entry["column_name"]).otherwise(x["column_name"]).alias("column_name")))
     return T.let(hits, lambda found: entry.withField("sources", F.array_distinct(F.concat(entry["sources"], F.filter(
@@ -144,11 +210,13 @@ def with_branch(entry: Column, more: Column) -> Column:
 
 @cache
 def known_column() -> Column:
-    forward = F.exists("scopes", lambda s: F.exists(tables_of(s), lambda t: F.exists(
-        F.col("scopes"),
-        lambda u: (u["name"] == F.lower(t["table_name"])) & (u["ordinal"] > s["ordinal"]) & (u["kind"] != "main"))))
-    entries = lambda known, scope, items: F.flatten(F.transform(
-        items, lambda i: item_entries(known, scope, F.col("scope_names"), F.col("all_tables"), i)))
+    forward = F.exists("scopes", lambda s: F.exists(tables_of(s), lambda t: t["key"].isNotNull() & F.exists(
+        F.col("scopes"), lambda u: (u["name"] == t["key"]) & (u["ordinal"] > s["ordinal"]))))
+    def entries(known: Column, scope: Column, items: Column) -> Column:
+        """Resolved columns of one select, numbered unless a star is left whose columns are not known."""
+        found = F.flatten(F.transform(items, lambda i: item_entries(known, scope, F.col("all_tables"), i)))
+        return T.let(found, lambda rows: F.when(F.exists(rows, lambda e: e["column_name"] == "*"), rows).otherwise(
+            F.transform(rows, lambda e, i: e.withField("ordinal", (i + 1).cast("int")))))
 
     def step(known: Column, s: Column) -> Column:
         select = lambda b: F.struct(s["name"].alias("name"), b["tables"].alias("tables"), b["items"].alias("items"))
@@ -156,47 +224,55 @@ def known_column() -> Column:
         own = F.reduce(selects, F.lit(None).cast(f"array<{ENTRY}>"), lambda sofar, b: T.let(
             entries(known, b, b["items"]),
             lambda more: F.when(sofar.isNull(), more).otherwise(F.transform(sofar, lambda e: with_branch(e, more)))))
-        return F.concat(F.filter(known, lambda e: e["scope"] != s["name"]), own)
+        symbols = lambda rows: F.array(F.struct(
+            s["name"].alias("scope"), places(F.transform(rows, lambda e: e["column_name"])).alias("exact"),
+            places(F.transform(rows, lambda e: F.lower(e["column_name"]))).alias("lower"), rows.alias("rows")))
+        return F.concat(F.filter(known, lambda k: k["scope"] != s["name"]), T.let(own, symbols)).cast(f"array<{SYMBOLS}>")
 
     repeated = F.flatten(F.array_repeat(F.col("scopes"), F.size("scopes")))
-    return F.reduce(F.when(forward, repeated).otherwise(F.col("scopes")), _array(ENTRY), step)
+    return F.reduce(F.when(forward, repeated).otherwise(F.col("scopes")), _array(SYMBOLS), step)
 
 
-def resolved(ddl: DataFrame) -> DataFrame:
-    """Adds ``known``: every output column of every scope with its base sources.
+def resolved(ddl: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Adds ``known``: by scope, every output column with its base sources; and ``main``, that of the main select.
 
     One pass over the scopes in order is enough for legal SQL. Where a subquery reads a
-    later one, the pass is repeated once per scope; a cycle ends without sources.
+    later one, the pass is repeated once per scope; a cycle ends without sources. Without a declared list, the
+    object's columns are those of the main select, stars of known columns included; a star of unknown ones is ``*``.
     """
-    return scope_facts(ddl).withColumn("known", known_column())
+    df = scope_facts(ddl, catalog).withColumn("known", known_column()).withColumn("main", symbols_of(F.col("known"), F.lit("")))
+    listed = F.size(facts.declared_columns(F.col("declared"))) > 0
+    own = F.filter(F.transform("main.rows", lambda e: e["column_name"]), lambda n: n.isNotNull())
+    return df.withColumn("object_columns", F.array_distinct(F.when(
+        F.col("has_query") & F.col("is_supported") & ~listed & ~F.col("uses_identifier"), F.coalesce(own, F.array().cast("array<string>"))).otherwise(F.col("object_columns"))))
 
 
 def _column_entry(position: Column, column: Column) -> Column:
     """Resolved entry of one object column and how it was found."""
-    known = F.col("main_known")
-    n_items = F.size(F.element_at(F.col("scopes"), -1)["items"])
-    no_star = ~F.exists(known, lambda e: e["kind"] == "star")
+    main = F.col("main")
     tag = lambda e, method, sources=None: F.when(e.isNotNull(), F.struct(
         F.lit(method).alias("method"), (e["sources"] if sources is None else sources).alias("sources"),
         e["expr_type"].alias("expr_type"), e["derived"].alias("derived"), e["depth"].alias("depth")))
     usable = lambda e: (F.size(e["sources"]) > 0) | e["derived"]
     own = lambda e: F.transform(e["sources"], lambda s: F.struct(s["table_name"].alias("table_name"), column.alias("column_name")))
-    base = _first(F.filter("all_tables", lambda t: ~F.array_contains(F.col("scope_names"), F.lower(t["table_name"]))))
-    bind = lambda rows, build: T.let(_first(rows), build)
-    return F.coalesce(
-        bind(F.filter(known, lambda e: (e["column_name"] == column) & usable(e)), lambda e: tag(e, "select")),
-        bind(F.filter(known, lambda e: _same(e["column_name"], column) & usable(e)), lambda e: tag(e, "select")),
-        bind(F.filter(known, lambda e: no_star & (n_items == F.size("object_columns")) & (e["ordinal"] == position + 1)
-                      & usable(e)), lambda e: tag(e, "position")),
-        bind(F.filter(known, lambda e: e["column_name"] == "*"), lambda e: tag(e, "wildcard", own(e))),
-        bind(F.filter("known", lambda e: _same(e["column_name"], column) & usable(e)), lambda e: tag(e, "any_subquery")),
-        F.when(base.isNotNull() & ~F.exists(known, lambda e: _same(e["column_name"], column)), F.struct(
+    base = _first(F.filter("all_tables", lambda t: t["key"].isNull() & t["args"].isNull()))
+    placed = F.get(main["rows"], position)
+    in_place = (F.size(main["rows"]) == F.size("object_columns")) & (placed["ordinal"] == position + 1) & (placed["column_name"] != "*") & usable(placed)
+    anywhere = F.filter(F.transform("known", lambda k: entry_of(k, column)), lambda e: e.isNotNull() & usable(e))
+    searched = lambda same: F.coalesce(
+        F.when(column == "*", tag(same, "star")),
+        F.when(usable(same), tag(same, "select")),
+        F.when(in_place, tag(placed, "position")),
+        T.let(entry_of(main, F.lit("*")), lambda e: tag(e, "wildcard", own(e))),
+        T.let(_first(anywhere), lambda e: tag(e, "any_subquery")),
+        F.when(base.isNotNull() & same.isNull(), F.struct(
             F.lit("first_table").alias("method"),
             F.array(F.struct(base["table_name"].alias("table_name"), column.alias("column_name"))).alias("sources"),
             F.lit("").alias("expr_type"), F.lit(False).alias("derived"), F.lit(0).alias("depth"))),
         F.struct(F.lit("unknown").alias("method"), _array(SOURCE).alias("sources"), F.lit("").alias("expr_type"),
                  F.lit(False).alias("derived"), F.lit(0).alias("depth")),
     )
+    return T.let(entry_of(main, column), searched)
 
 
 @cache
@@ -205,11 +281,9 @@ def column_rows() -> Column:
         (i + 1).cast("int").alias("ordinal"), c.alias("view_column"), _column_entry(i, c).alias("hit")))
 
 
-def column_sources(ddl: DataFrame) -> DataFrame:
+def column_sources(ddl: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """One row per (object, output column): method, sources, expression type and depth."""
-    df = resolved(ddl)
-    df = df.withColumn("main_known", F.filter("known", lambda e: e["scope"] == ""))
-    df = df.withColumn("object_columns", F.array_distinct("object_columns"))
+    df = resolved(ddl, catalog)
     out = df.withColumn("row", F.explode(F.when(~F.col("uses_identifier"), column_rows())))
     return out.select(
         *[c for c in ddl.columns if c != "ddl_text"], "object_name", "row.ordinal", "row.view_column", "row.hit.method",
@@ -239,16 +313,18 @@ def lineage_fields(df: DataFrame) -> list[Column]:
     """The six report columns of resolved sources."""
     count = lambda f: F.size(F.array_distinct(F.transform("sources", lambda s: F.upper(s[f]))))
     unknown = F.col("method") == "unknown"
+    # A star whose columns are not known: its tables are told, its type is not.
+    star = F.col("method") == "star"
     derived = F.col("derived") | promoted(count("table_name"), count("column_name"), F.col("expr_type"))
     none = F.size("sources") == 0
     return [
         F.upper("object_name").alias("view_name"),
         F.upper("view_column").alias("view_column"),
-        F.when(unknown, "UNKNOWN").when(derived, "DERIVED").otherwise("DIRECT").alias("column_type"),
+        F.when(unknown | star, "UNKNOWN").when(derived, "DERIVED").otherwise("DIRECT").alias("column_type"),
         F.when(unknown, "UNKNOWN").when(none, "CALCULATED").otherwise(contributing(F.col("sources"), "table_name")).alias("source_table"),
         F.when(unknown, "UNKNOWN").when(none, F.upper("expr_type"))
         .otherwise(contributing(F.col("sources"), "column_name")).alias("source_column"),
-        F.when(derived & ~unknown, F.upper("expr_type")).otherwise("").alias("expression_type"),
+        F.when(derived & ~unknown & ~star, F.upper("expr_type")).otherwise("").alias("expression_type"),
     ]
 
 
@@ -275,10 +351,10 @@ def unqualified_resolve(ddl: DataFrame, catalog: DataFrame | None = None) -> Dat
     Candidates are ranked last JOIN first, FROM last. With a catalog, a candidate that owns
     the column beats one that does not; the rank only breaks ties.
     """
-    bare = T.let(F.element_at(F.col("scopes"), -1), lambda m: F.flatten(F.transform(m["items"], lambda i: F.transform(
+    bare_columns = T.let(F.element_at(F.col("scopes"), -1), lambda m: F.flatten(F.transform(m["items"], lambda i: F.transform(
         F.filter(i["refs"], lambda r: r["qualifier"] == ""),
         lambda r: F.struct(r["column_name"].alias("column_name"), F.reverse(m["tables"]).alias("tables"))))))
-    rows = scope_facts(ddl).select("object_id", F.explode(bare).alias("b")).select(
+    rows = scope_facts(ddl).select("object_id", F.explode(bare_columns).alias("b")).select(
         "object_id", "b.column_name", F.posexplode("b.tables").alias("rank", "t"))
     ranked = rows.select("object_id", "column_name", "rank", F.col("t.table_name").alias("table_name"))
     if catalog is None:
@@ -336,12 +412,12 @@ def cte_dependency_order(ddl: DataFrame) -> DataFrame:
 def cte_column_details(ddl: DataFrame) -> DataFrame:
     """Per output column of each named subquery: direct, derived or unqualified, and its references."""
     rows = _scopes(scope_facts(ddl)).where("scope.kind <> 'main'").withColumn("i", F.explode("scope.items")).where("i.kind <> 'star'")
-    bare = F.exists("i.refs", lambda r: r["qualifier"] == "")
+    unqualified = F.exists("i.refs", lambda r: r["qualifier"] == "")
     refs = F.array_sort(F.array_distinct(F.transform("i.refs", lambda r: F.concat_ws(
         ".", F.when(r["qualifier"] != "", qualified_table(F.col("scope"), F.col("all_tables"), r["qualifier"])), r["column_name"]))))
     return rows.select(
         "object_id", F.col("scope.name").alias("cte_name"), F.col("i.out_name").alias("column_name"),
-        F.when(F.col("i.kind") == "derived", "derived").when(bare, "unqualified").otherwise("direct").alias("detail_type"),
+        F.when(F.col("i.kind") == "derived", "derived").when(unqualified, "unqualified").otherwise("direct").alias("detail_type"),
         F.array_join(refs, ";").alias("refs"),
     )
 
@@ -358,7 +434,7 @@ def cte_dependent_lookup(ddl: DataFrame) -> DataFrame:
 
 def cte_trace_base(ddl: DataFrame) -> DataFrame:
     """Closure of (subquery, column) to base tables; no subquery name is left."""
-    return resolved(ddl).select("object_id", F.explode(T.elements("known")).alias("e")).where("e.scope <> ''").select(
+    return resolved(ddl).select("object_id", F.explode(F.filter(F.flatten(F.transform("known", lambda k: k["rows"])), lambda e: e["scope"] != "")).alias("e")).select(
         "object_id", F.col("e.scope").alias("cte_name"), F.col("e.column_name").alias("column_name"),
         F.col("e.depth").alias("depth"), F.inline("e.sources").alias("base_table", "base_column"),
     )
@@ -486,18 +562,17 @@ def failure(scopes: DataFrame) -> Column:
         F.when(F.col("ddl_text").isNull(), "DDL_NOT_FOUND")
         .when(~F.col("is_supported"), "ANALYSIS_ERROR")
         .when(no_literal, "ANALYSIS_ERROR")
-        .when(F.col("nested_query"), "ANALYSIS_ERROR")
     )
 
 
-def lineage_all(ddl: DataFrame) -> DataFrame:
-    """Six-column lineage of every definition, error rows included. A single map over the input.
+def lineage_all(ddl: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Six-column lineage of every definition, error rows included.
 
-    Input: (object_id, view_name, ddl_text).
+    Input: (object_id, view_name, ddl_text). A single map over the input, unless a ``catalog`` (table_name, ordinal,
+    column_name) is given, which decides where bare columns belong and what stars stand for.
     """
-    df = resolved(ddl.select("object_id", "view_name", "ddl_text"))
-    df = df.withColumn("main_known", F.filter("known", lambda e: e["scope"] == ""))
-    df = df.withColumn("object_columns", F.array_distinct("object_columns")).withColumn("reason", failure(df))
+    df = resolved(ddl.select("object_id", "view_name", "ddl_text"), catalog)
+    df = df.withColumn("reason", failure(df))
     plain = F.transform(column_rows(), lambda r: F.struct(r["view_column"].alias("view_column"), r["hit"].alias("hit")))
     identified = F.transform("object_columns", lambda c: F.struct(c.alias("view_column"), F.struct(
         F.lit("identifier").alias("method"),

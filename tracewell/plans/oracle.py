@@ -41,6 +41,10 @@ def odd(names: str, rows: list[tuple]) -> str:
     return expected("customer", "c_custkey", 10, names, rows)
 
 
+def deep(names: str, rows: list[tuple]) -> str:
+    return expected("customer", "c_custkey", 16, names, rows)
+
+
 def proc(names: str, rows: list[tuple], id_name: str | None = "sp_id") -> str:
     return expected("part", "p_partkey", 4, names, rows, id_name=id_name)
 
@@ -104,7 +108,7 @@ ALL_LINEAGE = f"{view(REPORT, VIEW_LINEAGE)} UNION ALL {ERRORS}"
 DEPTHS = {("KEY_ID", 0): 1, ("TOTAL", 0): 1, ("A", 1): 1, ("R_REGIONKEY", 2): 1, ("R_NAME", 2): 1, ("K", 3): 2, ("N", 3): 2,
           ("K", 4): 4, ("S_SUPPKEY", 5): 1, ("K", 6): 1}
 ODD_LINEAGE = [
-    (0, "X_<k>", "C_NAME", "DIRECT", "NATION", "C_NAME", ""), (0, "X_<k>", "N_NAME", "DIRECT", "NATION", "N_NAME", ""),
+    (0, "X_<k>", "C_NAME", "DIRECT", "CUSTOMER", "C_NAME", ""), (0, "X_<k>", "N_NAME", "DIRECT", "NATION", "N_NAME", ""),
     (1, "X_<k>", "P_PARTKEY", "DIRECT", "PART", "P_PARTKEY", ""), (1, "X_<k>", "P_NAME", "DIRECT", "PART", "P_NAME", ""),
     (1, "X_<k>", "EXTRA", "DERIVED", "PART", "P_BRAND", "ANONYMOUS"),
     (2, "X_<k>", "A", "DIRECT", "APP.T_<k>", "A", ""), (2, "X_<k>", "B", "DIRECT", "APP.T_<k>", "B", ""),
@@ -117,6 +121,28 @@ ODD_LINEAGE = [
     (8, "X_<k>", "V", "DERIVED", "CUSTOMER; EXTRA_<k>; SUPPLIER", "C_NAME; S_NAME; V", "ANONYMOUS"),
     (9, "X_<k>", "K", "DERIVED", "CUSTOMER; NATION; PART", "C_NATIONKEY; N_NATIONKEY; P_SIZE", "ADD"),
 ]
+DEEP_LINEAGE = [
+    (0, "D_<k>", "Z", "DIRECT", "NATION", "N_NAME", ""), (0, "D_<k>", "RK", "DIRECT", "NATION", "N_REGIONKEY", ""),
+    (1, "APP.D_<k>", "PART", "DIRECT", "PART", "P_PARTKEY", ""), (1, "APP.D_<k>", "TOP", "DERIVED", "PART", "P_SIZE", "MAX"),
+    (2, "D_<k>", "NM", "DERIVED", "CUSTOMER; SUPPLIER", "C_NAME; S_NAME", ""),
+    (3, "APP.MAIN.D_<k>", "CK", "DIRECT", "ORDERS", "O_CUSTKEY", ""), (3, "APP.MAIN.D_<k>", "TWICE", "DERIVED", "ORDERS", "O_TOTALPRICE", "MUL"),
+    (4, "D_<k>", "W", "DIRECT", "REGION", "R_NAME", ""), (4, "D_<k>", "N_NAME", "DIRECT", "NATION", "N_NAME", ""),
+    (5, "D_<k>", "ID", "DIRECT", "CUSTOMER", "C_CUSTKEY", ""), (5, "D_<k>", "TOP", "DERIVED", "ORDERS", "O_TOTALPRICE", "SUBQUERY"),
+    (6, "D_<k>", "OK", "DERIVED", "NATION; SUPPLIER", "N_NATIONKEY; S_NATIONKEY", "CASE"),
+    (7, "D_<k>", "Z", "DIRECT", "LINEITEM", "L_TAX", ""), (8, "D_<k>", "DEEP", "DERIVED", "PART", "P_NAME", "PAREN"),
+    (9, "D_<k>", "EVENT_ID", "DIRECT", "EVENTS", "EVENT_ID", ""), (9, "D_<k>", "V", "DERIVED", "EVENTS", "PROPS", ""),
+    (9, "D_<k>", "AT", "DERIVED", "EVENTS", "PROPS", ""), (10, "D <k>", "FULL NAME", "DIRECT", "MY TABLE", "FIRST NAME", ""),
+    (12, "D_<k>", "A", "DERIVED", "NATION; REGION", "N_NAME; R_NAME", ""),
+    (13, "D_<k>", "Q", "DERIVED", "LINEITEM", "L_QUANTITY", "MAX"), (13, "D_<k>", "P", "DIRECT", "LINEITEM", "L_PARTKEY", ""),
+]
+DEEP_ERRORS = [(15, "D_<k>", "ERROR", "ERROR", "ANALYSIS_ERROR", "ANALYSIS_ERROR", "ERROR")]
+DEEP_STARS = [
+    (11, "D_<k>", "*", "UNKNOWN", "REGION", "*", ""), (14, "D_<k>", "*", "UNKNOWN", "NATION", "*", ""), (14, "D_<k>", "C_NAME", "DIRECT", "REGION", "C_NAME", ""),
+]
+DEEP_STARS_KNOWN = [
+    *[(11, "D_<k>", c, "DIRECT", "REGION", c, "") for c in ("R_REGIONKEY", "R_NAME")],
+    *[(14, "D_<k>", c, "DIRECT", "NATION", c, "") for c in ("N_NATIONKEY", "N_NAME", "N_REGIONKEY")], (14, "D_<k>", "C_NAME", "DIRECT", "CUSTOMER", "C_NAME", ""),
+]
 # (template, scope, ordinal, out_name, expr, kind, star_qualifier, from_source, expr_type, refs)
 ITEMS = [
     (0, "", 1, "KEY_ID", "o.o_orderkey", "column", "ORDERS", "Column", ["o.o_orderkey"]),
@@ -255,6 +281,42 @@ SQL: dict[str, str] = {
         "FROM orders WHERE o_orderkey % 97 = 0 UNION ALL " + view("ddl_type object_name has_query is_supported unsupported_depth", [
         *[(t, "view", "V_<k>", True, True, False) for t in range(6)], (6, "table", "T_<k>", True, True, False), (7, "unsupported", "", False, False, False)]),
     "ddl_object_columns": view("ordinal column_name", OBJECT_COLUMNS),
+    "lineage_all_deep": deep(REPORT, DEEP_LINEAGE + DEEP_STARS + DEEP_ERRORS),
+    "lineage_all_catalog": deep(REPORT, DEEP_LINEAGE + DEEP_STARS_KNOWN + DEEP_ERRORS),
+    "error_rows_deep": deep(REPORT, DEEP_ERRORS),
+    "ddl_object_columns_deep": deep("ordinal column_name", [(t, i + 1, c) for t, names in enumerate([
+        "z rk", "part top", "nm", "ck twice", "w n_name", "id top", "ok", "z", "deep", "event_id v at", "", "", "a", "q p"]) for i, c in enumerate(names.split())] + [(10, 1, "Full Name")]),
+    "ddl_ctes_deep": deep("ordinal cte_name body", [
+        (0, 1, "c", "SELECT n.n_name AS nm, n.n_regionkey AS rk FROM NATION n"), (1, 1, "a", "SELECT p.p_partkey AS x, p.p_size FROM PART p"),
+        (1, 2, "b", "SELECT a.x AS y, MAX(a.p_size) AS top FROM a GROUP BY a.x"), (1, 3, "c", "SELECT b.y, b.top FROM b"),
+        (2, 1, "u", "(SELECT s.s_name AS nm FROM SUPPLIER s) UNION ALL (SELECT c.c_name FROM CUSTOMER c)"),
+        (3, 1, "t", "SELECT o.o_custkey AS ck, SUM(o.o_totalprice) AS total FROM ORDERS o GROUP BY o.o_custkey"),
+        (4, 1, "i", "SELECT r.r_name AS v FROM REGION r"), (4, 2, "o", "WITH i AS (SELECT r.r_name AS v FROM REGION r) SELECT i.v AS w FROM i"),
+        (4, 3, "i", "SELECT n_name FROM NATION"), (13, 1, "c", "SELECT l_partkey, MAX(l_quantity) FROM LINEITEM GROUP BY l_partkey")]),
+    "ddl_table_refs_deep": deep("scope_name ordinal clause table_name alias", [
+        (0, "c", 1, "from", "NATION", "n"), (0, "", 1, "from", "c", "c"), (1, "a", 1, "from", "PART", "p"), (1, "b", 1, "from", "a", "a"),
+        (1, "c", 1, "from", "b", "b"), (1, "", 1, "from", "c", "c"), (2, "subquery_0", 1, "from", "SUPPLIER", "s"), (2, "subquery_1", 1, "from", "CUSTOMER", "c"),
+        (2, "u", 1, "from", "subquery_0", "subquery_0"), (2, "", 1, "from", "u", "u"), (3, "t", 1, "from", "ORDERS", "o"), (3, "", 1, "from", "t", "t"),
+        (4, "i#0", 1, "from", "REGION", "r"), (4, "o", 1, "from", "i", "i"), (4, "i", 1, "from", "NATION", "nation"), (4, "", 1, "from", "o", "o"), (4, "", 2, "from", "i", "i"),
+        (5, "subquery_1", 1, "from", "ORDERS", "b"), (5, "", 1, "from", "CUSTOMER", "a"), (6, "subquery_0", 1, "from", "NATION", "nation"),
+        (6, "subquery_1", 1, "from", "REGION", "region"), (6, "", 1, "from", "SUPPLIER", "a"), (7, "t", 1, "from", "LINEITEM", "u"), (7, "y", 1, "from", "t", "t"),
+        (7, "x", 1, "from", "y", "y"), (7, "", 1, "from", "x", "x"), (8, "", 1, "from", "PART", "p"), (9, "", 1, "from", "EVENTS", "e"), (9, "", 2, "from", "f", "f"),
+        (10, "", 1, "from", "My Table", "t"), (11, "d", 1, "from", "REGION", "region"), (11, "", 1, "from", "d", "d"), (12, "t#0", 1, "from", "NATION", "n"),
+        (12, "t", 1, "from", "REGION", "r"), (12, "", 1, "from", "t", "t"), (13, "c", 1, "from", "LINEITEM", "lineitem"), (13, "", 1, "from", "c", "c"),
+        (14, "", 1, "from", "NATION", "n"), (14, "", 2, "join", "CUSTOMER", "c"), (14, "", 3, "join", "REGION", "r")]),
+    "ddl_pattern_deep": deep("sql_pattern", [(t, "nested_cte_dominant") for t in (0, 1, 3, 13)] + [(2, "hybrid"), (4, "nested_cte_dominant")]
+                             + [(t, "hybrid") for t in (5, 7, 8, 9, 10, 12)] + [(6, "wildcard_dominant"), (11, "wildcard_dominant"), (14, "wildcard_dominant")]),
+    "cte_trace_base_deep": deep("cte_name column_name depth base_table base_column", [
+        (0, "c", "nm", 1, "NATION", "n_name"), (0, "c", "rk", 1, "NATION", "n_regionkey"),
+        (1, "a", "x", 1, "PART", "p_partkey"), (1, "a", "p_size", 1, "PART", "p_size"), (1, "b", "y", 2, "PART", "p_partkey"), (1, "b", "top", 2, "PART", "p_size"),
+        (1, "c", "y", 3, "PART", "p_partkey"), (1, "c", "top", 3, "PART", "p_size"),
+        (2, "subquery_0", "nm", 1, "SUPPLIER", "s_name"), (2, "subquery_1", "c_name", 1, "CUSTOMER", "c_name"), (2, "u", "nm", 2, "SUPPLIER", "s_name"), (2, "u", "nm", 2, "CUSTOMER", "c_name"),
+        (3, "t", "ck", 1, "ORDERS", "o_custkey"), (3, "t", "total", 1, "ORDERS", "o_totalprice"),
+        (4, "i#0", "v", 1, "REGION", "r_name"), (4, "o", "w", 2, "REGION", "r_name"), (4, "i", "n_name", 1, "NATION", "n_name"),
+        (5, "subquery_1", "MAXb.o_totalprice", 1, "ORDERS", "o_totalprice"), (6, "subquery_0", "n_nationkey", 1, "NATION", "n_nationkey"), (6, "subquery_1", "*", 1, "REGION", "*"),
+        (7, "t", "b", 1, "LINEITEM", "l_tax"), (7, "y", "a", 2, "LINEITEM", "l_tax"), (7, "x", "a", 3, "LINEITEM", "l_tax"),
+        (11, "d", "*", 1, "REGION", "*"), (12, "t#0", "a", 1, "NATION", "n_name"), (12, "t", "b", 1, "REGION", "r_name"),
+        (13, "c", "p", 1, "LINEITEM", "l_partkey"), (13, "c", "q", 1, "LINEITEM", "l_quantity")]),
     "ddl_dedup_columns": "SELECT l_orderkey AS object_id, 'C_' || CAST(l_linenumber % 3 AS VARCHAR) AS column_name, min(l_linenumber) AS ordinal FROM lineitem GROUP BY ALL",
     "ddl_pattern": view("sql_pattern", [(0, "hybrid"), (1, "hybrid"), (2, "wildcard_dominant"), (3, "nested_cte_dominant"), (4, "nested_cte_dominant"), (5, "hybrid"), (6, "hybrid")]),
     "ddl_pattern_odd": odd("sql_pattern", [(0, "hybrid"), (1, "hybrid"), (2, "identifier_function"), (3, "hybrid"), (4, "hybrid"), (5, "nested_cte_dominant"), (6, "nested_cte_dominant"), (7, "hybrid"),

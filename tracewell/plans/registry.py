@@ -178,7 +178,7 @@ def code_from_folder(spark: SparkSession, sf: str) -> DataFrame:
         "path", F.length("text").alias("n_chars"))
 
 
-VIEW, ODD, PROC = corpora.VIEW_DDL, corpora.ODD_DDL, corpora.PROCEDURES
+VIEW, ODD, DEEP, PROC = corpora.VIEW_DDL, corpora.ODD_DDL, corpora.DEEP_DDL, corpora.PROCEDURES
 
 QUERIES: dict[str, Query] = {
     # sources
@@ -248,7 +248,15 @@ QUERIES: dict[str, Query] = {
     "error_rows": on(VIEW, resolve.error_rows),
     "processing_stats": on(VIEW, resolve.processing_stats),
     "lineage_all": on(VIEW, resolve.lineage_all),
-    "lineage_all_odd": on(ODD, resolve.lineage_all),
+    "lineage_all_odd": lambda s, d: resolve.lineage_all(ODD.read(s, d), corpora.catalog_columns(s, d)),
+    "lineage_all_deep": on(DEEP, resolve.lineage_all),
+    "lineage_all_catalog": lambda s, d: resolve.lineage_all(DEEP.read(s, d), corpora.catalog_columns(s, d)),
+    "ddl_object_columns_deep": on(DEEP, facts.ddl_object_columns),
+    "ddl_ctes_deep": on(DEEP, facts.ddl_ctes),
+    "ddl_table_refs_deep": on(DEEP, facts.ddl_table_refs),
+    "ddl_pattern_deep": on(DEEP, facts.ddl_pattern),
+    "cte_trace_base_deep": on(DEEP, resolve.cte_trace_base),
+    "error_rows_deep": on(DEEP, resolve.error_rows),
     # results
     "confidence_map": lambda s, d: api_results(s, d).withColumn("metadata", F.to_json("metadata")),
     "confidence_filter": lambda s, d: results.confidence_filter(api_results(s, d), 0.8).drop("metadata"),

@@ -147,6 +147,39 @@ ODD_DDL = Corpus(
     text=True,
 )
 
+# Without a column list, and with scopes inside others: chains, brackets around queries, WITH inside WITH, subqueries in
+# expressions, derived tables three levels deep, table functions, quoted names, stars.
+DEEP_TEMPLATES = [
+    "CREATE VIEW D_<k> AS WITH c AS (SELECT n.n_name AS nm, n.n_regionkey AS rk FROM NATION n) SELECT nm AS z, rk FROM c",
+    "CREATE OR REPLACE VIEW app.D_<k> COPY GRANTS AS\nWITH a AS (SELECT p.p_partkey AS x, p.p_size FROM PART p),\n"
+    "b AS (SELECT a.x AS y, MAX(a.p_size) AS top FROM a GROUP BY a.x),\n c AS (SELECT b.y, b.top FROM b)\nSELECT c.y AS part, c.top FROM c",
+    "CREATE VIEW D_<k> AS WITH u AS ((SELECT s.s_name AS nm FROM SUPPLIER s) UNION ALL (SELECT c.c_name FROM CUSTOMER c)) SELECT u.nm FROM u",
+    "CREATE TABLE app.main.D_<k> AS WITH t AS (SELECT o.o_custkey AS ck, SUM(o.o_totalprice) AS total FROM ORDERS o GROUP BY o.o_custkey) "
+    "SELECT t.ck, t.total * 2 AS twice FROM t",
+    "CREATE VIEW D_<k> COMMENT = 'first AS (SELECT' AS WITH o AS (WITH i AS (SELECT r.r_name AS v FROM REGION r) SELECT i.v AS w FROM i), "
+    "i AS (SELECT n_name FROM NATION) SELECT o.w, i.n_name FROM o, i",
+    "CREATE VIEW D_<k> AS SELECT a.c_custkey AS id, (SELECT MAX(b.o_totalprice) FROM ORDERS b WHERE b.o_custkey = a.c_custkey) AS top FROM CUSTOMER a",
+    "CREATE VIEW D_<k> AS SELECT CASE WHEN a.s_nationkey IN (SELECT n_nationkey FROM NATION) AND EXISTS (SELECT * FROM REGION) THEN 1 ELSE 0 END AS ok FROM SUPPLIER a",
+    "CREATE VIEW D_<k> AS SELECT x.a AS z FROM (SELECT y.a FROM (SELECT t.b AS a FROM (SELECT u.l_tax AS b FROM LINEITEM u) t) y) x",
+    "CREATE VIEW D_<k> AS SELECT " + "(" * 30 + "p.p_name" + ")" * 30 + " AS deep FROM PART p",
+    "CREATE VIEW D_<k> AS SELECT e.event_id, f.value AS v, f.index AS at FROM EVENTS e, LATERAL FLATTEN(input => e.props) f",
+    'CREATE VIEW "D <k>" AS SELECT "T"."First Name" AS "Full Name" FROM "My Table" "T"',
+    "CREATE VIEW D_<k> AS SELECT * FROM (SELECT * FROM REGION) d",
+    "CREATE VIEW D_<k> AS SELECT t.a FROM (SELECT n.n_name AS a FROM NATION n) t UNION SELECT t.b FROM (SELECT r.r_name AS b FROM REGION r) t",
+    "CREATE VIEW D_<k> AS WITH c (p, q) AS (SELECT l_partkey, MAX(l_quantity) FROM LINEITEM GROUP BY l_partkey) SELECT q, p FROM c",
+    "CREATE VIEW D_<k> AS SELECT n.*, c_name FROM NATION n JOIN CUSTOMER c ON c.c_nationkey = n.n_nationkey JOIN REGION r ON r.r_regionkey = n.n_regionkey",
+    "CREATE VIEW D_<k> AS SELECT (c.c_name FROM CUSTOMER c",
+]
+DEEP_DDL = Corpus(
+    "customer",
+    {
+        "object_id": "c_custkey",
+        "view_name": "'D_' || CAST(c_custkey AS STRING)",
+        "ddl_text": case_of(f"c_custkey % {len(DEEP_TEMPLATES)}", [text_of(t, k="c_custkey") for t in DEEP_TEMPLATES]),
+    },
+    text=True,
+)
+
 PROCEDURE_TEMPLATES = [
     "CREATE PROCEDURE SP_<k>() LANGUAGE SQL AS BEGIN LET tgt VARCHAR := 'STG_ORDERS'; "
     "INSERT INTO STG_ORDERS SELECT o.o_orderkey FROM ORDERS o WHERE o.o_orderstatus = 'F'; END",

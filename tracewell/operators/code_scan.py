@@ -225,32 +225,6 @@ def node_of(file_id: Column, qualified: Column) -> Column:
     return F.concat_ws(":", file_id.cast("string"), qualified)
 
 
-def imported_names(files: DataFrame) -> DataFrame:
-    """(file_id, name, stem): names imported from a module, with the module's file name without suffix."""
-    imports = match_pairs(F.col("text"), r"(?m)^[ \t]*from\s+([\w.]+)\s+import\s+([^\n(]+)")
-    rows = files.select("file_id", F.explode(imports).alias("i")).select(
-        "file_id", F.substring_index("i.a", ".", -1).alias("stem"), F.explode(F.split("i.b", ",")).alias("name"))
-    return rows.select("file_id", F.regexp_extract("name", r"(\w+)\s*$", 1).alias("name"), "stem").distinct()
-
-
-def resolved_edges(fns: DataFrame, files: DataFrame) -> DataFrame:
-    """(caller, callee) of the call graph over nodes, for ``fns`` with plain names.
-
-    A called name means the function of the same file, else one of the module it is imported from,
-    else the only function of that name. A name that several files define and none of them gives is
-    left open. Each look-up side has one row per key.
-    """
-    node = node_of(F.col("file_id"), F.col("qualified"))
-    defs = fns.select("file_id", "name", node.alias("node"), F.regexp_extract("path", r"(\w+)\.py$", 1).alias("stem"))
-    one = lambda keys, to: defs.groupBy(*keys).agg(
-        F.min("node").alias(to), F.max("node").alias("last")).where(F.col(to) == F.col("last")).drop("last")
-    calls = fns.select("file_id", node.alias("caller"), F.explode(called_names(F.col("body"))).alias("name")).distinct()
-    from_module = imported_names(files).join(one(["stem", "name"], "imported"), ["stem", "name"]).groupBy("file_id", "name").agg(F.min("imported").alias("imported"))
-    own = defs.groupBy("file_id", "name").agg(F.min("node").alias("own"))
-    tried = calls.join(own, ["file_id", "name"], "left").join(from_module, ["file_id", "name"], "left").join(one(["name"], "only"), "name", "left")
-    return tried.select("caller", F.coalesce("own", "imported", "only").alias("callee")).where("callee IS NOT NULL").distinct()
-
-
 def function_scope(lines: DataFrame) -> DataFrame:
     """Exported function around each line of a user-interface file.
 
@@ -400,8 +374,8 @@ def function_procs(fns: DataFrame, edges: DataFrame, proc_map: DataFrame) -> Dat
 def service_alias(files: DataFrame) -> DataFrame:
     """(file_id, alias, service_class) from imports and ``with`` blocks."""
     imports = F.flatten(F.transform(
-        match_pairs(F.col("text"), r"(?m)^[ \t]*from\s+([\w.]*services[\w.]*)\s+import\s+([^\n(]+)"),
-        lambda m: F.transform(F.split(m["b"], ","), lambda n: F.trim(n))))
+        match_pairs(F.regexp_replace("text", r"#[^\n]*|\\\r?\n", ""), r"(?m)^[ \t]*from\s+([\w.]*services[\w.]*)\s+import\s*(\([^)]*\)|[^\n(]+)"),
+        lambda m: F.filter(F.transform(F.split(F.translate(m["b"], "()", ""), ","), lambda n: F.regexp_replace(n, r"^\s+|\s+$", "")), lambda n: n != "")))
     imported = F.transform(imports, lambda n: F.struct(
         F.regexp_extract(n, r"(\w+)$", 1).alias("alias"), F.regexp_extract(n, r"^(\w+)", 1).alias("service_class")))
     managed = F.transform(

@@ -11,6 +11,7 @@ from tracewell.functions import rules
 from tracewell.functions import text as T
 from tracewell.functions.skew import first_per_key
 from tracewell.operators import code_scan as scan
+from tracewell.operators.imports import call_links
 from tracewell.sources.storage import checkpointed
 
 # --- URLs ----------------------------------------------------------------------------
@@ -408,7 +409,7 @@ def backend_report(files: DataFrame, prefixes: rules.RouteRules = rules.RouteRul
     # A function is known by its file, class and name, so functions of one name keep apart.
     plain = checkpointed(scan.functions(files))
     fns = scan.with_nodes(plain)
-    direct = checkpointed(scan.resolved_edges(plain, files))
+    direct = checkpointed(call_links(plain, files).where("callee IS NOT NULL").select("caller", "callee").distinct())
     services = scan.service_resolve(
         plain.withColumn("node", scan.node_of(F.col("file_id"), F.col("qualified"))), scan.service_alias(files), "node").select(
         F.col("name").alias("caller"), F.col("target").alias("callee"))

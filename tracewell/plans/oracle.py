@@ -467,6 +467,14 @@ SQL: dict[str, str] = {
             (3, "<k>", "get_r<k>", "api/v2/routers/admin/revenue_", 3, 4), (3, "<k>", "post_r<k>", "api/v2/routers/admin/revenue_", 3, 8),
             (4, "<k>", "load_<k>", "api/v2/services/svc_", 4, 1), (4, "<k>", "run_<k>", "api/v2/services/svc_", 4, 5),
             (4, "<k>", "save_<k>", "api/v2/services/svc_", 4, 12), (4, "<k>", "ThingService.save_<k>", "api/v2/services/svc_", 4, 12)]) + ") d",
+    "call_links": "WITH g AS (SELECT p_partkey, p_partkey % 6 AS t, p_partkey // 6 AS g, p_partkey - p_partkey % 6 AS first, count(*) FILTER (WHERE p_partkey % 6 = 0) OVER () AS loads, "
+        "count(*) FILTER (WHERE p_partkey % 6 = 2) OVER () AS makes FROM part) SELECT p_partkey || ':' || fn || g AS caller, name, CASE WHEN place IS NOT NULL THEN (first + place) || ':' || target END AS callee, "
+        "how, CASE how WHEN 'imported' THEN 1 ELSE CASE name WHEN 'load' THEN loads ELSE makes END END AS n_candidates FROM g JOIN (VALUES "
+        "(3, 'run_', 'load', 0, 'load', 'imported'), (3, 'run_', 'hold', 0, 'keep', 'imported'), (3, 'run_', 'build', 2, 'make', 'imported'), (4, 'walk_', 'u.load', 0, 'load', 'imported'), "
+        "(4, 'walk_', 'utils.keep', 0, 'keep', 'imported'), (4, 'walk_', 'make', NULL, NULL, 'ambiguous'), (5, 'find_', 'load', NULL, NULL, 'ambiguous')) v(t, fn, name, place, target, how) USING (t)",
+    "import_targets": "SELECT p_partkey AS file_id, replace(alias, '<g>', CAST(p_partkey // 6 AS VARCHAR)) AS alias, original, p_partkey - p_partkey % 6 + place AS target, CAST(1 AS BIGINT) AS n_targets FROM part JOIN (VALUES "
+        "(1, 'build', 'make', 2), (3, 'load', 'load', 0), (3, 'hold', 'keep', 0), (3, 'build', 'build', 1), (4, 'u', NULL, 0), (4, 'utils', NULL, 0)) v(t, alias, original, place) ON p_partkey % 6 = v.t "
+        "WHERE p_partkey - p_partkey % 6 + place IN (SELECT p_partkey FROM part)",
     "call_edges": code("caller callee", [(3, "get_r<k>", "load_<k>"), (4, "load_<k>", "run_<k>"), (4, "run_<k>", "fetch"), (4, "save_<k>", "run_<k>"), (4, "save_<k>", "make")]),
     "call_closure": f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {C.CALL_EDGE.sql()} x), r(root, function_name, depth) AS (SELECT DISTINCT function_name, function_name, 0 FROM {ROUTES} b "
                     "UNION SELECT r.root, e.callee, r.depth + 1 FROM r JOIN e ON e.caller = r.function_name WHERE r.depth < 24) SELECT root, function_name, min(depth) AS depth FROM r GROUP BY ALL",

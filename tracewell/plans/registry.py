@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import code_scan as scan
-from tracewell.operators import exports, facts, jobs, procedures, resolve, results, routes
+from tracewell.operators import exports, facts, imports, jobs, procedures, resolve, results, routes
 from tracewell.sources import catalog, corpora
 from tracewell.sources.storage import new_path
 from tracewell.streaming import streams
@@ -150,6 +150,11 @@ def closure(spark: SparkSession, sf: str) -> DataFrame:
     return routes.call_closure(corpora.CALL_EDGE.read(spark, sf), roots)
 
 
+def import_links(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpora.IMPORT_FILE.read(spark, sf)
+    return imports.call_links(scan.functions(files), files)
+
+
 def known_sql_tables(spark: SparkSession, sf: str) -> DataFrame:
     return scan.sql_tables(corpora.SQL_TEXT.read(spark, sf))
 
@@ -322,6 +327,8 @@ QUERIES: dict[str, Query] = {
     "route_prefix": on_python(routes.route_prefix, corpora.ROUTE_RULES),
     "function_defs": on_functions(scan.function_defs),
     "call_edges": on_functions(scan.call_edges),
+    "call_links": import_links,
+    "import_targets": on(corpora.IMPORT_FILE, imports.import_targets),
     "call_closure": closure,
     "route_tables": lambda s, d: routes.backend_report(python_files(s, d), corpora.ROUTE_RULES).select("function_name", "database_tables", "stored_procedures", "flow_calls"),
     "route_match_exact": lambda s, d: routes.route_match_exact(calls(s, d), backend(s, d)),

@@ -438,6 +438,26 @@ SQL_TEXT = Corpus(
     },
 )
 
+# Files of common names that import each other in every form; the group is p_partkey / 6.
+IMPORT_FILES = [
+    ("g<g>/utils.py", "def load():\n    return 1\n\ndef keep():\n    return 2\n"),
+    ("g<g>/pkg/__init__.py", "from .inner import (\n    make as build,  # renamed (here)\n)\n"),
+    ("g<g>/pkg/inner.py", "def make():\n    return 1\n"),
+    ("g<g>/main.py", "from g<g>.utils import (\n    load,\n    keep as hold,\n)\nfrom .pkg import build\n\ndef run_<g>():\n    load()\n    hold()\n    build()\n"),
+    ("g<g>/side.py", "import g<g>.utils as u\nfrom g<g> import utils\n\ndef walk_<g>():\n    u.load()\n    utils.keep()\n    make()\n"),
+    ("g<g>/lost.py", "def find_<g>():\n    load()\n"),
+]
+_GROUP = "CAST(floor(p_partkey / 6) AS BIGINT)"
+IMPORT_FILE = Corpus(
+    "part",
+    {
+        "file_id": "p_partkey",
+        "path": case_of("p_partkey % 6", [text_of(p, g=_GROUP) for p, _ in IMPORT_FILES]),
+        "text": case_of("p_partkey % 6", [text_of(t, g=_GROUP) for _, t in IMPORT_FILES]),
+    },
+    text=True,
+)
+
 # The catalog of base-table columns is the tables' own schema.
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 

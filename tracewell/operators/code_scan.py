@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import rules
 from tracewell.functions import text as T
 from tracewell.functions.skew import first_per_key, running
+from tracewell.sources.storage import checkpointed
 
 # Calls that are never edges of the call graph.
 SKIPPED_CALLS = [
@@ -137,32 +138,66 @@ def response_models(files: DataFrame) -> DataFrame:
     return first_per_key(rows.withColumnRenamed("class_name", "model"), ["model"], F.struct("path", "ordinal"), ["body"])
 
 
+#: A type: names, dots, bars and groups in square brackets, whatever is in these up to three levels.
+TYPE_GROUP = r"\[(?:[^\[\]\n]|\[(?:[^\[\]\n]|\[[^\[\]\n]*\])*\])*\]"
+TYPE = rf"(?:[\w.|]|[^\S\n]*\|[^\S\n]*|{TYPE_GROUP})+"
+CONTAINER_WORDS = "Optional|List|list|Dict|dict|Set|set|Tuple|tuple|Sequence|Iterable|Union|Annotated"
+
+
+def type_names(kind: Column) -> Column:
+    """Names in a type but those of containers, in order."""
+    names = all_matches(F.regexp_replace(kind, r"[\"']", ""), r"([A-Za-z_][\w.]*)")
+    last = F.transform(names, lambda n: F.substring_index(n, ".", -1))
+    return F.filter(last, lambda n: ~n.rlike(rf"^(?:{CONTAINER_WORDS}|None|Literal)$"))
+
+
 def response_fields(files: DataFrame) -> DataFrame:
-    """(model, ordinal, field, type, is_simple, is_optional, base_type) of public fields."""
-    pairs = F.filter(match_pairs(F.col("body"), r"(\w+):\s*([\w\.\[\]|]+)"), lambda f: ~f["a"].startswith("_"))
+    """(model, ordinal, field, type, is_simple, is_optional, base_type) of public fields.
+
+    A type reaches to the end of its brackets. It is simple if every name in it but containers is one of the simple type
+    words; else ``base_type`` is the first name that is not.
+    """
+    pairs = F.filter(match_pairs(F.col("body"), rf"(?m)^[ \t]+(\w+)[ \t]*:[ \t]*[\"']?({TYPE})"), lambda f: ~f["a"].startswith("_"))
     first = T.let(pairs, lambda p: F.filter(
-        p, lambda f, i: ~F.exists(F.slice(p, 1, i), lambda earlier: earlier["a"] == f["a"])))
+        F.transform(p, lambda f: F.struct(f["a"].alias("a"), F.regexp_replace(F.trim(f["b"]), r"\s+", "").alias("b"))),
+        lambda f, i: ~F.exists(F.slice(p, 1, i), lambda earlier: earlier["a"] == f["a"])))
     rows = response_models(files).select("model", F.posexplode(first).alias("pos", "f"))
     kind = F.col("f.b")
+    own = F.filter(type_names(kind), lambda n: ~n.isin(rules.SIMPLE_TYPE_WORDS))
+    literal = kind.startswith("Literal[")
     return rows.select(
         "model", (F.col("pos") + 1).cast("int").alias("ordinal"), F.col("f.a").alias("field"), kind.alias("type"),
-        is_simple_type(kind).alias("is_simple"), (kind.startswith("Optional[") | kind.contains("None")).alias("is_optional"),
-        unwrapped_type(kind).alias("base_type"))
+        (literal | (F.size(own) == 0)).alias("is_simple"), (kind.startswith("Optional[") | kind.contains("None")).alias("is_optional"),
+        F.when(~literal & (F.size(own) > 0) & kind.rlike(rf"^(?:{CONTAINER_WORDS})\[|\|"), F.get(own, F.lit(0))).otherwise(unwrapped_type(kind)).alias("base_type"))
 
 
 def nested_fields(fields: DataFrame) -> DataFrame:
-    """``parent.child`` names: simple fields of the models that fields refer to."""
-    parents = fields.where(~F.col("is_simple")).select("model", "ordinal", F.col("field").alias("parent"), "base_type")
+    """``parent.child`` names: fields of the models that fields refer to, as deep as models nest.
+
+    A model that is met again below itself is not entered a second time.
+    """
+    inner = fields.where(~F.col("is_simple")).select(F.col("model").alias("base_type"), F.col("field").alias("child"), F.col("base_type").alias("next_type"))
     children = fields.where("is_simple").select(F.col("model").alias("base_type"), F.col("field").alias("child"), F.col("ordinal").alias("child_no"))
-    return parents.join(children, "base_type").select(
-        "model", "ordinal", "child_no", F.concat_ws(".", "parent", "child").alias("nested_field"))
+    open_ = fields.where(~F.col("is_simple")).select(
+        "model", "ordinal", F.col("field").alias("parent"), "base_type", F.array("model", "base_type").alias("met"))
+    open_ = open_.where("model <> base_type")
+    found = None
+    while True:
+        here = open_.join(children, "base_type").select("model", "ordinal", "child_no", F.concat_ws(".", "parent", "child").alias("nested_field"))
+        found = here if found is None else found.unionByName(here)
+        deeper = open_.join(inner, "base_type").where(~F.array_contains("met", F.col("next_type"))).select(
+            "model", "ordinal", F.concat_ws(".", "parent", "child").alias("parent"), F.col("next_type").alias("base_type"),
+            F.concat("met", F.array("next_type")).alias("met"))
+        open_ = checkpointed(deeper)
+        if open_.isEmpty():
+            return found
 
 
 def union_fields(files: DataFrame, fields: DataFrame) -> DataFrame:
     """Fields of the members of ``__root__: A | B`` and ``__root__: Union[A, B]`` models."""
-    root = F.regexp_extract("body", r"__root__:\s*([\w\.\[\]|]+(?:,\s*[\w\.\[\]|]+)*)", 1)
-    inside = F.regexp_extract(root, r"Union\[(.*)\]", 1)
-    members = F.when(inside != "", F.split(inside, ",")).when(root.contains("|"), F.split(root, r"\|"))
+    root = F.regexp_extract("body", rf"__root__:[ \t]*({TYPE})", 1)
+    is_union = root.contains("|") | root.contains("Union[")
+    members = F.when(is_union, F.array_distinct(type_names(root)))
     rows = response_models(files).select("model", F.explode(members).alias("m")).select("model", unwrapped_type(F.trim("m")).alias("member"))
     simple = fields.where("is_simple").select(F.col("model").alias("member"), "field")
     return rows.join(simple, "member").select("model", F.concat(F.lit("__root__"), "member").alias("name"), "field")

@@ -50,18 +50,18 @@ def jobs_duration(jobs: DataFrame) -> DataFrame:
 
 
 def jobs_latest_state(events: DataFrame) -> DataFrame:
-    """Latest status of every job, number of events and how many came after the job had finished.
+    """Latest status of every job, its largest accepted value, number of events and how many were refused.
 
-    All three are aggregates of the log. A job is finished at its first final event, and any
-    other event after that is a refused transition, so no per-job ordering pass is needed:
-    the first final time joins back on the job id.
+    All are aggregates of the log. A job is finished at its first final event, and any other event after that is a
+    refused transition, which changes nothing, so no per-job ordering pass is needed: the first final time joins back
+    on the job id.
     """
     order = F.struct("ts", "event_id")
     closed = events.groupBy("job_id").agg(
         F.min(F.when(F.col("status").isin(FINISHED), order)).alias("closed_at"),
-        F.count(F.lit(1)).alias("n_events"), F.max("value").alias("max_value"))
+        F.count(F.lit(1)).alias("n_events"))
     joined = events.join(closed, "job_id")
     accepted = F.col("closed_at").isNull() | (order <= F.col("closed_at"))
     return joined.groupBy("job_id").agg(
         F.max_by("status", F.when(accepted, order)).alias("status"),
-        F.count_if(~accepted).alias("n_refused"), F.first("n_events").alias("n_events"), F.first("max_value").alias("max_value"))
+        F.count_if(~accepted).alias("n_refused"), F.first("n_events").alias("n_events"), F.max(F.when(accepted, F.col("value"))).alias("max_value"))

@@ -142,7 +142,17 @@ def query_blocks(statement: Column) -> Column:
     start = F.struct(F.array(statement).alias("blocks"), F.array(statement).alias("level"))
     rounds = F.array_repeat(F.lit(0), F.regexp_count(statement, F.lit(OPENED)))
     blocks = F.reduce(rounds, start, deeper, lambda found: found["blocks"])
-    return F.transform(blocks, lambda s: F.regexp_replace(s, NESTED, "()"))
+    return F.flatten(F.transform(blocks, lambda s: by_set_operator(F.regexp_replace(s, NESTED, "()"))))
+
+
+def by_set_operator(block: Column) -> Column:
+    """The selects of a set operation as blocks of their own, so that each one's columns meet its own tables.
+
+    What is written to stays with the first one.
+    """
+    marked = F.regexp_replace(block, rf"(?i)({T.GROUP})|(\b(?:{'|'.join(T.SET_OPERATORS)})\b(?:\s+(?:ALL|DISTINCT)\b)?)", f"$1{T.MARK}$2{T.MARK}")
+    plain = F.replace(marked, F.lit(T.MARK * 2), F.lit(""))
+    return F.transform(F.split(plain, f"{T.MARK}[^{T.MARK}]*{T.MARK}"), lambda b: F.trim(b))
 
 
 def not_followed(blocks: Column) -> Column:
@@ -156,7 +166,7 @@ def block_usage(block: Column, subqueries: Column) -> Column:
     segs = T.segments(block, WRITE_CLAUSES + T.CLAUSES)
     # A comma continues the clause before it.
     tagged = T.let(segs, lambda s: F.transform(s, lambda g, i: F.struct(
-        F.regexp_replace(F.element_at(F.filter(F.transform(F.slice(s, 1, i + 1), lambda x: x["kw"]), lambda k: k != ","), -1),
+        F.regexp_replace(F.try_element_at(F.filter(F.transform(F.slice(s, 1, i + 1), lambda x: x["kw"]), lambda k: k != ","), F.lit(-1)),
                          "^CREATE .*$", "CREATE").alias("kw"),
         g["txt"].alias("txt"))))
 
@@ -220,7 +230,7 @@ def sp_relations(procedures: DataFrame) -> DataFrame:
         "sp_id", "procedure_name", "procedure_schema", "procedure_definition",
         F.explode(statements(F.col("procedure_definition"))).alias("statement"))
     rows = rows.withColumn(
-        "subqueries", F.transform(F.regexp_extract_all("statement", F.lit(T.CTE), F.lit(1)), lambda n: F.lower(n)))
+        "subqueries", F.transform(F.regexp_extract_all("statement", F.lit(r"(?i)(?:\bWITH(?:\s+RECURSIVE)?\s+|[),]\s*)([A-Za-z_][\w$]*)\s*(?:\([^()]*\)\s*)?AS\s*\(\s*(?:SELECT|WITH)\b"), F.lit(1)), lambda n: F.lower(n)))
     used = T.let(query_blocks(F.col("statement")), lambda blocks: F.concat(
         F.flatten(F.transform(blocks, lambda b: block_usage(b, F.col("subqueries")))), not_followed(blocks)))
     rows = rows.select("sp_id", "procedure_name", "procedure_schema", "procedure_definition", F.explode(F.array_distinct(used)).alias("u"))

@@ -501,18 +501,19 @@ def case_insensitive_match(wanted: DataFrame, keys: DataFrame, by: list[str], na
         F.min_by(key, F.struct(F.col(key) != F.col(name), F.col(key))).alias(key))
 
 
-METHOD_RANK = {"a_derived": 1, "a_direct": 2, "b_direct": 3, "b_derived": 4}
+METHOD_RANK = {"a_derived": 1, "a_direct": 2, "b_direct": 3, "b_derived": 4, "unknown": 5}
 
 
 def hybrid_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two analyses of the same columns: A derived, A direct, B direct, B derived, in that order.
 
-    Both have (object_id, view_column, column_type, source_table, source_column); rows of
-    unknown source do not count.
+    Both have (object_id, view_column, column_type, source_table, source_column). A row of unknown source comes after
+    all others, so a column that neither side knows is kept as unknown, with rank 5.
     """
     def ranked(df: DataFrame, side: str) -> DataFrame:
-        rank = F.when(F.col("column_type") == "DERIVED", METHOD_RANK[f"{side}_derived"]).otherwise(METHOD_RANK[f"{side}_direct"])
-        return df.where("source_table <> 'UNKNOWN'").select(
+        rank = F.when(F.col("source_table") == "UNKNOWN", METHOD_RANK["unknown"]).when(
+            F.col("column_type") == "DERIVED", METHOD_RANK[f"{side}_derived"]).otherwise(METHOD_RANK[f"{side}_direct"])
+        return df.select(
             "object_id", "view_column", F.struct(rank.alias("rank"), "source_table", "source_column", "column_type").alias("c"))
 
     both = ranked(a, "a").unionByName(ranked(b, "b"))

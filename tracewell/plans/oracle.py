@@ -186,6 +186,21 @@ SP_FACTS = [
     (3, "CUSTOMER", "C_NATIONKEY", "USED_AS_MERGE"), (3, "NATION", "N_NATIONKEY", "USED_AS_MERGE"), (3, "CUSTOMER", "C_NAME", "USED_AS_UPDATE"),
     (3, "NATION", "N_NAME", "USED_AS_MERGE"), (3, "STG_ORDERS", "*", "USED_AS_DELETE"),
 ]
+SET_FACTS = [
+    (0, ("STG", "*", "USED_AS_INSERT")), (0, ("X", "*", "USES_TABLE")), (0, ("X", "COL1", "USED_AS_SELECT")), (0, ("Y", "*", "USES_TABLE")),
+    (0, ("Y", "COL2", "USED_AS_SELECT")), (0, ("Y", "F", "USED_AS_FILTER")),
+    (1, ("OUT_T", "*", "PROCEDURE_CREATES_TABLE")), (1, ("A", "*", "USES_TABLE")), (1, ("A", "P", "USED_AS_SELECT")), (1, ("B", "*", "USES_TABLE")),
+    (1, ("B", "Q", "USED_AS_SELECT")), (1, ("C", "*", "USES_TABLE")), (1, ("C", "R", "USED_AS_SELECT")),
+    (2, ("ORDERS", "*", "USES_TABLE")), (2, ("ORDERS", "O_CUSTKEY", "USED_AS_SELECT")), (2, ("D", "*", "USES_TABLE")), (2, ("D", "S", "USED_AS_SELECT")),
+    (2, ("E", "*", "USES_TABLE")), (2, ("E", "T", "USED_AS_SELECT")),
+]
+TYPE_FACTS = [
+    (0, "Tree_<k>", 1, "kids", "List[Leaf_<k>]", False, False, "Leaf_<k>"), (0, "Tree_<k>", 2, "tags", "Dict[str,List[int]]", True, False, "int"),
+    (0, "Tree_<k>", 3, "by_key", "Dict[str,Optional[Leaf_<k>]]", False, False, "Leaf_<k>"), (0, "Tree_<k>", 4, "parent", "Optional[Tree_<k>]", False, True, "Tree_<k>"),
+    (0, "Leaf_<k>", 1, "code", "str", True, False, "str"), (0, "Leaf_<k>", 2, "level", "int|None", True, True, "int|None"), (0, "Leaf_<k>", 3, "owner", "Owner_<k>", False, False, "Owner_<k>"),
+    (0, "Owner_<k>", 1, "name", "str", True, False, "str"), (0, "Owner_<k>", 2, "tree", "Tuple[int,Tree_<k>]", False, False, "Tree_<k>"),
+    (1, "One_<k>", 1, "a", "int", True, False, "int"), (1, "Two_<k>", 1, "b", "str", True, False, "str"),
+]
 QUALIFIED = sorted({(t, s, r.split(".")[0]) for t, s, *_, refs in ITEMS for r in refs})
 ALIASES = {(t, s, a): name for t, s, _, _, name, a in TABLES}
 CTE_ITEMS = [r for r in ITEMS if r[1]]
@@ -209,8 +224,8 @@ def ratio(condition: str) -> str:
 def hybrid_side(odd_line: int, derived: int, direct: int) -> str:
     return (
         f"SELECT l_orderkey AS object_id, 'C_' || CAST(l_partkey % 3 AS VARCHAR) AS view_column, CASE l_returnflag WHEN 'N' THEN 'DERIVED' ELSE 'DIRECT' END AS column_type, "
-        f"'T_' || CAST(l_suppkey % 40 AS VARCHAR) AS source_table, 'S_' || CAST(l_partkey % 200 AS VARCHAR) AS source_column, "
-        f"CASE l_returnflag WHEN 'N' THEN {derived} ELSE {direct} END AS rank FROM lineitem WHERE l_linenumber % 2 = {odd_line} AND l_returnflag <> 'R'")
+        f"CASE l_returnflag WHEN 'R' THEN 'UNKNOWN' ELSE 'T_' || CAST(l_suppkey % 40 AS VARCHAR) END AS source_table, 'S_' || CAST(l_partkey % 200 AS VARCHAR) AS source_column, "
+        f"CASE l_returnflag WHEN 'R' THEN 5 WHEN 'N' THEN {derived} ELSE {direct} END AS rank FROM lineitem WHERE l_linenumber % 2 = {odd_line}")
 
 
 # Report rows of the user-interface files: GET calls of template 0 and POST calls of template 2
@@ -419,6 +434,15 @@ SQL: dict[str, str] = {
     "sp_report": "SELECT r.* EXCLUDE (sp_id), CASE WHEN o.p_size % 2 = 0 THEN 'APP_CORE' ELSE 'APP_AUX' END AS sp_schema FROM ("
                  + proc("sp_name sp_language table_name column_name relationship_types", [(t, "SP_<k>", "PYTHON" if t == 1 else "SQL", *r) for t, *r in SP_FACTS])
                  + ") r JOIN part o ON o.p_partkey = r.sp_id",
+    "sp_relations_sets": expected("part", "p_partkey", 3, "sp_name table_name column_name kind", [(t, "SP_<k>", *r) for t, r in SET_FACTS], id_name="sp_id"),
+    "response_fields_types": expected("part", "p_partkey", 2, "model ordinal field type is_simple is_optional base_type", TYPE_FACTS, id_name=None),
+    "nested_fields_types": expected("part", "p_partkey", 2, "model ordinal child_no nested_field", [
+        (0, "Tree_<k>", 1, 1, "kids.code"), (0, "Tree_<k>", 1, 2, "kids.level"), (0, "Tree_<k>", 3, 1, "by_key.code"), (0, "Tree_<k>", 3, 2, "by_key.level"),
+        (0, "Tree_<k>", 1, 1, "kids.owner.name"), (0, "Tree_<k>", 3, 1, "by_key.owner.name"), (0, "Leaf_<k>", 3, 1, "owner.name"), (0, "Leaf_<k>", 3, 2, "owner.tree.tags"),
+        (0, "Owner_<k>", 2, 2, "tree.tags"), (0, "Owner_<k>", 2, 1, "tree.kids.code"), (0, "Owner_<k>", 2, 2, "tree.kids.level"),
+        (0, "Owner_<k>", 2, 1, "tree.by_key.code"), (0, "Owner_<k>", 2, 2, "tree.by_key.level")], id_name=None),
+    "union_fields_types": expected("part", "p_partkey", 2, "model name field", [
+        (1, "Any_<k>", "__root__One_<k>", "a"), (1, "Any_<k>", "__root__Two_<k>", "b")], id_name=None),
     "sp_consolidate": f"SELECT sp_name, table_name, column_name, string_agg(DISTINCT kind, ',' ORDER BY kind) AS relationship_types FROM {KINDS} k GROUP BY ALL",
     "sp_content_hash": "SELECT p_partkey AS sp_id, p_partkey % 2 = 0 AND p_partkey % 10 <> 0 AS reusable FROM part",
     "sp_resume": f"SELECT p_partkey AS sp_id, 'SP_' || CAST(p_partkey AS VARCHAR) AS procedure_name FROM part WHERE 'SP_' || CAST(p_partkey AS VARCHAR) NOT IN (SELECT sp_name FROM {REL} r)",
@@ -501,7 +525,7 @@ SQL: dict[str, str] = {
                      f"ELSE CAST(duration_s // 3600 AS VARCHAR) || 'h ' || CAST(duration_s % 3600 // 60 AS VARCHAR) || 'm' END AS duration FROM {J} j",
     "jobs_latest_state": f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS rn FROM {C.JOB_EVENTS.sql()} x), "
         "c AS (SELECT job_id, min(rn) FILTER (WHERE status IN ('COMPLETED', 'FAILED', 'CANCELLED')) AS closed FROM e GROUP BY job_id) "
-        "SELECT job_id, arg_max(status, rn) FILTER (WHERE closed IS NULL OR rn <= closed) AS status, count(*) FILTER (WHERE rn > closed) AS n_refused, count(*) AS n_events, max(value) AS max_value "
+        "SELECT job_id, arg_max(status, rn) FILTER (WHERE closed IS NULL OR rn <= closed) AS status, count(*) FILTER (WHERE rn > closed) AS n_refused, count(*) AS n_events, max(value) FILTER (WHERE closed IS NULL OR rn <= closed) AS max_value "
         "FROM e JOIN c USING (job_id) GROUP BY job_id",
     "stream_incremental_lineage": ALL_LINEAGE,
     "stream_job_progress": f"SELECT date_trunc('hour', ts) AS window_start, status, count(*) AS n FROM {C.JOB_EVENTS.sql()} x GROUP BY ALL",

@@ -291,6 +291,7 @@ QUERIES: dict[str, Query] = {
     "sp_dynamic_sql": on(PROC, procedures.sp_dynamic_sql),
     "sp_identifier_resolve": on(PROC, procedures.sp_identifier_resolve),
     "sp_relations": lambda s, d: procedures.sp_relations(PROC.read(s, d)).drop("sp_schema", "sp_language"),
+    "sp_relations_sets": lambda s, d: procedures.sp_relations(corpora.SET_PROCEDURES.read(s, d)).drop("sp_schema", "sp_language"),
     "sp_report": on(PROC, procedures.sp_report),
     "sp_consolidate": on(corpora.SP_RELATION, procedures.sp_consolidate),
     "sp_content_hash": sp_hash,
@@ -307,6 +308,9 @@ QUERIES: dict[str, Query] = {
     "route_response_model": lambda s, d: routes.route_response_model(python_files(s, d)).drop("file_id"),
     "union_fields": lambda s, d: scan.union_fields(python_files(s, d), scan.response_fields(python_files(s, d))),
     "nested_fields": lambda s, d: scan.nested_fields(scan.response_fields(python_files(s, d))),
+    "response_fields_types": on(corpora.TYPE_FILE, scan.response_fields),
+    "nested_fields_types": lambda s, d: scan.nested_fields(scan.response_fields(corpora.TYPE_FILE.read(s, d))),
+    "union_fields_types": lambda s, d: scan.union_fields(corpora.TYPE_FILE.read(s, d), scan.response_fields(corpora.TYPE_FILE.read(s, d))),
     "sql_looks_like": lambda s, d: corpora.SQL_TEXT.read(s, d).select("text_id", scan.looks_like_sql(F.col("text")).alias("is_sql")),
     "sql_tables": known_sql_tables,
     "table_candidate": lambda s, d: corpora.RAW_NAME.read(s, d).select(

@@ -201,6 +201,23 @@ PROCEDURES = Corpus(
     text=True,
 )
 
+# Set operations: a branch's columns belong to its own tables.
+SET_TEMPLATES = [
+    "CREATE PROCEDURE SP_<k>() AS BEGIN INSERT INTO STG SELECT col1 FROM X UNION ALL SELECT col2 FROM Y WHERE f > 0; END",
+    "CREATE PROCEDURE SP_<k>() AS BEGIN CREATE TABLE OUT_T AS SELECT p FROM A EXCEPT SELECT q FROM B INTERSECT SELECT r FROM C; END",
+    "CREATE PROCEDURE SP_<k>() AS BEGIN WITH c AS (SELECT o_custkey FROM ORDERS), d2 AS (SELECT s FROM D UNION DISTINCT SELECT t FROM E) SELECT 1; END",
+]
+SET_PROCEDURES = Corpus(
+    "part",
+    {
+        "sp_id": "p_partkey",
+        "procedure_name": "'SP_' || CAST(p_partkey AS STRING)",
+        "procedure_schema": "'APP'",
+        "procedure_definition": case_of("p_partkey % 3", [text_of(t, k="p_partkey") for t in SET_TEMPLATES]),
+    },
+    text=True,
+)
+
 LINEAGE = Corpus(
     "lineitem",
     {
@@ -438,6 +455,23 @@ SQL_TEXT = Corpus(
     },
 )
 
+# Response models whose types hold others: containers in containers, unions, a cycle.
+TYPE_FILES = [
+    "class Owner_<k>(BaseModel):\n    name: str\n    tree: Tuple[int, Tree_<k>]\n\nclass Leaf_<k>(BaseModel):\n    code: str\n    level: int | None = None\n"
+    "    owner: \"Owner_<k>\"\n    _hidden: int\n\nclass Tree_<k>(BaseModel):\n    kids: List[Leaf_<k>]\n    tags: Dict[str, List[int]] = {}\n"
+    "    by_key: Dict[str, Optional[Leaf_<k>]]\n    parent: Optional[Tree_<k>]\n",
+    "class One_<k>(BaseModel):\n    a: int\n\nclass Two_<k>(BaseModel):\n    b: str\n\nclass Any_<k>(BaseModel):\n    __root__: Union[One_<k>, List[Two_<k>]]\n",
+]
+TYPE_FILE = Corpus(
+    "part",
+    {
+        "file_id": "p_partkey",
+        "path": "'app/models/types_' || CAST(p_partkey AS STRING) || '.py'",
+        "text": case_of("p_partkey % 2", [text_of(t, k="p_partkey") for t in TYPE_FILES]),
+    },
+    text=True,
+)
+
 # Files of common names that import each other in every form; the group is p_partkey / 6.
 IMPORT_FILES = [
     ("g<g>/utils.py", "def load():\n    return 1\n\ndef keep():\n    return 2\n"),

@@ -276,3 +276,14 @@ def root_type(folded: Column) -> Column:
         .when(folded.rlike(rf"^{NAME}$"), "Column")
         .otherwise("Anonymous")
     )
+
+
+#: Comments, strings and templates of program text, whichever begins first.
+QUOTED_CODE = r"//[^\n]*|/\*(?s:.*?)\*/|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\(?s:.))*+`"
+
+
+def mask_code(text: Column) -> Column:
+    """``text`` of the same length, with blanks for the brackets inside comments, strings and templates."""
+    brackets = "{}()[]<>"
+    blank = F.transform(F.regexp_extract_all(text, F.lit(QUOTED_CODE), F.lit(0)), lambda q: F.translate(q, brackets, " " * len(brackets)))
+    return F.array_join(F.zip_with(F.split(text, QUOTED_CODE), F.concat(blank, F.array(F.lit(""))), lambda piece, q: F.concat(piece, q)), "")

@@ -263,21 +263,22 @@ def node_of(file_id: Column, qualified: Column) -> Column:
 def function_scope(lines: DataFrame) -> DataFrame:
     """Exported function around each line of a user-interface file.
 
-    A function ends when its braces close or at the next export. Running values are carried
+    A function ends when its braces close or at the next export; braces are counted in ``code``, the line without
+    those in strings and comments, where the input has it. Running values are carried
     across blocks of lines, so one very long file does not become one task.
     """
+    lines = lines if "code" in lines.columns else lines.withColumn("code", T.mask_code(F.col("line")))
     export = F.regexp_extract("line", r"export\s+(?:const\s+(\w+)\s*=|(?:async\s+)?function\s+\w+)", 1)
     by_function = F.regexp_extract("line", r"export\s+(?:async\s+)?function\s+(\w+)", 1)
     name = F.nullif(F.when(export != "", export).otherwise(by_function), F.lit(""))
-    count = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
-    comment = F.trim("line").startswith("//")
-    delta = F.when(comment, 0).otherwise(count("{") - count("}"))
+    count = lambda c: F.length("code") - F.length(F.replace("code", F.lit(c), F.lit("")))
+    delta = count("{") - count("}")
     base = running(
-        lines.select("file_id", "line_no", "line"), ["file_id"], "line_no",
+        lines.select("file_id", "line_no", "line", "code"), ["file_id"], "line_no",
         {"fn": name, "fn_start": F.when(name.isNotNull(), F.col("line_no"))}, {"depth": delta})
     spans = base.where("fn_start is not null").groupBy("file_id", "fn_start").agg(
         F.min_by(F.col("depth") - delta, "line_no").alias("before"),
-        F.min(F.when(F.col("line").contains("{") & ~comment, F.col("line_no"))).alias("opened"))
+        F.min(F.when(F.col("code").contains("{"), F.col("line_no"))).alias("opened"))
     closing = (F.col("depth") <= F.col("before")) & (F.col("line_no") >= F.col("opened"))
     ends = base.join(spans, ["file_id", "fn_start"]).groupBy("file_id", "fn_start").agg(
         F.min(F.when(closing, F.col("line_no"))).alias("fn_end"))

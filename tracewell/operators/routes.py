@@ -70,39 +70,58 @@ EXPORT_NAME = r"^[^\n]*\bexport\s+(?:const|(?:async\s+)?function)\s+(\w+)"
 
 
 def exported_functions(files: DataFrame) -> DataFrame:
-    """(file_id, path, function_name, start_line, lines) of every exported function, cut at its end.
+    """(file_id, path, function_name, start_line, lines, code) of every exported function, cut at its end.
 
-    The text is cut before each export; inside a piece one pass over the lines counts braces.
-    Text before the first export, or after the end of a function, is a row without function name.
+    The text is cut before each export; inside a piece one pass over the lines counts braces, those in strings, templates
+    and comments apart: ``code`` has blanks in their place. Text before the first export, or after the end of a
+    function, is a row without function name.
     """
-    cut = files.where(F.col("path").rlike(r"\.tsx?$")).withColumn("pieces", F.split("text", EXPORT))
+    cut = files.where(F.col("path").rlike(r"\.tsx?$")).withColumn("pieces", F.split("text", EXPORT)).withColumn("whole", T.mask_code(F.col("text")))
+    lengths = F.transform("pieces", lambda p: F.length(p))
+    begins = F.transform(lengths, lambda _, i: F.reduce(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x))
     breaks = F.transform("pieces", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
-    rows = cut.withColumn("breaks", breaks).select("file_id", "path", "breaks", F.posexplode(T.elements("pieces")).alias("n", "piece"))
+    rows = cut.withColumn("breaks", breaks).withColumn("pieces", F.transform(
+        "pieces", lambda p, i: F.struct(p.alias("text"), F.substring(F.col("whole"), F.get(begins, i) + 1, F.length(p)).alias("code"))))
+    rows = rows.select("file_id", "path", "breaks", F.posexplode(T.elements("pieces")).alias("n", "p"))
     start = F.reduce(F.slice("breaks", F.lit(1), F.col("n")), F.lit(0), lambda a, x: a + x) + 1
     rows = rows.select(
         "file_id", "path", start.alias("start_line"),
-        F.nullif(F.regexp_extract("piece", EXPORT_NAME, 1), F.lit("")).alias("function_name"), F.split("piece", "\n").alias("lines"))
+        F.nullif(F.regexp_extract("p.text", EXPORT_NAME, 1), F.lit("")).alias("function_name"), F.split("p.text", "\n").alias("lines"), F.split("p.code", "\n").alias("code"))
     count = lambda line, c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
     state = F.struct(F.lit(0).alias("line"), F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(None).cast("int").alias("end"))
 
     def step(a: Column, line: Column) -> Column:
-        skip = (F.trim(line) == "") | F.trim(line).startswith("//")
-        depth = a["depth"] + F.when(skip, 0).otherwise(count(line, "{") - count(line, "}"))
-        opened = a["opened"] | (~skip & line.contains("{"))
-        number = a["line"] + 1
+        depth = a["depth"] + count(line, "{") - count(line, "}")
+        opened, number = a["opened"] | line.contains("{"), a["line"] + 1
         return T.let(F.struct(number.alias("line"), depth.alias("depth"), opened.alias("opened")), lambda s: F.struct(
             s["line"].alias("line"), s["depth"].alias("depth"), s["opened"].alias("opened"),
-            F.coalesce(a["end"], F.when(s["opened"] & (s["depth"] <= 0) & ~skip, s["line"])).alias("end")))
+            F.coalesce(a["end"], F.when(s["opened"] & (s["depth"] <= 0) & (F.trim(line) != ""), s["line"])).alias("end")))
 
-    rows = rows.withColumn("end", F.reduce("lines", state, step, lambda a: a["end"]))
+    rows = rows.withColumn("end", F.reduce("code", state, step, lambda a: a["end"]))
     known = F.col("function_name").isNotNull()
     ended = known & F.col("end").isNotNull()
-    part = lambda name, start, lines: F.struct(name.alias("function_name"), start.cast("int").alias("start_line"), lines.alias("lines"))
-    own = part(F.col("function_name"), F.col("start_line"), F.when(ended, F.slice("lines", F.lit(1), F.col("end"))).otherwise(F.col("lines")))
-    after = part(F.lit(None).cast("string"), F.col("start_line") + F.col("end"), F.slice("lines", F.col("end") + 1, F.size("lines")))
+    part = lambda name, start, cut_: F.struct(name.alias("function_name"), start.cast("int").alias("start_line"), cut_("lines").alias("lines"), cut_("code").alias("code"))
+    own = part(F.col("function_name"), F.col("start_line"), lambda c: F.when(ended, F.slice(c, F.lit(1), F.col("end"))).otherwise(F.col(c)))
+    after = part(F.lit(None).cast("string"), F.col("start_line") + F.col("end"), lambda c: F.slice(c, F.col("end") + 1, F.size(c)))
     return rows.select("file_id", "path", F.inline(F.when(ended & (F.col("end") < F.size("lines")), F.array(own, after)).otherwise(F.array(own))))
 
 
+def call_lines(code: Column, i: Column) -> Column:
+    """Lines that the client call on line ``i`` spans: to the bracket that closes its arguments, or to the end."""
+    rest = F.array_join(F.slice(code, i + 1, F.size(code)), "\n")
+    begin = F.regexp_replace(rest, rf"(?s)^.*?(?:{HTTP_CALL}|{INDEXED_CALL})", "")
+    skipped = F.length(rest) - F.length(begin)
+    # Arguments start at the first round bracket behind the type parameters; pieces end where one closes.
+    opened = F.regexp_extract(begin, r"(?s)^[^(]*\(", 0)
+    typed = F.regexp_extract(begin, r"(?s)^\s*<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>\s*\(", 0)
+    head = F.when(typed != "", typed).otherwise(opened)
+    pieces = F.split(F.substring(begin, F.length(head) + 1, F.length(begin)), r"\)")
+    walked = F.reduce(pieces, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size")), lambda s, p: F.when(s["depth"] <= 0, s).otherwise(F.struct(
+        (s["depth"] + F.length(p) - F.length(F.replace(p, F.lit("("), F.lit(""))) - 1).alias("depth"), (s["size"] + F.length(p) + 1).alias("size"))))
+    span = F.substring(rest, F.lit(1), skipped + F.length(head) + walked["size"])
+    return F.when(head == "", 1).otherwise(F.length(span) - F.length(F.replace(span, F.lit("\n"), F.lit(""))) + 1)
+
+
 def url_on_line(line: Column) -> Column:
     """First acceptable URL of a line, normalised; null on comment and blank lines."""
     tried = F.array(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in URL_PATTERNS])
@@ -116,53 +135,61 @@ def url_on_line(line: Column) -> Column:
 VARIABLE_ON_CALL = r"(?:client|tsClient)\.\w+(?:<[^>]*>)?\s*\(\s*(\w+)"
 
 
-def defined_url(lines: Column, name: Column) -> Column:
-    """URL a variable is set to: its first definition among the lines."""
+def defined_url(lines: Column, code: Column, name: Column) -> Column:
+    """URL a variable holds after ``lines``: that of its latest definition whose block is still open, or assignment."""
     word = F.concat(F.lit("\\b"), name)
     quoted = "\\s*(?::\\s*\\w+\\s*)?=\\s*[`\"']([^`\"']*)[\"`']"
-    values = F.transform(lines, lambda line: F.coalesce(
-        F.get(F.regexp_extract_all(line, F.concat(word, F.lit(quoted)), F.lit(1)), F.lit(0)), F.lit("")))
-    return F.get(F.filter(F.transform(F.filter(values, lambda v: v != ""), normalise_url), lambda u: u != ""), F.lit(0))
-
-
-def http_call_url(files: DataFrame) -> DataFrame:
-    """(file_id, path, function_name, method, url, line_no) of every call whose URL is found.
-
-    The URL is searched on the call line and the nine lines after it inside the same function,
-    then in the definition of the variable passed to the call. All of it happens inside the
-    function's own row.
-    """
+    count = lambda line, c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+    deltas = F.transform(code, lambda line: count(line, "{") - count(line, "}"))
+    # How far the depth falls below that of line i on the lines after it, where a fall means that its block has ended.
+    fall = lambda i: F.reduce(F.slice(deltas, i + 2, F.size(deltas)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")), lambda s, d: F.struct(
+        (s["now"] + d).alias("now"), F.least(s["least"], s["now"] + d).alias("least")))["least"]
+    values = F.transform(lines, lambda line, i: F.struct(
+        F.get(F.regexp_extract_all(line, F.concat(word, F.lit(quoted)), F.lit(1)), F.lit(0)).alias("url"),
+        line.rlike(r"\b(?:const|let)\b").alias("declared"), i.alias("i")))
+    seen = F.filter(values, lambda v: F.coalesce(v["url"], F.lit("")) != "")
+    visible = F.filter(seen, lambda v: ~v["declared"] | (fall(v["i"]) >= 0))
+    return F.try_element_at(F.filter(F.transform(visible, lambda v: normalise_url(v["url"])), lambda u: u != ""), F.lit(-1))
+
+
+def client_calls(files: DataFrame) -> DataFrame:
+    """The functions of ``files`` with one row per client call: ``c`` (i, line, method, variable) and the call's lines."""
     fns = exported_functions(files)
     calls = F.filter(
         F.transform("lines", lambda line, i: F.struct(i.alias("i"), line.alias("line"), call_method(line).alias("method"))),
-        lambda c: c["method"].isNotNull() & ~F.lower(c["line"]).contains("blob") & ~c["line"].contains("responseType:"))
+        lambda c: c["method"].isNotNull())
     rows = fns.select("*", F.explode(calls).alias("c"))
-    window = F.slice("lines", F.col("c.i") + 1, F.when(F.col("function_name").isNotNull(), 10).otherwise(5))
-    nearby = F.get(F.filter(F.transform(window, lambda line: url_on_line(line)), lambda u: u.isNotNull()), F.lit(0))
+    rows = rows.withColumn("own", F.slice("lines", F.col("c.i") + 1, call_lines(F.col("code"), F.col("c.i"))))
     on_call = F.regexp_extract("c.line", VARIABLE_ON_CALL, 1)
     after_call = F.get(F.filter(
-        F.transform(F.slice("lines", F.col("c.i") + 2, F.lit(4)), lambda line: F.regexp_extract(F.trim(line), r"^(\w+),?$", 1)),
+        F.transform(F.slice("own", F.lit(2), F.size("own")), lambda line: F.regexp_extract(F.trim(line), r"^(?:[>\])}]*\(\s*)?([A-Za-z_$][\w$]*)\s*[,)]?;?$", 1)),
         lambda v: v != ""), F.lit(0))
-    open_call = F.col("c.line").rlike(r"(?:client|tsClient)\.\w+(?:<.*?>)?\s*\(\s*$")
-    variable = F.when(on_call != "", on_call).when(open_call, after_call)
-    before = F.slice("lines", F.lit(1), F.col("c.i"))
-    named = F.when(variable.isNotNull() & ~variable.isin(rules.NON_URL_VARIABLES), defined_url(before, variable))
+    variable = F.when(on_call != "", on_call).otherwise(after_call)
+    return rows.withColumn("variable", F.when(~variable.isin(rules.NON_URL_VARIABLES), variable))
+
+
+def variable_url() -> Column:
+    before = lambda c: F.slice(c, F.lit(1), F.col("c.i"))
+    return F.when(F.col("variable").isNotNull(), defined_url(before("lines"), before("code"), F.col("variable")))
+
+
+def http_call_url(files: DataFrame) -> DataFrame:
+    """(file_id, path, function_name, method, url, line_no) of every call whose URL is found.
+
+    The URL is searched on the lines that the call spans, to the bracket that closes it, then in the latest definition
+    of the variable passed to it. All of it happens inside the function's own row.
+    """
+    rows = client_calls(files).where(~F.lower("c.line").contains("blob") & ~F.col("c.line").contains("responseType:"))
+    stated = F.get(F.filter(F.transform("own", lambda line: url_on_line(line)), lambda u: u.isNotNull()), F.lit(0))
     return rows.select(
         "file_id", "path", F.coalesce("function_name", F.lit("unknown")).alias("function_name"), F.col("c.method").alias("method"),
-        F.coalesce(nearby, named).alias("url"), (F.col("start_line") + F.col("c.i")).cast("int").alias("line_no"),
+        F.coalesce(stated, variable_url()).alias("url"), (F.col("start_line") + F.col("c.i")).cast("int").alias("line_no"),
     ).where("url is not null")
 
 
 def http_call_url_var(files: DataFrame) -> DataFrame:
     """Calls whose URL is held in a variable defined earlier in the function."""
-    fns = exported_functions(files)
-    calls = F.filter(
-        F.transform("lines", lambda line, i: F.struct(
-            i.alias("i"), F.regexp_extract(line, VARIABLE_ON_CALL, 1).alias("variable"), call_method(line).alias("method"))),
-        lambda c: c["method"].isNotNull() & (c["variable"] != "") & ~c["variable"].isin(rules.NON_URL_VARIABLES))
-    return fns.select("*", F.explode(calls).alias("c")).select(
-        "file_id", "function_name", F.col("c.variable").alias("variable"),
-        defined_url(F.slice("lines", F.lit(1), F.col("c.i")), F.col("c.variable")).alias("url")).where("url is not null")
+    return client_calls(files).select("file_id", "function_name", "variable", variable_url().alias("url")).where("url is not null")
 
 
 # --- backend routes ------------------------------------------------------------------

@@ -322,7 +322,7 @@ QUERIES: dict[str, Query] = {
     "flow_calls": lambda s, d: scan.flow_calls(scan.functions(python_files(s, d)), python_files(s, d)),
     "dynamic_tables": on_functions(scan.dynamic_tables),
     "attr_tables": lambda s, d: scan.attr_tables(scan.functions(python_files(s, d)), scan.model_table_map(python_files(s, d))),
-    "function_scope": lambda s, d: scan.function_scope(catalog.code_lines(ui_files(s, d))),
+    "function_scope": lambda s, d: scan.function_scope(catalog.scanned_lines(ui_files(s, d))),
     "http_calls": lambda s, d: routes.http_calls(catalog.code_lines(ui_files(s, d))),
     "http_call_url": on_ui(routes.http_call_url),
     "http_call_url_var": on_ui(routes.http_call_url_var),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import rules
+from tracewell.functions import text as T
 from tracewell.functions.skew import spread
 from tracewell.operators import facts
 
@@ -105,6 +106,14 @@ def code_lines(files: DataFrame) -> DataFrame:
         "file_id", "path", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
 
 
+def scanned_lines(files: DataFrame) -> DataFrame:
+    """``code_lines`` with ``code``: the line with blanks for brackets inside comments, strings and templates of the file."""
+    rows = files.select("file_id", "path", F.split("text", "\n").alias("line"), F.split(T.mask_code(F.col("text")), "\n").alias("code"))
+    zipped = F.arrays_zip("line", "code")
+    return rows.select("file_id", "path", F.posexplode(zipped).alias("pos", "l")).select(
+        "file_id", "path", (F.col("pos") + 1).cast("int").alias("line_no"), "l.line", "l.code")
+
+
 # --- report files --------------------------------------------------------------------
 
 

@@ -2,9 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tracewell.functions.rules import RouteRules
 from tracewell.operators import code_scan, procedures, routes
 from tracewell.functions import skew
+from tracewell.sources.corpora import APP_RULES
 
 
 def brute_force(calls, backend):
@@ -44,7 +47,7 @@ def test_matching_equals_brute_force(spark):
         backend.append((i, rng.choice(["GET", "POST"]), url))
     got = routes.mapping_build(
         spark.createDataFrame(calls, "call_id long, method string, url string"),
-        spark.createDataFrame(backend, "route_id long, method string, route_pattern string")).collect()
+        spark.createDataFrame(backend, "route_id long, method string, route_pattern string"), APP_RULES).collect()
     expected = brute_force(calls, backend)
     assert {k for _, k in expected.values()} == {"exact", "fuzzy", "none"}
     assert {r.call_id: (r.route_id, r.match_type) for r in got} == expected
@@ -64,7 +67,7 @@ def test_normalise_url(spark):
         "/plain/path?x": "/plain/path",
     }
     df = spark.createDataFrame([(i, "GET", u) for i, u in enumerate(urls)], "call_id long, method string, url_raw string")
-    assert [r.url for r in routes.url_normalise(df).orderBy("call_id").collect()] == list(urls.values())
+    assert [r.url for r in routes.url_normalise(df, APP_RULES).orderBy("call_id").collect()] == list(urls.values())
 
 
 def test_function_scope_over_many_blocks(spark, monkeypatch):
@@ -87,6 +90,28 @@ def test_call_closure_with_cycle(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 5, "g": 6}
 
 
+def test_inherited_equals_the_closure(spark):
+    """Random graphs with cycles, and a hub that every function calls."""
+    rng = random.Random(9)
+    edges = [(f"f{rng.randrange(60)}", f"f{rng.randrange(60)}") for _ in range(110)] + [(f"f{i}", "hub") for i in range(60)] + [("hub", "deep"), ("deep", "hub")]
+    facts = [(f"f{rng.randrange(60)}", f"T{rng.randrange(12)}") for _ in range(25)] + [("deep", "HUB_T")]
+    frame = spark.createDataFrame(edges, "caller string, callee string")
+    known = spark.createDataFrame(facts, "name string, table_name string")
+    got = {(r.name, r.table_name) for r in routes.inherited(frame, known, "table_name").collect()}
+    roots = spark.createDataFrame([(n,) for n in sorted({x for e in edges for x in e} | {n for n, _ in facts})], "root string")
+    closure = routes.call_closure(frame, roots).join(known, F.col("function_name") == F.col("name")).select("root", "table_name").distinct().collect()
+    assert got == {(r.root, r.table_name) for r in closure}
+    assert routes.inherited(frame.limit(0), known, "table_name").count() == len(set(facts))
+
+
+def test_nothing_of_one_application_is_built_in(spark):
+    df = spark.createDataFrame([(1, "GET", "${V2_URL}/x")], "call_id long, method string, url_raw string")
+    assert routes.url_normalise(df).first().url == "{v2_url}/x"
+    names = spark.createDataFrame([("Things",)], "model_name string")
+    table_map = spark.createDataFrame([("v2_things", "T")], "model string, table_name string")
+    assert code_scan.model_resolve(names, table_map).count() == 0 and code_scan.model_resolve(names, table_map, APP_RULES).first().table_name == "T"
+
+
 def test_urls_of_calls(spark):
     text = (
         "export const a = async () => {\n  const res = await client.get(`${V2_URL}/x/${itemId}`, { responseType: 'blob' });\n};\n"

@@ -81,14 +81,10 @@ SQL_SHAPES = [
 FRONTEND_REPOSITORY_PATTERNS = [
     ".*-frontend$", ".*-ui$", ".*-web$", ".*-client$",
     "frontend-.*", "ui-.*", "web-.*", "client-.*",
-    ".*workflow.*frontend.*", ".*workflow.*ui.*",
-    ".*workflow$", ".*-workflow$",
 ]
 BACKEND_REPOSITORY_PATTERNS = [
     ".*-backend$", ".*-api$", ".*-server$", ".*-service$",
     "backend-.*", "api-.*", "server-.*", "service-.*",
-    ".*workflow.*backend.*", ".*workflow.*api.*",
-    ".*-workflow-backend$",
 ]
 
 # Functions whose names contain one of these words are taken for service functions.
@@ -109,6 +105,21 @@ class RouteRules:
     exact: tuple[tuple[str, str], ...] = ()
 
 
+@dataclass(frozen=True)
+class AppRules:
+    """What is particular to one application's code; nothing is by default.
+
+    ``url_bases`` gives the path that a template variable stands for, ``root`` the path that calls and routes share and
+    that matching leaves out, ``url_words`` words that mark a text as a URL beside a slash, and ``model_prefixes`` what
+    may stand before a model's name.
+    """
+
+    url_bases: tuple[tuple[str, str], ...] = ()
+    root: str = ""
+    url_words: tuple[str, ...] = ()
+    model_prefixes: tuple[str, ...] = ()
+
+
 # Argument names that never hold a URL.
 NON_URL_VARIABLES = [
     "data", "body", "payload", "params", "formData", "config", "options", "headers",

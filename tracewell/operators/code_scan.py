@@ -6,6 +6,8 @@ inside its row and exploded once; joins happen only where a name leads to anothe
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from tracewell.sources.storage import checkpointed
 
 # Calls that are never edges of the call graph.
 SKIPPED_CALLS = [
-    "ServiceException", "HTTPException", "select", "text",
+    "select", "text",
     "list", "any", "map", "max", "min", "Depends", "setattr",
 ]
 BUILTIN_CALLS = [
@@ -69,8 +71,8 @@ def known_tables(files: DataFrame) -> DataFrame:
     return files.select(F.explode(names).alias("n")).select(F.upper("n").alias("table_name")).distinct()
 
 
-def model_table_map(files: DataFrame) -> DataFrame:
-    """Class or variable -> table; a ``v2_`` variable also answers to its name without the prefix.
+def model_table_map(files: DataFrame, app: rules.AppRules = rules.AppRules()) -> DataFrame:
+    """Class or variable -> table; a variable with one of the model prefixes also answers to its name without it.
 
     Of several definitions of one name the one in the last path wins.
     """
@@ -82,15 +84,16 @@ def model_table_map(files: DataFrame) -> DataFrame:
     from_classes = classes(models).select(
         "path", F.col("class_name").alias("model"), F.when(named != "", named).otherwise(by_variable).alias("t"))
     from_variables = models.select("path", F.explode(variables).alias("v")).select(
-        "path", F.explode(F.array_distinct(F.array("v.a", F.regexp_replace("v.a", "^v2_", "")))).alias("model"), F.col("v.b").alias("t"))
+        "path", F.explode(F.array_distinct(F.array("v.a", F.regexp_replace("v.a", "^(?:" + "|".join(map(re.escape, app.model_prefixes)) + ")", "")))).alias("model"), F.col("v.b").alias("t"))
     both = from_classes.unionByName(from_variables).where("t is not null")
     return both.groupBy("model").agg(F.max_by(F.upper("t"), F.struct("path", "t")).alias("table_name"))
 
 
-def model_resolve(names: DataFrame, model_map: DataFrame) -> DataFrame:
-    """Table of each model name: as written, lower, upper, with ``v2_`` or ``V2`` in front; first hit."""
+def model_resolve(names: DataFrame, model_map: DataFrame, app: rules.AppRules = rules.AppRules()) -> DataFrame:
+    """Table of each model name: as written, lower, upper, or behind a model prefix (``p_`` lower, ``P`` as written); first hit."""
     name = F.col("model_name")
-    variants = F.array(name, F.lower(name), F.upper(name), F.concat(F.lit("v2_"), F.lower(name)), F.concat(F.lit("V2"), name))
+    variants = F.array(name, F.lower(name), F.upper(name), *[
+        v for p in app.model_prefixes for v in (F.concat(F.lit(p), F.lower(name)), F.concat(F.lit(p.rstrip("_").upper()), name))])
     tried = names.select("model_name").distinct().select("model_name", F.posexplode(variants).alias("rank", "model"))
     return first_per_key(tried.join(model_map, "model"), ["model_name"], F.col("rank"), ["table_name"])
 
@@ -243,7 +246,7 @@ def called_names(body: Column) -> Column:
     background = all_matches(code, r"background_tasks\.add_task\(\s*([A-Za-z_]\w*)")
     return F.filter(
         F.array_distinct(F.concat(direct, background)),
-        lambda n: ~n.isin(SKIPPED_CALLS + BUILTIN_CALLS + STATEMENT_WORDS))
+        lambda n: ~n.isin(SKIPPED_CALLS + BUILTIN_CALLS + STATEMENT_WORDS) & ~n.rlike("(?:Exception|Error)$"))
 
 
 def call_edges(fns: DataFrame) -> DataFrame:
@@ -353,18 +356,18 @@ def dynamic_tables(fns: DataFrame) -> DataFrame:
         "name", F.upper("t").alias("table_name")).distinct()
 
 
-def attr_tables(fns: DataFrame, model_map: DataFrame) -> DataFrame:
+def attr_tables(fns: DataFrame, model_map: DataFrame, app: rules.AppRules = rules.AppRules()) -> DataFrame:
     """Tables of models used as ``X.col``, ``X.c.col`` or as a bare argument."""
     owners = all_matches(F.col("body"), r"(?<![\w.])([A-Za-z_]\w*)\.\w+")
     arguments = all_matches(F.col("body"), r"[(,]\s*([A-Z]\w*)\s*(?=[,)])")
     used = fns.select("name", F.explode(F.array_distinct(F.concat(owners, arguments))).alias("model_name")).distinct()
-    resolved = model_resolve(used, model_map)
+    resolved = model_resolve(used, model_map, app)
     return used.join(resolved, "model_name").select("name", "table_name").distinct()
 
 
-def function_tables(fns: DataFrame, model_map: DataFrame) -> DataFrame:
+def function_tables(fns: DataFrame, model_map: DataFrame, app: rules.AppRules = rules.AppRules()) -> DataFrame:
     """All tables a function touches itself."""
-    return function_sql_tables(fns).unionByName(dynamic_tables(fns)).unionByName(attr_tables(fns, model_map)).distinct()
+    return function_sql_tables(fns).unionByName(dynamic_tables(fns)).unionByName(attr_tables(fns, model_map, app)).distinct()
 
 
 # --- procedures, services and flows of functions ---------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -22,9 +23,9 @@ def snake(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(name, "(.)([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
 
 
-def normalise_url(url: Column) -> Column:
+def normalise_url(url: Column, app: rules.AppRules = rules.AppRules()) -> Column:
     """Template bases replaced, ``${a.b}`` as ``{b}``, ``${camelCase}`` as ``{camel_case}``, no query string."""
-    based = F.replace(F.replace(url, F.lit("${V2_URL}"), F.lit("/api/v2")), F.lit("${V2_WORKFLOW_URL}"), F.lit("/api/v2/workflows"))
+    based = reduce(lambda u, b: F.replace(u, F.lit("${" + b[0] + "}"), F.lit(b[1])), app.url_bases, url)
     dotted = F.regexp_replace(based, r"\$\{[\w.]+\.(\w+)\}", r"{$1}")
     variable = r"\$\{(\w+)\}"
     rebuilt = T.let(dotted, lambda u: F.array_join(F.zip_with(
@@ -33,8 +34,8 @@ def normalise_url(url: Column) -> Column:
     return F.trim(F.regexp_replace(rebuilt, r"\?.*$", ""))
 
 
-def url_normalise(calls: DataFrame) -> DataFrame:
-    return calls.select("call_id", "method", normalise_url(F.col("url_raw")).alias("url"))
+def url_normalise(calls: DataFrame, app: rules.AppRules = rules.AppRules()) -> DataFrame:
+    return calls.select("call_id", "method", normalise_url(F.col("url_raw"), app).alias("url"))
 
 
 # --- user-interface calls ------------------------------------------------------------
@@ -48,7 +49,6 @@ URL_PATTERNS = [
     "url\\s*[=:]\\s*[`\"']([^`\"']*)[\"`']",
     "endpoint\\s*[=:]\\s*[`\"']([^`\"']*)[\"`']",
     "[`\"'](\\/api\\/[^`\"']*)[\"`']",
-    "[`\"'](\\$\\{V2_WORKFLOW_URL\\}[^`\"']*)[\"`']",
     "path\\s*[=:]\\s*[`\"']([^`\"']*)[\"`']",
     "route\\s*[=:]\\s*[`\"']([^`\"']*)[\"`']",
 ]
@@ -122,12 +122,12 @@ def call_lines(code: Column, i: Column) -> Column:
     return F.when(head == "", 1).otherwise(F.length(span) - F.length(F.replace(span, F.lit("\n"), F.lit(""))) + 1)
 
 
-def url_on_line(line: Column) -> Column:
+def url_on_line(line: Column, app: rules.AppRules = rules.AppRules()) -> Column:
     """First acceptable URL of a line, normalised; null on comment and blank lines."""
     tried = F.array(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in URL_PATTERNS])
-    shaped = lambda u: u.startswith("/") | u.contains("${") | u.contains("api") | F.lower(u).contains("workflow")
+    shaped = lambda u: u.startswith("/") | u.contains("${") | u.contains("api") | reduce(lambda a, w: a | F.lower(u).contains(w), app.url_words, F.lit(False))
     good = F.filter(
-        F.transform(F.filter(tried, lambda u: u.isNotNull() & shaped(u)), normalise_url), lambda u: F.length(u) > 3)
+        F.transform(F.filter(tried, lambda u: u.isNotNull() & shaped(u)), lambda u: normalise_url(u, app)), lambda u: F.length(u) > 3)
     skip = F.trim(line).startswith("//") | (F.trim(line) == "")
     return F.when(~skip, F.get(good, F.lit(0)))
 
@@ -135,7 +135,7 @@ def url_on_line(line: Column) -> Column:
 VARIABLE_ON_CALL = r"(?:client|tsClient)\.\w+(?:<[^>]*>)?\s*\(\s*(\w+)"
 
 
-def defined_url(lines: Column, code: Column, name: Column) -> Column:
+def defined_url(lines: Column, code: Column, name: Column, app: rules.AppRules = rules.AppRules()) -> Column:
     """URL a variable holds after ``lines``: that of its latest definition whose block is still open, or assignment."""
     word = F.concat(F.lit("\\b"), name)
     quoted = "\\s*(?::\\s*\\w+\\s*)?=\\s*[`\"']([^`\"']*)[\"`']"
@@ -149,7 +149,7 @@ def defined_url(lines: Column, code: Column, name: Column) -> Column:
         line.rlike(r"\b(?:const|let)\b").alias("declared"), i.alias("i")))
     seen = F.filter(values, lambda v: F.coalesce(v["url"], F.lit("")) != "")
     visible = F.filter(seen, lambda v: ~v["declared"] | (fall(v["i"]) >= 0))
-    return F.try_element_at(F.filter(F.transform(visible, lambda v: normalise_url(v["url"])), lambda u: u != ""), F.lit(-1))
+    return F.try_element_at(F.filter(F.transform(visible, lambda v: normalise_url(v["url"], app)), lambda u: u != ""), F.lit(-1))
 
 
 def client_calls(files: DataFrame) -> DataFrame:
@@ -168,28 +168,28 @@ def client_calls(files: DataFrame) -> DataFrame:
     return rows.withColumn("variable", F.when(~variable.isin(rules.NON_URL_VARIABLES), variable))
 
 
-def variable_url() -> Column:
+def variable_url(app: rules.AppRules = rules.AppRules()) -> Column:
     before = lambda c: F.slice(c, F.lit(1), F.col("c.i"))
-    return F.when(F.col("variable").isNotNull(), defined_url(before("lines"), before("code"), F.col("variable")))
+    return F.when(F.col("variable").isNotNull(), defined_url(before("lines"), before("code"), F.col("variable"), app))
 
 
-def http_call_url(files: DataFrame) -> DataFrame:
+def http_call_url(files: DataFrame, app: rules.AppRules = rules.AppRules()) -> DataFrame:
     """(file_id, path, function_name, method, url, line_no) of every call whose URL is found.
 
     The URL is searched on the lines that the call spans, to the bracket that closes it, then in the latest definition
     of the variable passed to it. All of it happens inside the function's own row.
     """
     rows = client_calls(files).where(~F.lower("c.line").contains("blob") & ~F.col("c.line").contains("responseType:"))
-    stated = F.get(F.filter(F.transform("own", lambda line: url_on_line(line)), lambda u: u.isNotNull()), F.lit(0))
+    stated = F.get(F.filter(F.transform("own", lambda line: url_on_line(line, app)), lambda u: u.isNotNull()), F.lit(0))
     return rows.select(
         "file_id", "path", F.coalesce("function_name", F.lit("unknown")).alias("function_name"), F.col("c.method").alias("method"),
-        F.coalesce(stated, variable_url()).alias("url"), (F.col("start_line") + F.col("c.i")).cast("int").alias("line_no"),
+        F.coalesce(stated, variable_url(app)).alias("url"), (F.col("start_line") + F.col("c.i")).cast("int").alias("line_no"),
     ).where("url is not null")
 
 
-def http_call_url_var(files: DataFrame) -> DataFrame:
+def http_call_url_var(files: DataFrame, app: rules.AppRules = rules.AppRules()) -> DataFrame:
     """Calls whose URL is held in a variable defined earlier in the function."""
-    return client_calls(files).select("file_id", "function_name", "variable", variable_url().alias("url")).where("url is not null")
+    return client_calls(files).select("file_id", "function_name", "variable", variable_url(app).alias("url")).where("url is not null")
 
 
 # --- backend routes ------------------------------------------------------------------
@@ -269,11 +269,27 @@ def call_closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = Non
     return seen
 
 
+def inherited(edges: DataFrame, facts: DataFrame, value: str) -> DataFrame:
+    """(name, ``value``): what each function has itself or through anything it calls.
+
+    Facts go up from callees to callers, the new ones of each round only, so a fact passes each edge once: the work is
+    edges times distinct values, whatever the number of routes and however many functions call a common one. Cycles
+    end as nothing new comes round.
+    """
+    edges = checkpointed(edges.select("caller", "callee").distinct())
+    frontier = checkpointed(facts.select("name", value).distinct())
+    seen = frontier
+    while not frontier.isEmpty():
+        risen = frontier.join(edges, F.col("name") == F.col("callee")).select(F.col("caller").alias("name"), value).distinct()
+        frontier = checkpointed(risen.join(seen, ["name", value], "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def route_tables(routes: DataFrame, edges: DataFrame, fn_tables: DataFrame) -> DataFrame:
     """(function_name, database_tables): tables of a route's function and everything it calls."""
-    closure = call_closure(edges, routes.select(F.col("function_name").alias("root")))
-    tables = closure.join(fn_tables, F.col("function_name") == F.col("name")).select("root", "table_name").distinct()
-    return tables.groupBy(F.col("root").alias("function_name")).agg(
+    tables = inherited(edges, fn_tables, "table_name").join(routes.select(F.col("function_name").alias("name")).distinct(), "name", "left_semi")
+    return tables.groupBy(F.col("name").alias("function_name")).agg(
         F.array_join(F.array_sort(F.collect_list("table_name")), ";").alias("database_tables"))
 
 
@@ -293,16 +309,16 @@ MIN_SIMILARITY = 0.6
 SUBSET_SEGMENTS = 10
 
 
-def route_key(url: Column) -> Column:
+def route_key(url: Column, app: rules.AppRules = rules.AppRules()) -> Column:
     """Comparable form of a URL: no API base, no outer slashes, every parameter as ``{}``."""
-    bare = F.regexp_replace(F.replace(url, F.lit("/api/v2"), F.lit("")), "^/+|/+$", "")
+    bare = F.regexp_replace(F.replace(url, F.lit(app.root), F.lit("")) if app.root else url, "^/+|/+$", "")
     return F.regexp_replace(bare, r"(?<=^|/)\{[^/]*", "{}")
 
 
-def route_match_exact(calls: DataFrame, routes: DataFrame) -> DataFrame:
+def route_match_exact(calls: DataFrame, routes: DataFrame, app: rules.AppRules = rules.AppRules()) -> DataFrame:
     """(call_id, route_id): the first route of the same method whose segments equal the call's."""
-    first = routes.groupBy("method", route_key(F.col("route_pattern")).alias("key")).agg(F.min("route_id").alias("route_id"))
-    return calls.select("call_id", "method", route_key(F.col("url")).alias("key")).join(first, ["method", "key"]).select("call_id", "route_id")
+    first = routes.groupBy("method", route_key(F.col("route_pattern"), app).alias("key")).agg(F.min("route_id").alias("route_id"))
+    return calls.select("call_id", "method", route_key(F.col("url"), app).alias("key")).join(first, ["method", "key"]).select("call_id", "route_id")
 
 
 def needed_overlap(n_left: Column, n_right: Column) -> Column:
@@ -381,9 +397,9 @@ def prefix_matches(left: DataFrame, right: DataFrame) -> DataFrame:
         "method", "set_id", "route_id", jaccard(F.col("o"), F.col("n"), F.col("m")).alias("score"))
 
 
-def mapping_build(calls: DataFrame, routes: DataFrame) -> DataFrame:
+def mapping_build(calls: DataFrame, routes: DataFrame, app: rules.AppRules = rules.AppRules()) -> DataFrame:
     """(call_id, route_id, match_type): every call is kept; exact matches first, then similar ones."""
-    exact = route_match_exact(calls, routes).withColumn("match_type", F.lit("exact"))
+    exact = route_match_exact(calls, routes, app).withColumn("match_type", F.lit("exact"))
     rest = calls.join(exact.select("call_id"), "call_id", "left_anti")
     fuzzy = route_match_fuzzy(rest, routes).select("call_id", "route_id", F.lit("fuzzy").alias("match_type"))
     matched = exact.unionByName(fuzzy)
@@ -430,7 +446,7 @@ def response_column_count(files: DataFrame) -> DataFrame:
         "function_name", "model", F.coalesce("column_count", F.lit(0)).alias("column_count"))
 
 
-def backend_report(files: DataFrame, prefixes: rules.RouteRules = rules.RouteRules()) -> DataFrame:
+def backend_report(files: DataFrame, prefixes: rules.RouteRules = rules.RouteRules(), app: rules.AppRules = rules.AppRules()) -> DataFrame:
     """Routes with tables, procedures, flow calls, response fields and table columns."""
     # Functions, call edges and routes are read many times below; each is made once from the text.
     # A function is known by its file, class and name, so functions of one name keep apart.
@@ -444,7 +460,7 @@ def backend_report(files: DataFrame, prefixes: rules.RouteRules = rules.RouteRul
     routes = checkpointed(backend_routes(files, prefixes).withColumn("model", scan.unwrapped_type(F.col("response_model"))).withColumn(
         "node", scan.node_of(F.col("file_id"), F.col("function_name"))))
     roots = routes.select(F.col("node").alias("function_name")).distinct()
-    tables = route_tables(roots, edges, scan.function_tables(fns, scan.model_table_map(files))).withColumnRenamed("function_name", "node")
+    tables = route_tables(roots, edges, scan.function_tables(fns, scan.model_table_map(files, app), app)).withColumnRenamed("function_name", "node")
     procs = route_procs(roots, direct, scan.function_procs(fns, edges, scan.service_proc_map(fns))).withColumnRenamed("function_name", "node")
     flows = scan.flow_calls(fns, files).groupBy(F.col("name").alias("node")).agg(
         F.array_join(F.array_sort(F.collect_set("flow_call")), ",").alias("flow_calls"))
@@ -460,11 +476,12 @@ def backend_report(files: DataFrame, prefixes: rules.RouteRules = rules.RouteRul
         *[F.coalesce(c, F.lit("")).alias(c) for c in blank], F.coalesce("column_count", F.lit(0)).alias("column_count"))
 
 
-def mapping_report(ui_files: DataFrame, backend_files: DataFrame, prefixes: rules.RouteRules = rules.RouteRules()) -> DataFrame:
+def mapping_report(ui_files: DataFrame, backend_files: DataFrame, prefixes: rules.RouteRules = rules.RouteRules(),
+                   app: rules.AppRules = rules.AppRules()) -> DataFrame:
     """The 14-column report: every user-interface call with what lies behind it."""
-    calls = checkpointed(http_call_url(ui_files).withColumn("call_id", F.shiftleft(F.col("file_id"), 32) + F.col("line_no")))
-    routes = checkpointed(backend_report(backend_files, prefixes))
-    mapped = calls.join(mapping_build(calls, routes).drop("match_type"), "call_id").join(
+    calls = checkpointed(http_call_url(ui_files, app).withColumn("call_id", F.shiftleft(F.col("file_id"), 32) + F.col("line_no")))
+    routes = checkpointed(backend_report(backend_files, prefixes, app))
+    mapped = calls.join(mapping_build(calls, routes, app).drop("match_type"), "call_id").join(
         routes.drop("method").withColumnRenamed("function_name", "backend_function"), "route_id", "left")
     text = lambda c: F.coalesce(c, F.lit(""))
     return mapped.select(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions import rules
 from tracewell.operators import code_scan as scan
 from tracewell.operators import exports, facts, imports, jobs, procedures, resolve, results, routes
 from tracewell.sources import catalog, corpora
@@ -43,8 +44,8 @@ def on_functions(op: Callable[..., DataFrame]) -> Query:
     return lambda spark, sf: op(scan.functions(python_files(spark, sf)))
 
 
-def on_ui(op: Callable[..., DataFrame]) -> Query:
-    return lambda spark, sf: op(ui_files(spark, sf))
+def on_ui(op: Callable[..., DataFrame], *args) -> Query:
+    return lambda spark, sf: op(ui_files(spark, sf), *args)
 
 
 def api_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +92,7 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
-    return routes.url_normalise(corpora.FRONTEND_CALL.read(spark, sf))
+    return routes.url_normalise(corpora.FRONTEND_CALL.read(spark, sf), corpora.APP_RULES)
 
 
 def backend(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +143,7 @@ def model_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names to resolve: a mapped class, a table variable without its prefix, and an unknown name per group."""
     names = table(spark, sf, "part").where("p_partkey % 6 in (0, 1, 2)").selectExpr(
         "CASE p_partkey % 6 WHEN 0 THEN 'Model_' WHEN 1 THEN 'Things_' ELSE 'None_' END || CAST(floor(p_partkey / 6) AS STRING) AS model_name")
-    return scan.model_resolve(names, scan.model_table_map(python_files(spark, sf)))
+    return scan.model_resolve(names, scan.model_table_map(python_files(spark, sf), corpora.APP_RULES), corpora.APP_RULES)
 
 
 def closure(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +199,7 @@ QUERIES: dict[str, Query] = {
     "code_files_read": code_from_folder,
     "code_lines": on_ui(catalog.code_lines),
     "report_read": reports_csv,
-    "repo_classify": on(corpora.REPOSITORY, catalog.repo_classify),
+    "repo_classify": on(corpora.REPOSITORY, catalog.repo_classify, rules.FRONTEND_REPOSITORY_PATTERNS + corpora.FRONTEND_WORDS, rules.BACKEND_REPOSITORY_PATTERNS + corpora.BACKEND_WORDS),
     "base_view_read": on(corpora.BASE_VIEW, catalog.base_view_read),
     # sinks
     "lineage_save": written("save", lambda df, p: exports.lineage_save(df, p, AT), lambda s, d: corpora.LINEAGE.read(s, d), lambda s, p: s.read.parquet(p)),
@@ -301,7 +302,7 @@ QUERIES: dict[str, Query] = {
     "sp_clean_rows": on(corpora.RAW_REPORT, procedures.sp_clean_rows),
     # code
     "known_tables": on_python(scan.known_tables),
-    "model_table_map": on_python(scan.model_table_map),
+    "model_table_map": on_python(scan.model_table_map, corpora.APP_RULES),
     "model_resolve": model_names,
     "orm_columns": lambda s, d: scan.table_columns_text(scan.orm_columns(python_files(s, d))),
     "response_fields": on_python(scan.response_fields),
@@ -321,12 +322,12 @@ QUERIES: dict[str, Query] = {
     "service_resolve": lambda s, d: scan.service_resolve(scan.functions(python_files(s, d)), scan.service_alias(python_files(s, d))),
     "flow_calls": lambda s, d: scan.flow_calls(scan.functions(python_files(s, d)), python_files(s, d)),
     "dynamic_tables": on_functions(scan.dynamic_tables),
-    "attr_tables": lambda s, d: scan.attr_tables(scan.functions(python_files(s, d)), scan.model_table_map(python_files(s, d))),
+    "attr_tables": lambda s, d: scan.attr_tables(scan.functions(python_files(s, d)), scan.model_table_map(python_files(s, d), corpora.APP_RULES), corpora.APP_RULES),
     "function_scope": lambda s, d: scan.function_scope(catalog.scanned_lines(ui_files(s, d))),
     "http_calls": lambda s, d: routes.http_calls(catalog.code_lines(ui_files(s, d))),
-    "http_call_url": on_ui(routes.http_call_url),
-    "http_call_url_var": on_ui(routes.http_call_url_var),
-    "url_normalise": on(corpora.FRONTEND_CALL, routes.url_normalise),
+    "http_call_url": on_ui(routes.http_call_url, corpora.APP_RULES),
+    "http_call_url_var": on_ui(routes.http_call_url_var, corpora.APP_RULES),
+    "url_normalise": on(corpora.FRONTEND_CALL, routes.url_normalise, corpora.APP_RULES),
     "backend_routes": on_python(routes.backend_routes, corpora.ROUTE_RULES),
     "route_prefix": on_python(routes.route_prefix, corpora.ROUTE_RULES),
     "function_defs": on_functions(scan.function_defs),
@@ -334,11 +335,11 @@ QUERIES: dict[str, Query] = {
     "call_links": import_links,
     "import_targets": on(corpora.IMPORT_FILE, imports.import_targets),
     "call_closure": closure,
-    "route_tables": lambda s, d: routes.backend_report(python_files(s, d), corpora.ROUTE_RULES).select("function_name", "database_tables", "stored_procedures", "flow_calls"),
-    "route_match_exact": lambda s, d: routes.route_match_exact(calls(s, d), backend(s, d)),
+    "route_tables": lambda s, d: routes.backend_report(python_files(s, d), corpora.ROUTE_RULES, corpora.APP_RULES).select("function_name", "database_tables", "stored_procedures", "flow_calls"),
+    "route_match_exact": lambda s, d: routes.route_match_exact(calls(s, d), backend(s, d), corpora.APP_RULES),
     "route_match_fuzzy": lambda s, d: routes.route_match_fuzzy(calls(s, d), backend(s, d)).withColumn("score", F.round("score", 6)),
-    "mapping_build": lambda s, d: routes.mapping_build(calls(s, d), backend(s, d)),
-    "mapping_report": lambda s, d: routes.mapping_report(ui_files(s, d), python_files(s, d), corpora.ROUTE_RULES),
+    "mapping_build": lambda s, d: routes.mapping_build(calls(s, d), backend(s, d), corpora.APP_RULES),
+    "mapping_report": lambda s, d: routes.mapping_report(ui_files(s, d), python_files(s, d), corpora.ROUTE_RULES, corpora.APP_RULES),
     "table_column_details": mapped_details,
     "relationship_type": lambda s, d: corpora.MAPPING.read(s, d).select(
         "frontend_function", routes.relationship_type(F.col("backend_function") != "", F.col("database_tables")).alias("relationship_type")),

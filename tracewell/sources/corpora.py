@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.functions.rules import RouteRules
+from tracewell.functions.rules import AppRules, RouteRules
 from tracewell.functions.skew import spread
 
 
@@ -507,3 +507,8 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: How the router files of these corpora are mounted.
 ROUTE_RULES = RouteRules(root="/api/v2", folders=("workflows", "admin"), files=(("revenue", "/revenue"),))
+
+#: What is particular to the program text of these corpora.
+APP_RULES = AppRules(url_bases=(("V2_URL", "/api/v2"), ("V2_WORKFLOW_URL", "/api/v2/workflows")), root="/api/v2", url_words=("workflow",), model_prefixes=("v2_",))
+FRONTEND_WORDS = [".*workflow.*frontend.*", ".*workflow.*ui.*", ".*workflow$", ".*-workflow$"]
+BACKEND_WORDS = [".*workflow.*backend.*", ".*workflow.*api.*", ".*-workflow-backend$"]

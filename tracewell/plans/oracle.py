@@ -278,6 +278,7 @@ SQL: dict[str, str] = {
     "code_lines": f"SELECT file_id, path, CAST(i AS INTEGER) AS line_no, string_split(text, chr(10))[i] AS line FROM (SELECT *, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i "
                   f"FROM {C.TS_FILE.sql()} f WHERE file_id % 4 <> 3)",
     "report_read": f"SELECT CAST(row_no AS VARCHAR) AS row_no, {CLEAN.format('sp_name')} AS sp_name, {CLEAN.format('table_name')} AS table_name FROM {C.RAW_REPORT.sql()} r",
+    "report_read_mixed": f"SELECT CAST(row_no AS VARCHAR) AS row_no, {CLEAN.format('sp_name')} AS sp_name, {CLEAN.format('table_name')} AS table_name FROM {C.RAW_REPORT.sql()} r",
     "repo_classify": expected("part", "p_partkey", 8, "repository kind", [
         (0, "shop<k>-frontend", "frontend"), (1, "Shop<k>-API", "backend"), (3, "ui-kit<k>", "frontend"), (4, "my<k>-workflow", "frontend"),
         (5, "my<k>-workflow-backend", "backend"), (6, "service-<k>-web", "frontend"), (6, "service-<k>-web", "backend")], id_name=None),

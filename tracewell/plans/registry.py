@@ -179,6 +179,16 @@ def reports_csv(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.report_read(spark, path, ";")
 
 
+def mixed_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of one folder with different separators and header spellings, told apart by their first lines."""
+    path = new_path(spark, "reports")
+    raw = corpora.RAW_REPORT.read(spark, sf)
+    for i, (sep, names) in enumerate([(",", ["row_no", "Sp Name", "TABLE_NAME"]), (";", ["Row No", "sp_name", "Table Name"]), ("\t", ["ROW_NO", "SP_NAME", "table_name"])]):
+        raw.where(F.col("row_no") % 3 == i).select("row_no", "sp_name", F.concat(F.coalesce("table_name", F.lit("")), F.lit("")).alias("table_name")).toDF(*names).write.option(
+            "header", True).option("sep", sep).option("quoteAll", i == 1).csv(f"{path}/{i}")
+    return catalog.report_read(spark, path).select("row_no", "sp_name", "table_name")
+
+
 def code_from_folder(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.code_files_read(corpora.PY_FILE.read(spark, sf).unionByName(corpora.TS_FILE.read(spark, sf))).select(
         "path", F.length("text").alias("n_chars"))
@@ -199,6 +209,7 @@ QUERIES: dict[str, Query] = {
     "code_files_read": code_from_folder,
     "code_lines": on_ui(catalog.code_lines),
     "report_read": reports_csv,
+    "report_read_mixed": mixed_reports,
     "repo_classify": on(corpora.REPOSITORY, catalog.repo_classify, rules.FRONTEND_REPOSITORY_PATTERNS + corpora.FRONTEND_WORDS, rules.BACKEND_REPOSITORY_PATTERNS + corpora.BACKEND_WORDS),
     "base_view_read": on(corpora.BASE_VIEW, catalog.base_view_read),
     # sinks

@@ -5,6 +5,8 @@ Catalog tables have (database_name, schema_name, view_name, created, ddl_text).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,10 +128,44 @@ def canonical_header(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(*[quoted(n) for n in names]).alias(key) for key, names in groups.items()])
 
 
-def report_read(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """A report file with any header spelling; null-like cells are empty strings."""
-    df = canonical_header(spark.read.option("header", True).option("sep", delimiter).csv(path))
-    return df.select(*[null_like_to_empty(F.col(c)).alias(c) for c in df.columns])
+#: Separators that a report may have, and how many of a file's first lines tell which.
+SEPARATORS, TOLD_BY = [",", ";", "\t", "|"], 100
+
+
+def file_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, separator, header) of every report file below ``path``, from its first lines.
+
+    The separator that cuts most lines into as many cells as the header, more than one, wins; of equals the one with
+    more cells. What stands in quotes does not count.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id")).where("start = 0")
+    first = lines.groupBy("file").agg(F.min("id").alias("first"), F.min_by("value", "id").alias("header"))
+    cells = lambda text, sep: F.size(F.split(F.regexp_replace(text, r'"(?:[^"]|"")*"', ""), "[" + sep + "]"))
+    told = lines.join(first, "file").where((F.col("id") < F.col("first") + TOLD_BY) & (F.trim("value") != ""))
+    same = [F.struct(
+        (F.first(cells("header", sep)) > 1).alias("cuts"), F.count_if(cells("value", sep) == cells("header", sep)).alias("lines"),
+        F.first(cells("header", sep)).alias("cells"), F.lit(-i).alias("order"), F.lit(sep).alias("separator")) for i, sep in enumerate(SEPARATORS)]
+    return told.groupBy("file", "header").agg(F.greatest(*same).alias("best")).select("file", F.col("best.separator").alias("separator"), "header")
+
+
+def report_read(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    """Report files with any header spelling; null-like cells are empty strings.
+
+    Without a ``delimiter`` it is found for each file, and files of one layout are read together. One row per file
+    comes to the driver, its name and header.
+    """
+    if delimiter:
+        parts = [spark.read.option("header", True).option("sep", delimiter).csv(path)]
+    else:
+        layouts: dict[tuple[str, str], list[str]] = {}
+        for row in file_layouts(spark, path).orderBy("file").collect():
+            layouts.setdefault((row["separator"], row["header"]), []).append(row["file"])
+        parts = [spark.read.option("header", True).option("sep", sep).csv(files) for (sep, _), files in layouts.items()]
+    if not parts:
+        return spark.createDataFrame([], "row_no string").drop("row_no")
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(canonical_header, parts))
+    return df.select(*[null_like_to_empty(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def null_like_to_empty(value: Column) -> Column:

@@ -52,9 +52,22 @@ def test_vocabularies_with_ranks_in_any_order():
         order = rng.sample(range(256, 5000), len(tokens))
         ranks = {bytes([b]): b for b in range(256)} | dict(zip(sorted(tokens), order))
         ours, theirs = bpe.Encoder(ranks, r"\w+|\W"), library(ranks, r"\w+|\W")
-        for _ in range(20):
-            text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 300)))
-            assert numbers(ours.encode(text)) == theirs.encode_ordinary(text)
+        texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(1, 9))) for _ in range(20)] + ["", "a" * 300]
+        want = [theirs.encode_ordinary(text) for text in texts]
+        assert [numbers(ours.encode(text)) for text in texts] == want
+        together = bpe.Encoder(ranks, r"\w+|\W")
+        assert [numbers(x) for x in together.encode_all(texts)] == want
+
+
+def test_texts_together_equal_texts_alone(ranks, monkeypatch):
+    rng, theirs = random.Random(6), library(ranks)
+    alphabet = "eeettaoinshrdlu  ,.'\n019éßXYZ"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 400))) for _ in range(300)] + ["aaaa aaaaa\n" * 9, "\x00 \x00\x00a\x00", "x" * 90]
+    want = [theirs.encode_ordinary(t) for t in texts]
+    for chars, together, remembered in ((6 << 20, 200_000, 300_000), (500, 7, 50), (1, 1, 1)):
+        for name, value in (("LISTED_CHARS", chars), ("TOGETHER", together), ("REMEMBERED", remembered)):
+            monkeypatch.setattr(bpe, name, value)
+        assert [numbers(x) for x in bpe.Encoder(ranks, public_tokenizers.PATTERN).encode_all(texts)] == want
 
 
 def test_pieces_of_long_texts_and_a_full_memory(ranks, monkeypatch):

@@ -7,8 +7,10 @@ a bit for each bucket, and a summary above it a bit for each word that is not ze
 find-first-sets. A join gives its neighbours new ranks; their old entries stay in the queue and are skipped when
 met. The work is nearly linear in the match, however long it is.
 
-Ids of short matches are remembered per process, at most ``REMEMBERED`` of them. Long texts are split and
-decoded piece by piece.
+A long match has a queue of its own. The short ones of a block of texts that are not known yet share one: their
+lists lie side by side, and each rank's bucket is joined in all of them at once, in numpy. That is the same order for each
+match unless a join makes a pair of a lower rank; such a match is done again by itself. Ids of short matches are
+remembered per process, at most ``REMEMBERED`` of them. Long texts are split and decoded piece by piece.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; an empty table gives no rows;
 texts are encoded whole; an id outside the vocabulary is an error of the decoder; an input column with the name of an
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -35,10 +37,10 @@ from tracewell.llm.base import new_column, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Ranks that may be broadcast; bits of a rank within a word, and their mask (words have 256 bits).
 MOST_RANKS, BITS, LOW = 1_000_000, 8, 255
-#: Matches that a process remembers, and of how many characters at most.
-REMEMBERED, SHORT = 500_000, 64
-#: Characters of a text whose matches are listed at once, matches of a longer one, ids that are decoded at once.
-LISTED_CHARS, LISTED, DECODED = 1 << 20, 1 << 16, 1 << 18
+#: Matches that a process remembers, and of how many characters at most; matches that share a queue.
+REMEMBERED, SHORT, TOGETHER = 300_000, 64, 200_000
+#: Characters of texts whose matches are listed at once, matches of a longer one, ids that are decoded at once.
+LISTED_CHARS, LISTED, DECODED = 6 << 20, 1 << 16, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,17 +60,127 @@ class Encoder(dict):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.longest = max(map(len, ranks))
         self.n_words = (max(ranks.values()) >> BITS) + 1
+        self.bytes_ = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        halves = [(ranks[t[:i]] << 32 | ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        halves = np.array(sorted(halves) or [(-1, -1)], dtype=np.int64)
+        self.pair_keys, self.pair_ranks = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
         self.pairs = [[ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]
 
     def __missing__(self, match: str) -> bytes:
         ids = self.joined(match.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(match) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
+            self.make_room(1)
             self[match] = packed
         return packed
 
+    def make_room(self, n: int) -> None:
+        if len(self) + n > REMEMBERED:
+            self.clear()
+
+    def learn(self, matches: Iterable[list[str]]) -> None:
+        """Works out the short matches that are not known yet, all together."""
+        every = set().union(*matches)
+        self.make_room(len(every.difference(self)))
+        new = {m: m.encode() for m in every.difference(self) if len(m) <= SHORT}
+        self.update((m, struct.pack("<I", self.ranks[d])) for m, d in new.items() if d in self.ranks)
+        several = [m for m, d in new.items() if d not in self.ranks]
+        for at in range(0, len(several), TOGETHER):
+            part = several[at:at + TOGETHER]
+            self.update(zip(part, self.joined_together([new[m] for m in part]), strict=True))
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens, -1 for those that are none."""
+        wanted = left.astype(np.int64) << 32 | right
+        place = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[place] == wanted, self.pair_ranks[place], -1)
+
+    def joined_together(self, matches: list[bytes]) -> list[bytes]:
+        """Packed ids of several matches, none of which is a token. Each match is followed by a byte that pairs with nothing."""
+        lengths = np.array([len(m) for m in matches])
+        ends = np.cumsum(lengths + 1) - 1
+        whole = np.frombuffer(b"\0".join(matches) + b"\0", np.uint8)
+        size, apart = len(whole), self.n_words << BITS
+        token = self.bytes_[whole]
+        token[ends] = apart
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        pair = np.append(self.rank_of(token[:-1], token[1:]), -1)
+        alive, again = np.ones(size, bool), set()
+        buckets: dict[int, list[np.ndarray]] = {}
+        words, summary = [0] * self.n_words, 0
+
+        def queue(places: np.ndarray) -> None:
+            nonlocal summary
+            ranks = pair[places]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])).tolist()
+            for start, stop, rank in zip(cuts, [*cuts[1:], len(places)], ranks[cuts].tolist(), strict=True):
+                if rank in buckets:
+                    buckets[rank].append(places[start:stop])
+                else:
+                    buckets[rank] = [places[start:stop]]
+                    words[rank >> BITS] |= 1 << (rank & LOW)
+                    summary |= 1 << (rank >> BITS)
+
+        if (first := np.flatnonzero(pair >= 0)).size:
+            queue(first)
+        while summary:
+            high = (summary & -summary).bit_length() - 1
+            word = words[high]
+            rank = high << BITS | (word & -word).bit_length() - 1
+            words[high] = word = word & (word - 1)
+            if not word:
+                summary &= summary - 1
+            waiting = buckets.pop(rank)
+            places = waiting[0] if len(waiting) == 1 else np.concatenate(waiting)
+            places = places[pair[places] == rank]
+            if not places.size:
+                continue
+            if places.size > 1:
+                places = np.unique(places)
+                linked = after[places[:-1]] == places[1:]
+                if linked.any():  # runs like aaaa: every second pair is taken, from the left
+                    run = np.maximum.accumulate(np.where(np.append(True, ~linked), np.arange(len(places)), 0))
+                    places = places[(np.arange(len(places)) - run) % 2 == 0]
+            gone = after[places]
+            end = after[gone]
+            met = token[end]
+            token[places] = rank
+            pair[gone] = -1
+            alive[gone] = False
+            after[places] = end
+            before[end] = places
+            left = before[places]
+            inside = left >= 0
+            left = left[inside]
+            right_rank = self.rank_of(token[places], token[end])
+            left_rank = self.rank_of(token[left], token[places[inside]])
+            pair[places] = right_rank
+            pair[left] = left_rank
+            # What stood to the right when the pair was joined, where the neighbour was joined in the same step.
+            passing = np.flatnonzero(met != token[end])
+            lower = [places[(right_rank >= 0) & (right_rank < rank)], left[(left_rank >= 0) & (left_rank < rank)]]
+            if passing.size:
+                between = self.rank_of(np.full(len(passing), rank), met[passing])
+                lower.append(places[passing[(between >= 0) & (between < rank)]])
+            for some in lower:
+                if some.size:
+                    again.update(np.searchsorted(ends, some).tolist())
+            fresh = np.concatenate([places[right_rank >= 0], left[left_rank >= 0]])
+            if fresh.size:
+                queue(fresh)
+        alive[ends] = False
+        starts = ends - lengths
+        packed = token[alive].astype("<u4").tobytes()
+        counts = np.diff(np.searchsorted(np.flatnonzero(alive), np.append(starts, size)))
+        stops = (np.cumsum(counts) * 4).tolist()
+        out = [packed[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        for i in again:
+            ids = self.joined(matches[i])
+            out[i] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
     def joined(self, data: bytes) -> list[int]:
         """Ids of one match. Position i is the token from byte i on; ``after`` and ``before`` link the tokens.
 
@@ -149,11 +261,29 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        """Packed ids of a text, its matches listed a part at a time."""
         if len(text) <= LISTED_CHARS:
             return b"".join(map(self.__getitem__, self.pattern.findall(text)))
         matches = (m.group() for m in self.pattern.finditer(text))
         return b"".join(iter(lambda: b"".join(map(self.__getitem__, islice(matches, LISTED))), b""))
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of each text; texts are taken together up to ``LISTED_CHARS`` characters."""
+        start = 0
+        while start < len(texts):
+            stop, chars = start, 0
+            while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= LISTED_CHARS):
+                chars += len(texts[stop])
+                stop += 1
+            if chars > LISTED_CHARS:
+                yield self.encode(texts[start])
+            else:
+                listed = [self.pattern.findall(t) for t in texts[start:stop]]
+                self.learn(listed)
+                for matches in listed:
+                    yield b"".join(map(self.__getitem__, matches))
+            start = stop
+
 
 def decode(ids: np.ndarray, tokens: list[bytes]) -> bytes:
     """The bytes of the tokens of ``ids``, one after the other."""
@@ -179,7 +309,7 @@ def with_token_ids(docs: DataFrame, path: str, pattern: str = public_tokenizers.
     def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = process_encoder(shared, path, pattern)
         for column in texts:
-            yield pa.array((encoder.encode(x.as_py() or "") for x in column), type=pa.binary(), size=len(column))
+            yield pa.array(encoder.encode_all([x or "" for x in column.to_pylist()]), type=pa.binary(), size=len(column))
 
     return docs.withColumn(to, encoded(F.col("text")))
 

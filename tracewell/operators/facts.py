@@ -124,8 +124,8 @@ def block(number: Column, text: Column) -> Column:
     return F.struct(
         number.alias("id"), F.coalesce(F.get("nest.closed", number), F.lit(2 ** 31 - 1)).alias("closed"),
         F.when(text.rlike("(?i)^WITH "), ctes).otherwise(F.expr("CAST(array() AS array<struct<name:string,id:int,columns:int>>)")).alias("ctes"),
-        F.regexp_replace(rest, BRACKETED_SELECT, "$1SELECT * FROM $2").alias("text"),
-        N.query_numbers(N.put_back(text, F.col("nest.inlined"), N.GROUP)).alias("children"))
+        F.when(rest.contains("\x07"), F.regexp_replace(rest, BRACKETED_SELECT, "$1SELECT * FROM $2")).otherwise(rest).alias("text"),
+        F.when(F.col("has_inner"), N.query_numbers(N.put_back(text, F.col("nest.inlined"), N.GROUP))).otherwise(F.expr("CAST(array() AS array<int>)")).alias("children"))
 
 
 def blocks_column() -> Column:
@@ -138,7 +138,7 @@ def blocks_column() -> Column:
     in_order = lambda all_: F.array_sort(all_, lambda x, y: x["closed"] - y["closed"])
     both = T.let(main, lambda m: T.let(inner, lambda all_: F.concat(
         in_order(T.let(below(all_, m), lambda used: F.filter(all_, lambda b: F.array_contains(used, b["id"])))), F.array(m))))
-    return F.when(F.col("is_supported") & F.col("has_query"), both)
+    return F.when(F.col("is_supported") & F.col("has_query"), F.when(F.col("has_inner"), both).otherwise(F.array(main)))
 
 
 def table_of(kw: Column, txt: Column, ordinal: Column) -> Column:
@@ -219,7 +219,7 @@ def scopes_column() -> Column:
     def scope(b: Column, i: Column, n: Column, seen: Column) -> Column:
         return F.struct(
             (i + 1).cast("int").alias("ordinal"), n["kind"].alias("kind"), n["key"].alias("name"), n["columns"].alias("columns"),
-            N.put_back(b["text"], F.col("nest.whole"), N.ANY_TOKEN).alias("body"), b["segs"].alias("segs"), keyed(b["tables"], seen, n["key"]).alias("tables"),
+            b["segs"].alias("segs"), keyed(b["tables"], seen, n["key"]).alias("tables"),
             F.transform(b["branches"], lambda x: F.struct(x["segs"].alias("segs"), keyed(x["tables"], seen, n["key"]).alias("tables"))).alias("branches"))
 
     return F.transform("selects", lambda b, i: T.let(F.get("names", i), lambda n: T.let(
@@ -227,20 +227,21 @@ def scopes_column() -> Column:
 
 
 def scoped(ddl: DataFrame) -> DataFrame:
-    """Adds ``scopes``: array of (ordinal, kind, name, columns, body, segs, tables, branches) for each supported query,
+    """Adds ``scopes``: array of (ordinal, kind, name, columns, segs, tables, branches) for each supported query,
     and ``ctes``, the named subqueries (name, body) by their closing brackets."""
     ctes = F.transform(F.filter(F.flatten(F.transform("selects", lambda b: F.transform(b["ctes"], lambda c: F.struct(
         F.get("nest.closed", c["id"]).alias("closed"), c["name"].alias("name"), F.get("nest.whole", c["id"]).alias("body"))))),
         lambda c: c.isNotNull()), lambda c: c)
     none = F.expr("CAST(array() AS array<struct<name:string,body:string>>)")
     return (
-        parsed(ddl).withColumn("blocks", blocks_column())
+        parsed(ddl).withColumn("has_inner", F.col("flat").contains("\x07") | F.exists("nest.surface", lambda g: g.contains("\x07")))
+        .withColumn("blocks", blocks_column())
         .withColumn("selects", selects_column())
         .withColumn("names", named_column())
         .withColumn("visible", visible_column())
         .withColumn("scopes", scopes_column())
         .withColumn("ctes", F.coalesce(F.transform(F.array_sort(ctes), lambda c: F.struct(c["name"].alias("name"), c["body"].alias("body"))), none))
-        .drop("blocks", "selects", "visible", "flat")
+        .drop("blocks", "selects", "visible", "flat", "has_inner")
     )
 
 

@@ -38,9 +38,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Ranks that may be broadcast; bits of a rank within a word, and their mask (words have 256 bits).
 MOST_RANKS, BITS, LOW = 1_000_000, 8, 255
 #: Matches that a process remembers, and of how many characters at most; matches that share a queue.
-REMEMBERED, SHORT, TOGETHER = 300_000, 64, 200_000
+REMEMBERED, SHORT, TOGETHER = 60_000, 64, 50_000
 #: Characters of texts whose matches are listed at once, matches of a longer one, ids that are decoded at once.
-LISTED_CHARS, LISTED, DECODED = 6 << 20, 1 << 16, 1 << 18
+LISTED_CHARS, LISTED, DECODED = 2 << 20, 1 << 16, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -267,22 +267,25 @@ class Encoder(dict):
         matches = (m.group() for m in self.pattern.finditer(text))
         return b"".join(iter(lambda: b"".join(map(self.__getitem__, islice(matches, LISTED))), b""))
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Packed ids of each text; texts are taken together up to ``LISTED_CHARS`` characters."""
-        start = 0
-        while start < len(texts):
-            stop, chars = start, 0
-            while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= LISTED_CHARS):
-                chars += len(texts[stop])
-                stop += 1
-            if chars > LISTED_CHARS:
-                yield self.encode(texts[start])
+        waiting: list[list[str]] = []
+        chars = 0
+        for text in texts:
+            if waiting and chars + len(text) > LISTED_CHARS:
+                yield from self.encode_listed(waiting)
+                waiting, chars = [], 0
+            if len(text) > LISTED_CHARS:
+                yield self.encode(text)
             else:
-                listed = [self.pattern.findall(t) for t in texts[start:stop]]
-                self.learn(listed)
-                for matches in listed:
-                    yield b"".join(map(self.__getitem__, matches))
-            start = stop
+                waiting.append(self.pattern.findall(text))
+                chars += len(text)
+        yield from self.encode_listed(waiting)
+
+    def encode_listed(self, listed: list[list[str]]) -> Iterator[bytes]:
+        self.learn(listed)
+        for matches in listed:
+            yield b"".join(map(self.__getitem__, matches))
 
 
 def decode(ids: np.ndarray, tokens: list[bytes]) -> bytes:
@@ -309,7 +312,7 @@ def with_token_ids(docs: DataFrame, path: str, pattern: str = public_tokenizers.
     def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = process_encoder(shared, path, pattern)
         for column in texts:
-            yield pa.array(encoder.encode_all([x or "" for x in column.to_pylist()]), type=pa.binary(), size=len(column))
+            yield pa.array(encoder.encode_all(x.as_py() or "" for x in column), type=pa.binary(), size=len(column))
 
     return docs.withColumn(to, encoded(F.col("text")))
 

@@ -38,9 +38,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Ranks that may be broadcast; bits of a rank within a word, and their mask (words have 256 bits).
 MOST_RANKS, BITS, LOW = 1_000_000, 8, 255
 #: Matches that a process remembers, and of how many characters at most; matches that share a queue.
-REMEMBERED, SHORT, TOGETHER = 60_000, 64, 50_000
+REMEMBERED, SHORT, TOGETHER = 200_000, 64, 100_000
 #: Characters of texts whose matches are listed at once, matches of a longer one, ids that are decoded at once.
-LISTED_CHARS, LISTED, DECODED = 2 << 20, 1 << 16, 1 << 18
+LISTED_CHARS, LISTED, DECODED = 4 << 20, 1 << 16, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -196,3 +196,23 @@ def test_top_k_on_odd_rows(spark):
     whole = [(r.vec_id, list(r.vector)) for r in usable.collect()]
     assert got == plain_top(whole, [r for r in whole if r[0] % 50 == 0], 5)
     assert topk.top_k(usable.limit(0), usable).count() == 0 and topk.top_k(usable, usable.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e6, 1e8])
+def test_top_k_of_large_components(spark, monkeypatch, scale):
+    """Box bounds, and the scores of other rows, may leave 64 bits where the best scores do not."""
+    for name, value in (("SHARD_ROWS", 40), ("LEAF_ROWS", 4), ("BLOCK_QUERIES", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.standard_normal(64) * (scale if i % 2 else 1e6)]) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
+    table = table.withColumn("vector", F.when(F.col("vec_id") % 50 == 0, F.transform("vector", lambda x: F.floor(x / 1000))).otherwise(F.col("vector")))
+    whole = [(r.vec_id, list(r.vector)) for r in table.collect()]
+    got = sorted(tuple(r) for r in topk.top_k(table, table.where("vec_id % 50 = 0")).collect())
+    assert got == plain_top(whole, [r for r in whole if r[0] % 50 == 0], 5)
+    few = spark.createDataFrame([(0, [2.0 ** 40]), (1, [2.0 ** 40])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        pairs = few.select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
+        topk.top_k(pairs, pairs).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        few.select(topk.quantised(F.transform("embedding", lambda x: x * 1e20))).collect()

@@ -14,8 +14,9 @@ against all rows; only k rows per query and shard come back.
 Defined cases: a vector that is null or holds a null or non-finite component takes no part;
 vectors of different length are never compared; a query leaves out one row, itself: repeated rows of
 its id are candidates, and each repeated query is answered; with fewer candidates than k all are
-returned; an empty table gives no rows; components must fit a long after quantising; other columns
-are not looked at.
+returned; an empty table gives no rows; sums that may leave 64 bits are worked out in unbounded whole numbers;
+a component that does not fit a long after quantising, and a score among the k best that does not fit one,
+are errors; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,16 +37,19 @@ from tracewell.sources.storage import written
 K, QUERY_EVERY, SCALE = 5, 50, 256
 #: Vectors of a shard (on average), of a leaf, and queries of a block (at most).
 SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES = 8192, 64, 1024
-#: Products below this are exact in double precision.
-EXACT = 2.0 ** 53
+#: Products below these are exact in double precision and in 64 bits; rounding of the estimates stays far below the last factor.
+EXACT, WHOLE = 2.0 ** 53, 2.0 ** 62
 NO_FLOOR = np.iinfo(np.int64).min
+#: Scores that do not fit a long stand at these until they are known to be among the best, or not.
+LEAST, MOST = int(np.iinfo(np.int64).min) + 1, int(np.iinfo(np.int64).max)
 
 
 def quantised(vector: Column) -> Column:
     """Components as whole numbers; null where the vector takes no part."""
     numbers = F.transform(vector, lambda x: x.cast("double"))
     usable = vector.isNotNull() & F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(usable, F.transform(numbers, lambda x: F.floor(x * SCALE).cast("long")))
+    return F.when(usable, F.transform(numbers, lambda x: F.when(F.abs(x * SCALE) < 2.0 ** 63, F.floor(x * SCALE).cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit("component beyond 64 bits after quantising: "), x.cast("string"))).cast("long"))))
 
 
 def spaced(n: int, rows: int) -> int:
@@ -60,13 +64,27 @@ def blob(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values, dtype="<i8").tobytes()
 
 
+def largest(values: np.ndarray) -> float:
+    """The largest absolute value, as a double; that of the least long too."""
+    return float(np.abs(values.astype(np.float64)).max()) if values.size else 0.0
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b.T`` of whole numbers, exact; sums that do not fit a long are cut at ``LEAST`` and ``MOST``."""
+    most = largest(a) * largest(b) * a.shape[1]
+    if most < EXACT:
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if most < WHOLE:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), LEAST, MOST).astype(np.int64)
+
+
 class Tree:
     """A KD-tree in arrays; node i has children 2i+1 and 2i+2, leaves hold rows of ``ids`` and ``vectors``."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
         self.nodes: list[tuple[int, int]] = []
-        self.exact = vectors.size == 0 or float(np.abs(vectors.astype(np.float64)).max()) ** 2 * vectors.shape[1] < EXACT
 
     @staticmethod
     def order(ids: np.ndarray, vectors: np.ndarray, depth: int) -> np.ndarray:
@@ -76,7 +94,7 @@ class Tree:
             halves = []
             for rows in parts:
                 own = vectors[rows]
-                side = int(np.argmax(own.max(axis=0) - own.min(axis=0))) if own.size else 0
+                side = int(np.argmax(own.max(axis=0).astype(np.float64) - own.min(axis=0))) if own.size else 0
                 rows = rows[np.argsort(own[:, side], kind="stable")] if own.size else rows
                 halves += [rows[:len(rows) // 2], rows[len(rows) // 2:]]
             parts = halves
@@ -109,12 +127,8 @@ class Tree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Best score that each node's box can hold, for each query."""
-        return self.dot(np.maximum(queries, 0), self.high) + self.dot(np.minimum(queries, 0), self.low)
-
-    def dot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if self.exact and (a.size == 0 or float(np.abs(a).max()) * float(np.abs(b).max() if b.size else 0) * a.shape[1] < EXACT):
-            return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-        return a @ b.T
+        both = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
+        return products(both, np.concatenate([self.high, self.low], axis=1))
 
     def search(self, query: np.ndarray, bounds: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
         """The k best (score, -id) of the shard that reach ``floor``, best first."""
@@ -132,7 +146,7 @@ class Tree:
                     heapq.heappush(open_nodes, (-int(bounds[c]), self.least[c], c))
                 continue
             a, b = self.nodes[node]
-            scores = self.dot(query[None, :], self.vectors[a:b])[0]
+            scores = products(query[None, :], self.vectors[a:b])[0]
             entry = max(floor if floor is not None else scores.min(), best[0][0] if len(best) == k else scores.min())
             for i in np.flatnonzero(scores >= entry).tolist():
                 pair = (int(scores[i]), -int(self.ids[a + i]))
@@ -183,7 +197,7 @@ def searcher(k: int):
                 floors = np.frombuffer(pair["floors"], dtype="<i8") if pair["floors"] else None
                 bounds, found = tree.bounds(queries), []
                 for row in range(len(query_ids)):
-                    own = int((queries[row] * queries[row]).sum())
+                    own = int(products(queries[row:row + 1], queries[row:row + 1])[0, 0])
                     floor = None if floors is None or row >= len(floors) or floors[row] == NO_FLOOR else int(floors[row])
                     found += [(pair["block"], pair["dims"], row, int(query_ids[row]), own, -i, s) for s, i in tree.search(queries[row], bounds[row], k + 1, floor)]
                 if found:
@@ -224,13 +238,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     blocks = packed_parts(queries, BLOCK_QUERIES, "queries").select(
         F.col("part").alias("block"), "dims", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
     names = shards.select("shard", "dims")
-    home = blocks.join(names.groupBy("dims").agg(F.collect_list("shard").alias("all")), "dims")
+    # In order: the list is worked out more than once, and a block must have the same first shard each time.
+    home = blocks.join(names.groupBy("dims").agg(F.array_sort(F.collect_list("shard")).alias("all")), "dims")
     home = home.withColumn("shard", F.element_at("all", (F.pmod("block", F.size("all")) + 1).cast("int"))).drop("all").withColumn("floors", F.lit(None).cast("binary"))
     first = written(home.join(shards, ["shard", "dims"]).mapInArrow(searcher(k), FOUND), "first")
     bounded = blocks.join(floors(first, k), ["block", "dims"], "left")
     rest = bounded.join(names, "dims").join(home.select("block", "dims", "shard"), ["block", "dims", "shard"], "left_anti")
     found = rest.repartition("shard", "block").join(shards, ["shard", "dims"]).mapInArrow(searcher(k), FOUND)
-    return best(first.unionByName(found), k).select("query_id", "rank", "vec_id", "score")
+    fits = F.when(F.col("score").between(LEAST + 1, MOST - 1), F.col("score")).otherwise(
+        F.raise_error(F.concat(F.lit("score beyond 64 bits of query "), F.col("query_id").cast("string"))).cast("long"))
+    return best(first.unionByName(found), k).select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def op10_exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,3 +216,21 @@ def test_top_k_of_large_components(spark, monkeypatch, scale):
         topk.top_k(pairs, pairs).collect()
     with pytest.raises(Exception, match="64 bits"):
         few.select(topk.quantised(F.transform("embedding", lambda x: x * 1e20))).collect()
+
+
+def test_runs_equal_those_of_single_windows():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        k = rng.integers(1, 20)
+        own, ids, starts = rng.integers(1, 9, k), rng.integers(0, 4, k), rng.integers(0, 40, k)
+        inside, late = substrings.ranges(own), rng.random(own.sum()) < rng.random()
+        at, first, last = substrings.late_runs(late, own)
+        got = substrings.joined(ids[at], starts[at] + inside[first], starts[at] + inside[last])
+        want = substrings.covered(np.repeat(ids, own)[late], (np.repeat(starts, own) + inside)[late])
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_chosen_segments_by_row():
+    chosen = substrings.Chosen([np.array([4, 0]), np.array([], dtype=np.int64), np.array([2])])
+    rows, numbers = np.array([0, 0, 0, 0, 1, 2, 2, 2]), np.array([0, 1, 4, 5, 0, 1, 2, 9])
+    assert chosen.has(rows, numbers).tolist() == [True, False, True, False, False, False, True, False]
